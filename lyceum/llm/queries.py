@@ -117,11 +117,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shard_table_text() -> str:
     """The lookup table spelled out turn by turn, for the SQL check of placement."""
+
+    def walk(offset: int, skip: int):
+        return ((offset + j * skip) % sharding.SIZE for j in range(sharding.SIZE))
+
     taken: dict[int, int] = {}
-    walks = []
-    for name in SHARD_NAMES:
-        offset, skip = sharding.preference(name, sharding.SIZE)
-        walks.append((offset + j * skip) % sharding.SIZE for j in range(sharding.SIZE))
+    walks = [walk(*sharding.preference(name, sharding.SIZE)) for name in SHARD_NAMES]
     turn = 0
     while len(taken) < sharding.SIZE:
         slot = next(s for s in walks[turn % len(walks)] if s not in taken)
