@@ -15,8 +15,8 @@ of equal size merge into one of twice the size. The index keeps the records of t
 span; a record that meets one of a lesser document is a repeat and leaves. The outcome does not depend on the order of batches.
 
 Edges. At the edge of a repeated passage a span differs although some of its windows repeat. Where an anchor
-has several spans left in the index, the windows of these (not of their repeats) are fingerprinted from the
-texts and go through a second index. Fingerprints have 96 bits or more; no passage is taken on less.
+has several spans left in the index, the bytes of these (not of their repeats) come from the texts to the same
+task, and their windows go through a second index. Fingerprints have 96 bits or more; no passage is taken on less.
 
 All rows move as blocks of packed arrays, one for each task and target: records take about 16 bytes, texts are compressed.
 Texts are read whole; a null text is empty, a text under WIDTH bytes repeats nothing. A null id counts as the least and
@@ -45,7 +45,7 @@ CHUNK, FLUSH = 1 << 19, 24 << 20
 #: Records of a batch that gets a suffix array.
 BATCH = 1 << 18
 BLOCKS = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("block", T.BinaryType())])
-RECORDS, ASKED, REPEATS, WINDOWS, TEXTS = 0, 1, 2, 3, 9
+RECORDS, ASKED, REPEATS, EDGES, TEXTS = 0, 1, 2, 3, 9
 _U = np.uint64
 
 
@@ -360,22 +360,27 @@ def record_blocks(n: int):
     return run
 
 
-def read_records(block: bytes) -> Records:
-    c, x, gaps, length, keys, uids, count = load(block)
+def placed(gaps: np.ndarray, length: np.ndarray, keys: np.ndarray, uids: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+    """Document, uid, start and length of each record of a block."""
     count = count.astype(np.int64)
     first = np.cumsum(count) - count
     start = np.cumsum(gaps.astype(np.int64))
     start -= np.repeat(start[first] - gaps[first].astype(np.int64), count)
-    return Records(c=c, x=x, doc=np.repeat(keys, count), uid=np.repeat(uids, count), start=start.astype(np.uint32), length=length)
+    return {"doc": np.repeat(keys, count), "uid": np.repeat(uids, count), "start": start.astype(np.uint32), "length": length}
+
 
+def read_records(block: bytes) -> Records:
+    c, x, *rest = load(block)
+    return Records(c=c, x=x, **placed(*rest))
 
-def marks(kind: int, n: int, uid: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Blocks of (uid, start, length), one for each target of the texts."""
-    return [(target, kind, dump(uid[at], start[at].astype(np.uint32), length[at].astype(np.uint8))) for target, at in by_target((uid % _U(n)).astype(np.int64))]
 
+def marks(kind: int, n: int, uid: np.ndarray, start: np.ndarray, length: np.ndarray, home: int = 0) -> list[tuple[int, int, bytes]]:
+    """Blocks of (uid, start, length, the task that sent them), one for each target of the texts."""
+    return [(target, kind, dump(uid[at], start[at].astype(np.uint32), length[at].astype(np.uint8), np.full(len(at), home, dtype=np.uint32))) for target, at in by_target((uid % _U(n)).astype(np.int64))]
 
-def index_task(n: int, ask: bool):
-    """Blocks of records to marks of repeats and, with ``ask``, of spans whose windows are wanted."""
+
+def index_task(n: int, read, ask: bool):
+    """Blocks, ``read`` as records, to marks of repeats and, with ``ask``, of spans whose windows are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held, size, now = LevelFamily(), [], 0, None
@@ -400,14 +405,14 @@ def index_task(n: int, ask: bool):
             settle()
             yield from flush()
             if ask and (left := family.ambiguous()) is not None and len(left):
-                yield batch(marks(ASKED, n, left.uid, left.start, left.length))
+                yield batch(marks(ASKED, n, left.uid, left.start, left.length, now))
 
         for b in batches:
             for pid, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if pid != now:
                     yield from close()
                     family, now = LevelFamily(), pid
-                rows = read_records(block)
+                rows = read(block)
                 held.append(rows)
                 size += len(rows)
                 if size >= BATCH:
@@ -423,7 +428,7 @@ def text_blocks(n: int):
     """Texts, and any columns that follow id and text, to compressed blocks, one for each target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -463,9 +468,9 @@ class Messages:
     """Marks that came for a partition's texts, found by uid."""
 
     def __init__(self, parts: list[list[np.ndarray]]):
-        uid, start, length = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint8))
+        uid, start, length, home = (np.concatenate([p[i] for p in parts]) for i in range(4)) if parts else (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)
         order = np.argsort(uid, kind="stable")
-        self.start, self.length = start[order].astype(np.int64), length[order].astype(np.int64)
+        self.start, self.length, self.home = (x[order].astype(np.int64) for x in (start, length, home))
         self.uids, first = np.unique(uid[order], return_index=True)
         self.at = {u: (a, b) for u, a, b in zip(self.uids.tolist(), first.tolist(), np.append(first[1:], len(order)).tolist(), strict=True)}
 
@@ -473,6 +478,10 @@ class Messages:
         a, b = self.at.get(uid, (0, 0))
         return self.start[a:b], self.length[a:b]
 
+    def home_of(self, uid: int) -> np.ndarray:
+        a, b = self.at.get(uid, (0, 0))
+        return self.home[a:b]
+
 
 def with_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(messages, uids, ids, texts, others) of each block of texts in sorted (pid, kind, block) rows; a partition's messages come first."""
@@ -489,8 +498,8 @@ def with_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield (messages, *read_texts(block))
 
 
-def window_blocks(n: int, width: int = WIDTH):
-    """Texts and the spans asked of them to blocks of their windows' records."""
+def edge_blocks(n: int):
+    """Texts and the spans asked of them to blocks of the spans' bytes, for the task that asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked() -> Iterator[tuple]:
@@ -498,26 +507,41 @@ def window_blocks(n: int, width: int = WIDTH):
                 for uid, key, text in zip(uids, keys, texts, strict=True):
                     start, length = messages.of(uid)
                     if len(start):
-                        yield uid, key, start, length, text
+                        yield uid, key, start, length, messages.home_of(uid), text
 
         for some in chunked(asked(), FLUSH):
-            parts = []
-            for i, (_, _, start, length, text) in enumerate(some):
-                buf = np.frombuffer(text, dtype=np.uint8)
-                many = length - width + 1
-                at = np.unique(np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
-                parts.append((np.full(len(at), i), at, Prefix(buf).of(at, at + width), Prefix(buf, 1).of(at, at + width)))
-            doc, at, g, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            count = [len(x[2]) for x in some]
+            doc = np.repeat(np.arange(len(some)), count)
+            start, length, home = (np.concatenate([x[i] for x in some]) for i in (2, 3, 4))
             keys = np.array([x[1] for x in some], dtype=np.int64)
             uids = np.array([x[0] for x in some], dtype=np.uint64)
+            buf, ends = laid([x[5] for x in some])
+            at = start + np.concatenate([[0], ends])[doc]
             rows = []
-            for target, to in by_target(((g & _U(0xFFFFFF)) % _U(n)).astype(np.int64)):
-                rows.append((target, WINDOWS, dump(g[to], s[to].astype(np.uint32), *places(doc[to], at[to]), np.full(len(to), width, dtype=np.uint8), *owners(doc[to], keys, uids))))
+            for target, to in by_target(home):
+                to = to[np.lexsort((start[to], doc[to]))]
+                rows.append((target, EDGES, dump(buf[inside(at[to], length[to])], *places(doc[to], start[to]), length[to].astype(np.uint8), *owners(doc[to], keys, uids))))
             yield batch(rows)
 
     return run
 
 
+def inside(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The positions that intervals hold, one interval after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def read_edges(block: bytes, width: int = WIDTH) -> Records:
+    """Records of all windows of the spans in a block."""
+    buf, gaps, length, keys, uids, count = load(block)
+    spans_ = placed(gaps, length, keys, uids, count)
+    length = length.astype(np.int64)
+    many = length - width + 1
+    at = inside(np.cumsum(length) - length, many)
+    start = inside(spans_["start"].astype(np.int64), many)
+    return Records(c=Prefix(buf).of(at, at + width), x=Prefix(buf, 1).of(at, at + width).astype(np.uint32), doc=np.repeat(spans_["doc"], many), uid=np.repeat(spans_["uid"], many), start=start.astype(np.uint32), length=np.full(len(at), width, dtype=np.uint8))
+
+
 def covered(start: np.ndarray, length: np.ndarray) -> tuple[list[int], list[int]]:
     """Starts and ends of the maximal runs that intervals cover."""
     if not len(start):
@@ -591,10 +615,10 @@ def matched(df: DataFrame, id_col: str, text_col: str, others: list[str]) -> Dat
     rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MIN_LONG)).alias("_key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"), *[F.col(f"`{c}`") for c in others])
     pair = rows.select("_key", "_text")
     records = deal(pair.mapInArrow(record_blocks(n), BLOCKS), n).select("pid", "block")
-    first = checkpointed(records.mapInArrow(index_task(n, True), BLOCKS))
+    first = checkpointed(records.mapInArrow(index_task(n, read_records, True), BLOCKS))
     asked = deal(first.filter(F.col("kind") == ASKED).unionByName(pair.mapInArrow(text_blocks(n), BLOCKS)), n)
-    windows = deal(asked.mapInArrow(window_blocks(n), BLOCKS), n).select("pid", "block")
-    second = checkpointed(windows.mapInArrow(index_task(n, False), BLOCKS))
+    edges = deal(asked.mapInArrow(edge_blocks(n), BLOCKS), n).select("pid", "block")
+    second = checkpointed(edges.mapInArrow(index_task(n, read_edges, False), BLOCKS))
     repeats = first.filter(F.col("kind") == REPEATS).unionByName(second)
     return deal(repeats.unionByName(rows.mapInArrow(text_blocks(n), BLOCKS)), n)
 
