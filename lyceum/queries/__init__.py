@@ -1,4 +1,6 @@
 """Registered queries and the SQL that states them independently."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import events, graph, search, texts  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
