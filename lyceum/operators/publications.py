@@ -8,33 +8,10 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 
-#: Accent commands and the combining marks they stand for (fixed values).
-ACCENTS = {'"': "̈", "'": "́", "`": "̀", "^": "̂", "~": "̃", "c": "̧", "v": "̌"}
-
-
 def clean(c: Column) -> Column:
-    """Accents composed, escaped ampersands, dashes and ties replaced, braces dropped, blanks collapsed."""
-    out = c
-    for command, mark in ACCENTS.items():
-        head = "\\\\" + ("\\" if not command.isalnum() else "") + command
-        sep = r"\s+" if command.isalnum() else r"\s*"
-        out = F.regexp_replace(out, head + r"\{\\?([A-Za-z])\}", "$1" + mark)
-        out = F.regexp_replace(out, head + sep + r"\\?([A-Za-z])", "$1" + mark)
-    out = F.replace(F.replace(F.regexp_replace(out, r"\\([&%#_$])", "$1"), F.lit("--"), F.lit("–")), F.lit("~"), F.lit(" "))
-    return composed(T.collapse(F.regexp_replace(out, "[{}]", "")))
-
-
-def composed(c: Column) -> Column:
-    """Letters with their combining marks as single characters."""
-    import unicodedata
-
-    out = c
-    for mark in ACCENTS.values():
-        for letter in "aeiouyncszgrdtAEIOUYNCSZGRDT":
-            one = unicodedata.normalize("NFC", letter + mark)
-            if len(one) == 1:
-                out = F.replace(out, F.lit(letter + mark), F.lit(one))
-    return out
+    """Escaped signs, dashes and ties replaced, braces dropped, blanks collapsed; accents are composed when entries are read."""
+    out = F.replace(F.replace(F.regexp_replace(c, r"\\([&%#_$])", "$1"), F.lit("--"), F.lit("–")), F.lit("~"), F.lit(" "))
+    return T.collapse(F.regexp_replace(out, "[{}]", ""))
 
 
 def title_html(c: Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 ENTRY = "type string, key string, fields map<string,string>, pos int"
+#: Accent commands and the combining marks they stand for (fixed values).
+ACCENTS = {'"': "\u0308", "'": "\u0301", "`": "\u0300", "^": "\u0302", "~": "\u0303", "c": "\u0327", "v": "\u030c"}
+ACCENTED = re.compile(r"""\\(?:(["'`^~])\s*|([cv])(?:\s+|(?=\{)))(?:\{\\?([A-Za-z])\}|\\?([A-Za-z]))""")
 CLOSERS = {"{": "}", "(": ")"}
 
 
@@ -51,6 +56,11 @@ class Scanner:
                 yield kind, key.strip(), fields(rest)
 
 
+def accented(value: str) -> str:
+    """Accent commands as composed letters."""
+    return unicodedata.normalize("NFC", ACCENTED.sub(lambda m: (m[3] or m[4]) + ACCENTS[m[1] or m[2]], value))
+
+
 def fields(body: str) -> dict[str, str]:
     """Fields of an entry's body; parts of a value joined by # are concatenated."""
     out: dict[str, str] = {}
@@ -88,7 +98,7 @@ def fields(body: str) -> dict[str, str]:
                 continue
             break
         if name:
-            out[name] = value
+            out[name] = accented(value)
         at = body.find(",", at) + 1 or len(body)
     return out
 

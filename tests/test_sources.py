@@ -135,7 +135,7 @@ def test_text_functions(spark):
     assert one(T.plain_sentences("t"), t="# H\n```\ncode\n```\n- One [link](u) here. Two *bold* words.\n\n| t |\nThird one") == ["One link here.", "Two bold words.", "Third one"]
     assert [(s.heading, s.body) for s in one(T.page_sections("t"), t="pre\n## A ##\nx\n```\n# no\n```\n# B")] == [("", "pre"), ("A", "x\n```\n# no\n```"), ("B", "")]
     assert one(T.list_items(F.col("t")), t="- a [b](c) item;\n2. second\n* ok\nplain\n- zoom link") == ["a b item", "second"]
-    assert one(T.query_phrases("t"), t="What is the net force of motion") == ["force motion", "force of motion", "net force"]
+    assert one(T.query_phrases("t"), t="What is the net force of motion") == ["force motion", "force of motion", "net force", "net force of", "the net force"]
     assert one(T.without_comments("t"), t="a<!-- b\nc -->d") == "ad"
     assert one(T.slug("t"), t="Énergie & Travail!") == "énergie-travail"
     import re
