@@ -148,12 +148,12 @@ def _in_rounds(pairs: DataFrame, cap: int) -> DataFrame:
         if used is not None:
             ends = ends.join(used, "node", "left")
         quota = F.lit(cap) if used is None else F.lit(cap) - F.coalesce("used", F.lit(0))
-        taken = ends.groupBy("l", "r").agg(F.min((F.col("_n") <= quota).cast("int")).alias("ok")).filter("ok = 1").select("l", "r")
-        now = left.join(taken, ["l", "r"], "left_semi")
+        taken = ends.groupBy("l", "r", "score").agg(F.min((F.col("_n") <= quota).cast("int")).alias("ok")).filter("ok = 1").select("l", "r", "score").checkpoint()
+        now = left.join(taken, ["l", "r", "score"], "left_semi").select(*pairs.columns)
         chosen = (now if chosen is None else chosen.unionByName(now)).checkpoint()
         used = chosen.select(F.explode(F.array("l", "r")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
         full = used.filter(F.col("used") >= cap).select("node")
-        left = left.join(taken, ["l", "r"], "left_anti").join(full.withColumnRenamed("node", "l"), "l", "left_anti").join(full.withColumnRenamed("node", "r"), "r", "left_anti").select(*pairs.columns).checkpoint()
+        left = left.join(taken, ["l", "r", "score"], "left_anti").join(full.withColumnRenamed("node", "l"), "l", "left_anti").join(full.withColumnRenamed("node", "r"), "r", "left_anti").select(*pairs.columns).checkpoint()
     return chosen if chosen is not None else pairs.limit(0)
 
 
