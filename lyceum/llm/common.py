@@ -62,24 +62,35 @@ def add_columns(
     """
     keep = without(df, [f.name for f in fields])
     schema = T.StructType([df.schema[c] for c in keep] + fields)
+    # An input that is kept anyway isn't sent twice.
+    extra = [c for c in inputs if c not in keep]
+    at = [keep.index(c) if c in keep else len(keep) + extra.index(c) for c in inputs]
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
         for b in batches:
             cols = b.columns
-            new = compute(*cols[n_keep:])
+            new = compute(*[cols[i] for i in at])
             yield pa.RecordBatch.from_arrays([*cols[:n_keep], *new], names=schema.names)
 
-    picked = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(inputs)]
+    picked = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(extra)]
     return df.select(*picked).mapInArrow(run, schema)
 
 
-def texts(column: pa.Array) -> list[str]:
-    """Python strings, null as the empty text."""
-    return [x or "" for x in column.to_pylist()]
+#: Rows of a batch that are Python objects at one time.
+SLICE = 256
 
 
-def raw(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column, null as the empty text."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def raw(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 bytes of a string column, null as the empty text, a few rows at a time."""
+    for at in range(0, len(column), SLICE):
+        for x in column.slice(at, SLICE).cast(pa.binary()).to_pylist():
+            yield x or b""
+
+
+def texts(column: pa.Array) -> Iterator[str]:
+    """Python strings of a string column, null as the empty text, a few rows at a time."""
+    for at in range(0, len(column), SLICE):
+        for x in column.slice(at, SLICE).to_pylist():
+            yield x or ""
