@@ -15,7 +15,6 @@ as often as they occur; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,26 +113,18 @@ def labelled(df: DataFrame, label_col: str, id_col: str) -> DataFrame:
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", shrinkage: float = SHRINKAGE) -> Model:
-    """Class moments over every labelled row: summed by task, then by class, 2 (1 + D + D^2) numbers in all."""
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 + D + D * D))
-        for b in batches:
-            y = np.asarray(b.column(0))
-            x = np.asarray(b.column(1).flatten()).reshape(-1, D)
-            for c in (0, 1):
-                own = x[y == c]
-                sums[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
-        c, i = np.indices(sums.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(c.ravel(), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(sums.ravel())], names=["c", "i", "v"])
-
+    """Class moments over every labelled row, summed inside the plan: 1 + D + D (D + 1) / 2 numbers a class."""
     stats = featured(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), "_text", "_x").select("_id", "_x")
-    joined = stats.join(labelled(labels, label_col, id_col), "_id").select("_label", "_x")
-    rows = joined.mapInArrow(moments, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()
-    sums = np.zeros((2, 1 + D + D * D))
-    for r in rows:
-        sums[r.c, r.i] = r.v
-    return solve(sums[:, 0], sums[:, 1 : 1 + D], sums[:, 1 + D :].reshape(2, D, D), shrinkage)
+    joined = stats.join(labelled(labels, label_col, id_col), "_id").select("_label", *[F.get("_x", F.lit(i)).alias(f"x{i}") for i in range(D)])
+    pairs = [(i, j) for i in range(D) for j in range(i, D)]
+    sums_ = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs]
+    n, first, second = np.zeros(2), np.zeros((2, D)), np.zeros((2, D, D))
+    for r in joined.groupBy("_label").agg(F.count("*").alias("n"), *sums_).collect():
+        c = r["_label"]
+        n[c], first[c] = r["n"], [r[f"s{i}"] for i in range(D)]
+        for i, j in pairs:
+            second[c, i, j] = second[c, j, i] = r[f"p{i}_{j}"]
+    return solve(n, first, second, shrinkage)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
