@@ -5,8 +5,8 @@ all thresholds, theta ascending. x is sparse: log(1 + count) of a text's lower-c
 and their prefixes of four and five letters, hashed to BUCKETS. Expected severity is the sum
 of P(grade >= k).
 
-The labels are 0 and 1. Rows labelled 1 get grades 1 to GRADES - 1 by the terciles of the share
-of their words that carry a feature found almost only in rows labelled 1.
+The labels are 0 and 1. Rows labelled 1 get grades 1 to GRADES - 1 by the terciles of how often
+features occur in them that are found almost only in rows labelled 1.
 
 The fit uses at most ``max_rows`` rows of each label (SAMPLE by default), those of the
 least hash of their id, weighted up to the label's count, so its size is bounded; scoring
@@ -38,8 +38,10 @@ SAMPLE = 3000
 #: Features kept for the fit: those that differ most between the labels.
 FEATURES = 8192
 MIN_ROWS = 3
-L2 = 1e-3
-ROUNDS = 300
+#: Least z of the difference between the labels' shares for a feature to enter the fit.
+SIGNIFICANT = 4.0
+L2 = 1e-4
+ROUNDS = 1000
 #: Words whose features a task remembers.
 REMEMBER = 200_000
 WORD = re.compile(r"\w+")
@@ -117,12 +119,12 @@ def ordinal_fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.
     return p[:n_cols], p[n_cols] + np.concatenate([[0.0], np.cumsum(np.exp(p[n_cols + 1 :]))])
 
 
-def grades(label: np.ndarray, rate: np.ndarray, n: int = GRADES) -> np.ndarray:
-    """0 for label 0; for label 1 the rate's quantile class, 1 to n - 1."""
+def grades(label: np.ndarray, hits: np.ndarray, n: int = GRADES) -> np.ndarray:
+    """0 for label 0; for label 1 the quantile class of the hits, 1 to n - 1."""
     out = np.zeros(len(label), dtype=np.int64)
     own = label == 1
-    cuts = np.quantile(rate[own], np.arange(1, n - 1) / (n - 1))
-    out[own] = 1 + (rate[own][:, None] > cuts[None, :]).sum(axis=1)
+    cuts = np.quantile(hits[own], np.arange(1, n - 1) / (n - 1))
+    out[own] = 1 + (hits[own][:, None] > cuts[None, :]).sum(axis=1)
     return out
 
 
@@ -163,19 +165,20 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     in1 = np.bincount(col[label[at] == 1], minlength=BUCKETS)
     in0 = np.bincount(col[label[at] == 0], minlength=BUCKETS)
     odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-    z = np.where(in1 + in0 >= MIN_ROWS, np.abs(odds) / np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5)), 0)
+    both = ((in1 + in0) / (n1 + n0)).clip(0, 1)
+    spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
+    z = np.where(in1 + in0 >= MIN_ROWS, np.abs(in1 / n1 - in0 / n0) / spread, 0)
     best = np.argsort(-z, kind="stable")[:FEATURES]
-    best = np.sort(best[z[best] > 0])
+    best = np.sort(best[z[best] >= SIGNIFICANT])
     strong = np.zeros(BUCKETS, dtype=bool)
     strong[best] = (odds[best] > np.log(20)) & (z[best] > 3)
     count = np.expm1(val)
-    total = np.maximum(np.bincount(at, weights=count, minlength=len(rows)), 1)
-    rate = np.bincount(at, weights=count * strong[col], minlength=len(rows)) / total
+    hits = np.bincount(at, weights=count * strong[col], minlength=len(rows))
     place = np.full(BUCKETS, -1)
     place[best] = np.arange(len(best))
     use = place[col] >= 0
     weight = np.where(label == 1, counts[1] / n1, counts[0] / n0)
-    w, theta = ordinal_fit(at[use], place[col[use]], val[use], grades(label, rate), weight, len(best))
+    w, theta = ordinal_fit(at[use], place[col[use]], val[use], grades(label, hits), weight, len(best))
     dense = np.zeros(BUCKETS, dtype=np.float32)
     dense[best] = w
     return Model(dense, theta)
