@@ -48,8 +48,8 @@ def statistics(data: bytes) -> list[float]:
     echo = sum(map(bytes.__eq__, words, words[1:]))
     lines = data.split(b"\n")
     repeated = len(lines) - len(set(lines))
-    # Shares are smoothed as if 40 more bytes held nothing, so short texts aren't extreme.
-    scaled = [math.log((s + 0.05) / (n + 40.0)) for s in shares]
+    # Shares are smoothed as if 40 more bytes held one hit, so short texts aren't extreme.
+    scaled = [math.log((s + 1.0) / (n + 40.0)) for s in shares]
     # A long text repeats words anyway: distinct words are held against Heaps' exponent.
     types = math.log((distinct + 5.0) / (m + 5.0)) + 0.15 * math.log1p(m / 50.0)
     return [math.log1p(n), math.log((n + 6.0) / (m + 1.0)), *scaled, types, math.log((echo + 0.3) / (m + 20.0)), math.log((repeated + 0.5) / (len(lines) + 4.0))]
