@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .. import constants as C
 from ..functions import text as T
@@ -18,11 +19,15 @@ def taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     """The most frequent words of four letters or more, each with its plural-like and a two-word alias."""
     words = chunks(spark, sf).select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).filter(F.length("w") >= 4)
     best = words.groupBy("w").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "w").limit(TAXONOMY)
-    return best.select(F.col("w").alias("id"), F.col("w").alias("label"), F.substring("w", 1, 1).alias("category"), F.array("w", F.concat("w", F.lit("s")), F.concat(F.lit("the "), F.col("w"))).alias("aliases"))
+    # A taxonomy is a small table that people edit: it stands as rows of the plan.
+    rows = [(r.w, r.w, r.w[0], [r.w, r.w + "s", "the " + r.w]) for r in best.collect()]
+    return spark.createDataFrame(rows, "id string, label string, category string, aliases array<string>")
 
 
-def mentioned(spark: SparkSession, sf: str) -> DataFrame:
-    return K.mentions(chunks(spark, sf), taxonomy(spark, sf), ["module", "section", "id"])
+def mentioned(spark: SparkSession, sf: str, again: bool = False) -> DataFrame:
+    """Mentions by chunk; kept (memory, then disk) for a query that reads them ``again``."""
+    rows = K.mentions(chunks(spark, sf), taxonomy(spark, sf), ["module", "section", "id"])
+    return rows.persist(StorageLevel.MEMORY_AND_DISK) if again else rows
 
 
 def stop(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +104,7 @@ cb AS (SELECT l, r, n_shared / CAST(n_l + n_r - n_shared AS DOUBLE) AS score, n_
 
 @query(f"WITH {BASE}, {RELATED} SELECT l, r, round(score, 6) AS score, n_shared FROM rc")
 def related_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.related_concepts(mentioned(spark, sf)).withColumn("score", F.round("score", 6))
+    return graph.related_concepts(mentioned(spark, sf, again=True)).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {BASE}, {TB} SELECT l, r, round(score, 6) AS score, n_shared FROM tb")
@@ -138,7 +143,7 @@ def built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def plain_edges(spark: SparkSession, sf: str) -> DataFrame:
-    c, m = chunks(spark, sf), mentioned(spark, sf)
+    c, m = chunks(spark, sf), mentioned(spark, sf, again=True)
     kinds = [graph.contains_edges(c), graph.mentions_edges(m), graph.covers_edges(m), graph.sequence_edges(graph.chapters(c))]
     rel = graph.related_edges(graph.related_concepts(m), "evidence", T.keyword_id(F.col("l")), T.keyword_id(F.col("r")))
     out = rel
@@ -192,7 +197,7 @@ def graph_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c, m = chunks(spark, sf), mentioned(spark, sf)
+    c, m = chunks(spark, sf), mentioned(spark, sf, again=True)
     return graph.nodes(c, taxonomy(spark, sf), m, graph.chapters(c)), c, m
 
 
