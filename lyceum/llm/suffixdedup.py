@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIN_LONG, checkpointed, shuffle_partitions
+from .common import MIN_LONG, checkpointed, release, shuffle_partitions
 
 WIDTH, K = 50, 20
 #: Text bytes whose records are made together, and those that are dealt to blocks together.
@@ -616,9 +616,13 @@ def matched(df: DataFrame, id_col: str, text_col: str, others: list[str]) -> Dat
     pair = rows.select("_key", "_text")
     records = deal(pair.mapInArrow(record_blocks(n), BLOCKS), n).select("pid", "block")
     first = checkpointed(records.mapInArrow(index_task(n, read_records, True), BLOCKS))
+    del records
+    release(df.sparkSession)
     asked = deal(first.filter(F.col("kind") == ASKED).unionByName(pair.mapInArrow(text_blocks(n), BLOCKS)), n)
     edges = deal(asked.mapInArrow(edge_blocks(n), BLOCKS), n).select("pid", "block")
     second = checkpointed(edges.mapInArrow(index_task(n, read_edges, False), BLOCKS))
+    del asked, edges
+    release(df.sparkSession)
     repeats = first.filter(F.col("kind") == REPEATS).unionByName(second)
     return deal(repeats.unionByName(rows.mapInArrow(text_blocks(n), BLOCKS)), n)
 
