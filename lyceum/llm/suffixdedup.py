@@ -191,7 +191,7 @@ def spans(buf: np.ndarray, ends: np.ndarray, width: int = WIDTH, k: int = K) ->
 
 
 class Records:
-    """Columns c, x (fingerprint), doc, uid, start, length of suffixes, ordered by c."""
+    """Columns c, x (fingerprint), doc, uid, start, length of suffixes, ordered by c and x."""
 
     NAMES = ("c", "x", "doc", "uid", "start", "length")
 
@@ -217,7 +217,33 @@ class Records:
     @staticmethod
     def merge(a: Records, b: Records) -> Records:
         whole = Records.join([a, b])
-        return whole.take(np.argsort(whole.c, kind="stable"))
+        whole = whole.take(np.argsort(whole.c, kind="stable"))
+        same = whole.c[1:] == whole.c[:-1]
+        wrong = same & (whole.x[1:] < whole.x[:-1])
+        if wrong.any():  # few runs of equal c hold several x; only these are sorted by it
+            run = np.cumsum(np.concatenate([[False], ~same]))
+            mixed = np.zeros(run[-1] + 1, dtype=bool)
+            mixed[run[1:][wrong]] = True
+            at = np.flatnonzero(mixed[run])
+            order = np.arange(len(whole))
+            order[at] = at[np.lexsort((whole.x[at], whole.c[at]))]
+            whole = whole.take(order)
+        return whole
+
+    def search(self, c: np.ndarray, x: np.ndarray, side: str = "left") -> np.ndarray:
+        """Where each (c, x) would go in, as ``np.searchsorted``."""
+        low = np.searchsorted(self.c, c)
+        within = np.minimum(low, max(len(self) - 1, 0))
+        left = np.flatnonzero((low < len(self)) & (self.c[within] == c))
+        high = low.copy()
+        high[left] = np.searchsorted(self.c, c[left], "right")
+        while len(left):
+            middle = (low[left] + high[left]) // 2
+            after = self.x[middle] <= x[left] if side == "right" else self.x[middle] < x[left]
+            low[left[after]] = middle[after] + 1
+            high[left[~after]] = middle[~after]
+            left = left[low[left] < high[left]]
+        return low
 
 
 class LevelFamily:
@@ -246,7 +272,7 @@ class LevelFamily:
         for i, level in enumerate(self.levels):
             if level is None or not len(new):
                 continue
-            at = np.searchsorted(level.c, new.c)
+            at = level.search(new.c, new.x)
             inside = np.minimum(at, len(level) - 1)
             equal = (at < len(level)) & (level.c[inside] == new.c) & (level.x[inside] == new.x)
             older = np.zeros(len(new), dtype=bool)
@@ -256,7 +282,7 @@ class LevelFamily:
             if len(newer):
                 lost = np.zeros(len(level) + 1, dtype=np.int64)
                 np.add.at(lost, at[newer], 1)
-                np.add.at(lost, np.searchsorted(level.c, new.c[newer], "right"), -1)
+                np.add.at(lost, level.search(new.c[newer], new.x[newer], "right"), -1)
                 level = out(level, np.cumsum(lost[:-1]) > 0)
                 self.levels[i] = level if len(level) else None
             new = out(new, older)

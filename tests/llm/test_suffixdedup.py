@@ -65,6 +65,41 @@ def test_levels_agree_in_any_order(size, monkeypatch):
     assert sum(sizes) == n - len(found)
 
 
+def records(c, x, doc):
+    n = len(doc)
+    return suffixdedup.Records(c=np.array(c, dtype=np.uint64), x=np.array(x, dtype=np.uint32), doc=np.array(doc), uid=np.arange(n).astype(np.uint64), start=np.zeros(n, dtype=np.uint32), length=np.zeros(n, dtype=np.uint8))
+
+
+def test_a_lesser_document_evicts_its_own_span_only():
+    whole = records([7, 7, 7], [1, 2, 1], [10, 3, 5])
+    family = suffixdedup.LevelFamily()
+    assert family.add(suffixdedup.Records.array([whole.take(np.array([0, 1]))])) == []
+    assert [u for r in family.add(whole.take(np.array([2]))) for u in r[0].tolist()] == [0]
+
+
+@pytest.mark.parametrize("size", [7, 50, 400, 10**6])
+def test_levels_tell_spans_of_equal_c_apart(size, monkeypatch):
+    """Several x under one c, whatever the batches: marks and what stays are those of a dictionary."""
+    monkeypatch.setattr(suffixdedup, "BATCH", size)
+    rng = np.random.default_rng(size)
+    n = 3000
+    whole = records(rng.integers(0, 40, n), rng.integers(0, 12, n), rng.integers(0, 60, n))
+    family, found = suffixdedup.LevelFamily(), []
+    for at in np.array_split(rng.permutation(n), max(1, n // size)):
+        found += [u for r in family.add(suffixdedup.Records.array([whole.take(at)])) for u in r[0].tolist()]
+    keys, docs, least = list(zip(whole.c.tolist(), whole.x.tolist())), whole.doc.tolist(), {}
+    for k, d in zip(keys, docs):
+        least[k] = min(d, least.get(k, d))
+    repeats = [i for i in range(n) if docs[i] > least[keys[i]]]
+    assert sorted(found) == repeats
+    left = [u for level in family.levels if level is not None for u in level.uid.tolist()]
+    assert sorted(left) == sorted(set(range(n)) - set(repeats))
+    for level in family.levels:
+        if level is not None:
+            pairs = list(zip(level.c.tolist(), level.x.tolist()))
+            assert pairs == sorted(pairs)
+
+
 def test_empty_and_rewriting(spark):
     empty = frame(spark, [])
     assert result(empty) == []
