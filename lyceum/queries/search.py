@@ -106,9 +106,9 @@ q AS (SELECT vec_id AS qid, e AS qe, m AS qm FROM n WHERE vec_id % 100 = 0),
 s AS (SELECT qid, vec_id AS id, round(list_dot_product(e, qe) / CASE WHEN m > 0 THEN m ELSE 1 END / CASE WHEN qm > 0 THEN qm ELSE 1 END, 6) AS score FROM n, q)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Every hundredth vector asks, all vectors answer."""
+    """Every twentieth vector asks, all vectors answer."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = v.filter("id % 100 = 0").withColumnRenamed("id", "qid")
+    asked = v.filter("id % 20 = 0").withColumnRenamed("id", "qid")
     return search.topk(search.dense(v, asked).withColumnRenamed("meaning", "score"), 10)
 
 
