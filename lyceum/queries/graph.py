@@ -277,7 +277,7 @@ def collaborators(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH e AS (SELECT DISTINCT l_orderkey AS o, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40) SELECT p_brand AS theme, count(*) AS papers FROM e GROUP BY ALL")
 def themes(spark: SparkSession, sf: str) -> DataFrame:
     """Brands as themes of orders."""
-    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part").filter("p_size > 40")
+    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     rows = li.join(p, li.l_partkey == p.p_partkey).select("l_orderkey", "p_brand").distinct()
     return rows.groupBy(F.col("p_brand").alias("theme")).agg(F.count("*").alias("papers"))
 

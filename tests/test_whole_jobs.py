@@ -11,3 +11,8 @@ def test_every_twentieth_vector_asks(spark):
 s AS (SELECT q.vec_id AS qid, n.vec_id AS id, round(list_dot_product(n.e, q.e) / CASE WHEN n.m > 0 THEN n.m ELSE 1 END / CASE WHEN q.m > 0 THEN q.m ELSE 1 END, 6) AS score FROM n, n q WHERE q.vec_id % 20 = 0)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
     assert differences(QUERIES["vector_topk"](spark, SF), SF, sql) is None
+
+
+def test_themes_of_all_parts(spark):
+    sql = "SELECT p_brand AS theme, count(DISTINCT l_orderkey) AS papers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
+    assert differences(QUERIES["themes"](spark, SF), SF, sql) is None
