@@ -1,5 +1,8 @@
 """Queries against statements of their whole job where the registered SQL states a part of it."""
 
+import pytest
+
+from lyceum.operators import events
 from lyceum.queries import QUERIES
 from tests.compare import differences
 
@@ -16,3 +19,22 @@ SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score D
 def test_themes_of_all_parts(spark):
     sql = "SELECT p_brand AS theme, count(DISTINCT l_orderkey) AS papers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
     assert differences(QUERIES["themes"](spark, SF), SF, sql) is None
+
+
+ROSTER = """usage AS (SELECT CASE WHEN user_id % 13 = 0 THEN 'address:' || CAST(user_id AS VARCHAR) ELSE 'u' || CAST(user_id AS VARCHAR) || '@example.org' END AS email, count(*) AS questions FROM events GROUP BY ALL),
+roster AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) || '@example.org' AS email, c_name AS name FROM customer)"""
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_all_customers_are_students(spark, sf):
+    at = f"/root/testdata/{sf}"
+    sql = f"WITH {ROSTER} SELECT r.email, name, CAST(coalesce(sum(questions), 0) AS BIGINT) AS questions FROM roster r LEFT JOIN usage u ON u.email = r.email GROUP BY ALL"
+    assert differences(QUERIES["students_report"](spark, at), at, sql) is None
+    sql = f"WITH {ROSTER} SELECT email, CAST(sum(questions) AS BIGINT) AS questions FROM usage WHERE email NOT LIKE 'address:%' AND email NOT IN (SELECT email FROM roster) GROUP BY email"
+    assert differences(QUERIES["unknown_users"](spark, at), at, sql) is None
+
+
+def test_an_unlisted_user_is_unknown(spark):
+    roster = spark.createDataFrame([("u1@example.org", "One")], "email string, name string")
+    usage = spark.createDataFrame([("u1@example.org", 2), ("u9@example.org", 1), ("u9@example.org", 3), ("address:4", 5)], "email string, questions int")
+    assert [tuple(r) for r in events.unknown_users(roster, usage).select("email", "questions").collect()] == [("u9@example.org", 4)]
