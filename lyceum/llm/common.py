@@ -7,11 +7,11 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MIN_LONG = -(2**63)
+MIN_LONG, MAX_LONG = -(2**63), 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, its lineage cut."""
+#: Rows that a task writes of a table of a few numbers a row, and of rows that come from whole texts.
+PER_TASK, TEXTS_PER_TASK = 100_000, 8_192
+
+
+def in_tasks(df: DataFrame, rows: int, per: int = PER_TASK) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need; fewer partitions stay as they are."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per)))
+
+
+def checkpointed(df: DataFrame, rows: int | None = None, per: int = PER_TASK) -> DataFrame:
+    """``df`` written once to the shared folder, its lineage cut; with ``rows`` in as many files as these need.
+
+    Every file costs the shared file system a few calls, so small tables must not be written by hundreds of tasks.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else in_tasks(df, rows, per)).checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
@@ -56,6 +68,33 @@ def without(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): what names a row, its id (null as the greatest long) and a hash of its text (null as empty)."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MAX_LONG)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def rows_named(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that ``kept`` (id, h) names; of repeated rows one, the least by its other columns."""
+    a, b, n = unused(df, "_id", "_h", "_n")
+    others = [f"`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, text_col)]
+    own = df.withColumn(a, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MAX_LONG))).withColumn(b, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    own = own.join(kept.select(F.col("id").alias(a), F.col("h").alias(b)), [a, b], "left_semi")
+    order = Window.partitionBy(a, b).orderBy(*others) if others else Window.partitionBy(a, b).orderBy(a)
+    return own.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def add_columns(
     df: DataFrame,
     inputs: list[str],

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Links that a task writes in a round, so that few links make few files.
-PER_TASK = 200_000
-
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One step over (u, v) rows with u > v: every node's neighbours (large: the greater ones, small: the lesser ones and itself) link to its least neighbour."""
@@ -23,23 +20,21 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the least node of each linked node's component, for links (u, v) of longs.
+def components(links: DataFrame, nodes: int | None = None) -> DataFrame:
+    """(node, root): the least node of each linked node's component, for links (u, v) of longs among ``nodes`` nodes.
 
     Each round is checkpointed in as many files as its links need, so no lineage grows; rounds
     grow with the logarithm of the longest path. Nodes without links are not returned.
     """
-    state = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    state = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), nodes)
 
     def digest(df: DataFrame) -> tuple:
         r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         return r[0], r[1]
 
     seen = digest(state)
-    cores = links.sparkSession.sparkContext.defaultParallelism
     while seen[0]:
-        tasks = max(cores, -(-2 * seen[0] // PER_TASK))
-        state = checkpointed(_star(_star(state, True), False).coalesce(tasks))
+        state = checkpointed(_star(_star(state, True), False), seen[0])
         now = digest(state)
         if now == seen:
             break

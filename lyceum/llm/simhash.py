@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIN_LONG, add_columns, checkpointed, raw, shuffle_partitions
+from .common import TEXTS_PER_TASK, add_columns, checkpointed, in_tasks, named, raw, rows_named, shuffle_partitions
 from .components import components
 
 SHINGLE = 3
@@ -55,9 +55,8 @@ def shingles(data: bytes, k: int = SHINGLE) -> list[bytes]:
     return [whole[a:b] for a, b in zip(starts, ends[k - 1 :], strict=False)]
 
 
-def fingerprint(data: bytes, k: int = SHINGLE) -> int:
-    """The 64-bit fingerprint as a signed number."""
-    h = np.array([_hash(s, SEED) for s in shingles(data, k)], dtype=np.uint64)
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have set, as a signed number."""
     if not len(h):
         return 0
     counts = np.zeros(64, dtype=np.int64)
@@ -67,6 +66,11 @@ def fingerprint(data: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(data: bytes, k: int = SHINGLE) -> int:
+    """The 64-bit fingerprint as a signed number."""
+    return majority(np.array([_hash(s, SEED) for s in shingles(data, k)], dtype=np.uint64))
+
+
 def fingerprinted(df: DataFrame, text_col: str = "text", out: str = "fp", k: int = SHINGLE) -> DataFrame:
     def start():
         def compute(column: pa.Array) -> list[pa.Array]:
@@ -175,10 +179,11 @@ def second_index(rows: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(u, v): every two distinct fingerprints of ``fps`` that differ in one or two bits, once."""
+def links(fps: DataFrame, limit: int = LIMIT, n: int | None = None) -> DataFrame:
+    """(u, v): every two distinct fingerprints of ``fps`` (``n`` rows) that differ in one or two bits, once."""
     dealt = variants(fps).repartition(shuffle_partitions(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
-    found = checkpointed(dealt.mapInArrow(link(limit), "a long, b long, c long"))
+    # Each fingerprint has 64 variants, so tasks take fewer of them.
+    found = checkpointed(dealt.mapInArrow(link(limit), "a long, b long, c long"), n, TEXTS_PER_TASK)
     out = found.filter("c is null").select(F.col("a").alias("u"), F.col("b").alias("v"))
     large = found.filter("c is not null").select(F.col("a").alias("key"), F.col("c").alias("fp"))
     if large.isEmpty():
@@ -186,32 +191,35 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(second_index(large)).distinct()
 
 
-def classes(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(fp, least_id, component_id) for rows (id, fp)."""
-    own = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = components(links(own.select("fp"), limit)).withColumnRenamed("node", "fp")
-    rooted = own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return checkpointed(rooted.join(least, "root").select("fp", "least_id", "component_id"))
+def rooted(own: DataFrame, limit: int = LIMIT, n: int | None = None) -> DataFrame:
+    """``own`` (fp, ...; one row for each of its ``n`` fingerprints) with ``root``, a name for the component."""
+    roots = components(links(own.select("fp"), limit, n), n).withColumnRenamed("node", "fp")
+    return own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """(id, fingerprint, component_id), one row for each row of ``df``."""
+    n = df.count()
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("_text"))
-    fps = checkpointed(fingerprinted(rows, "_text", "fp", k).select("id", "fp"))
-    found = classes(fps, limit).select("fp", "component_id")
+    fps = checkpointed(fingerprinted(rows, "_text", "fp", k).select("id", "fp"), n, TEXTS_PER_TASK)
+    own = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least_id")), n)
+    named = checkpointed(rooted(own, limit, n), n)
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    found = named.join(least, "root").select("fp", "component_id")
     # A hot fingerprint's rows are two longs each; a skewed join is split at run time.
-    return fps.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = fps.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return in_tasks(out, n)
+
+
+def least_rows(marked: DataFrame, n: int, limit: int = LIMIT) -> DataFrame:
+    """(id, h): the least row of each component of ``marked`` (id, h, fp; ``n`` rows)."""
+    own = checkpointed(marked.groupBy("fp").agg(F.min(F.struct("id", "h")).alias("first")), n)
+    first = rooted(own, limit, n).groupBy("root").agg(F.min("first").alias("first"))
+    return checkpointed(first.select("first.id", "first.h"), n)
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
-    """``df`` with one row of each component: that of its least id (of repeated rows the first by text)."""
-    marked = fingerprinted(df, text_col, "_fp", k).withColumn("_key", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MIN_LONG)))
-    fps = checkpointed(marked.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("_fp").alias("fp")))
-    kept = classes(fps, limit).filter("least_id <=> component_id")
-    winners = kept.filter("component_id is not null").groupBy("component_id").agg(F.min("fp").alias("fp")).select("fp", F.col("component_id").alias("_key"))
-    # Components without any id: each fingerprint stands for itself.
-    winners = winners.unionByName(kept.filter("component_id is null").select("fp", F.lit(MIN_LONG).alias("_key")))
-    one = Window.partitionBy("_key", "_fp").orderBy(F.col(f"`{text_col}`").asc_nulls_first())
-    chosen = marked.join(winners.withColumnRenamed("fp", "_fp"), ["_key", "_fp"], "left_semi")
-    return chosen.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    """``df`` with one row of each component: that of its least id, a null id being the last (of one id the least hash of the text)."""
+    n = df.count()
+    marked = checkpointed(fingerprinted(named(df, id_col, text_col), "text", "fp", k).select("id", "h", "fp"), n, TEXTS_PER_TASK)
+    return rows_named(df, least_rows(marked, n, limit), id_col, text_col)

@@ -2,17 +2,23 @@
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of at least 0.8. Each
 set's BANDS * ROWS least values under as many hash functions make BANDS keys; sets of similarity 0.8 share one of them
-with probability 1 - (1 - 0.8^5)^24 = 0.99993, more similar ones more often. Every link is verified on the whole sets.
+with probability 1 - (1 - 0.8^5)^24 = 0.99993, more similar ones more often. Every link is verified on the whole texts.
 
 Within a key the least rows lead: all others are compared with them, those that are similar go, and the leaders are done
 there. Leaders double each round until no key has two rows left, so a large group of copies costs one comparison
 for each copy. Of two similar rows that share a key one always goes, and a row goes only for a similar one before it.
+The first keys are gone through on their own (SCHEDULE): they take out most rows of large groups, which then don't
+meet their leaders again under every other key.
 
-Rows are ordered by id, null first, and by a hash of the text. Rows of equal id and text count as one. Texts without words stay.
+Rows are ordered by id, null last, and by a hash of the text. Rows of equal id and text count as one. Texts without words
+stay, unless ``fingerprints`` asks for one row of each group of linked SimHash fingerprints first (operator 10). An empty table
+stays empty; other columns come through as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,19 +26,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIN_LONG, add_columns, checkpointed, raw
-from .simhash import SEED, shingles
+from .common import TEXTS_PER_TASK, add_columns, checkpointed, named, raw, release, rows_named
+from .simhash import SEED, least_rows, majority, shingles
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Bands whose keys are gone through together.
+SCHEDULE = [(0, 1), (1, 2), (2, BANDS)]
 _RANDOM = np.random.default_rng(SEED)
 _FACTOR = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def hashes(data: bytes) -> np.ndarray:
-    """The ordered set of a text's hashed shingles."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(data, WORDS)], dtype=np.uint64))
+    """A text's hashed shingles, repeats included."""
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(data, WORDS)], dtype=np.uint64)
 
 
 def keys(of: np.ndarray) -> list[int]:
@@ -47,64 +55,92 @@ def keys(of: np.ndarray) -> list[int]:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets given as distinct values."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(len(a) + len(b) - both, 1)
 
 
-def _keyed():
+def _signatures():
     def compute(column: pa.Array) -> list[pa.Array]:
-        return [pa.array([keys(hashes(x)) for x in raw(column)], pa.list_(pa.int64()))]
+        fps, bands = [], []
+        for data in raw(column):
+            own = hashes(data)
+            fps.append(majority(own))
+            bands.append(keys(np.unique(own)))
+        return [pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
 
     return compute
 
 
-def _sets():
-    def compute(column: pa.Array) -> list[pa.Array]:
-        return [pa.array([hashes(x).tobytes() for x in raw(column)], pa.binary())]
-
-    return compute
-
+def signed(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(id, h, fp, bands) of the ``n`` rows, from one pass over the texts."""
+    fields = [T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return checkpointed(add_columns(named(df, id_col, text_col), ["text"], fields, _signatures).select("id", "h", "fp", "bands"), n, TEXTS_PER_TASK)
 
-def _similar():
-    def compute(a: pa.Array, b: pa.Array) -> list[pa.Array]:
-        ok = []
-        for x, y in zip(a, b, strict=True):
-            ok.append(similarity(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)) >= LEAST)
-        return [pa.array(ok, pa.bool_())]
 
-    return compute
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, h, text, text0), sorted so that equal texts0 follow each other, to those (id, h) that are similar."""
+    leader, its = None, None
+    for b in batches:
+        ids, hs, ok = b.column(0), b.column(1), []
+        for text, other in zip(raw(b.column(2)), raw(b.column(3)), strict=True):
+            if other != leader:
+                leader, its = other, np.unique(hashes(other))
+            ok.append(similarity(np.unique(hashes(text)), its) >= LEAST)
+        mask = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([ids.filter(mask), hs.filter(mask)], names=["id", "h"])
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Those of the rows (key, id, h) whose key has several."""
-    many = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    """Those of the rows (key, ...) whose key has several."""
+    many = rows.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
     return rows.join(many, "key", "left_semi")
 
 
-def dropped(rows: DataFrame) -> DataFrame | None:
-    """(id, h) of the rows (id, h, _text) that are near copies of one before them; None if there are none."""
-    banded = add_columns(rows, ["_text"], [T.StructField("_keys", T.ArrayType(T.LongType()))], _keyed).select("id", "h", F.explode("_keys").alias("key"))
-    left = checkpointed(shared(checkpointed(banded.distinct())))
-    sets = checkpointed(add_columns(rows.join(left.select("id", "h").distinct(), ["id", "h"], "left_semi"), ["_text"], [T.StructField("_set", T.BinaryType())], _sets).select("id", "h", "_set").dropDuplicates(["id", "h"]))
-    gone, leaders = None, 1
-    while not left.isEmpty():
-        ranked = left.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("id", "h")))
-        lead = ranked.filter(F.col("_n") <= leaders).select("key", F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("_n").alias("_n0"))
-        pairs = ranked.join(lead, "key").filter("_n > _n0").select("id0", "h0", "id", "h").distinct()
-        first = sets.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("_set").alias("_set0"))
-        both = pairs.join(sets, ["id", "h"]).join(first, ["id0", "h0"]).select("id", "h", "_set", "_set0")
-        now = checkpointed(add_columns(both, ["_set", "_set0"], [T.StructField("_ok", T.BooleanType())], _similar).filter("_ok").select("id", "h").distinct())
-        gone = now if gone is None else checkpointed(gone.unionByName(now))
-        rest = ranked.filter(F.col("_n") > leaders).drop("_n").join(now, ["id", "h"], "left_anti")
-        left = checkpointed(shared(checkpointed(rest)))
-        leaders *= 2
+def dropped(alive: DataFrame, texts: DataFrame, n: int) -> list[DataFrame]:
+    """Tables (id, h) of the rows of ``alive`` (id, h, bands; distinct, at most ``n``) that are near copies of one before them; ``texts`` has (id, h, text)."""
+    every = alive.select("id", "h", F.posexplode("bands").alias("band", "key"))
+    keyed = checkpointed(shared(every), n)
+    release(alive.sparkSession)
+    # Only rows that meet another are compared, so only their texts are carried along.
+    bodies = checkpointed(texts.join(keyed.select("id", "h").distinct(), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]), n, TEXTS_PER_TASK)
+    gone: list[DataFrame] = []
+
+    def without(rows: DataFrame, tables: list[DataFrame]) -> DataFrame:
+        for t in tables:
+            rows = rows.join(t, ["id", "h"], "left_anti")
+        return rows
+
+    for low, high in SCHEDULE:
+        left, leaders = checkpointed(shared(without(keyed.filter(F.col("band").between(low, high - 1)).select("key", "id", "h"), gone)), n), 1
+        while not left.isEmpty():
+            place = F.row_number().over(Window.partitionBy("key").orderBy("id", "h"))
+            lead = checkpointed(left.withColumn("_n", place).filter(F.col("_n") <= leaders).select("key", F.col("id").alias("id0"), F.col("h").alias("h0")), n)
+            pairs = left.join(lead, "key").filter("struct(id, h) > struct(id0, h0)").select("id0", "h0", "id", "h").distinct()
+            first = bodies.select(F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("text").alias("text0"))
+            both = pairs.join(bodies, ["id", "h"]).join(first, ["id0", "h0"]).select("id", "h", "text", "text0")
+            now = checkpointed(both.mapInArrow(compared, "id long, h long").distinct(), n)
+            gone.append(now)
+            rest = left.join(lead.select("key", F.col("id0").alias("id"), F.col("h0").alias("h")), ["key", "id", "h"], "left_anti")
+            left = checkpointed(shared(without(rest, [now])), n)
+            leaders *= 2
     return gone
 
 
-def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that are near copies of one before them."""
-    marked = checkpointed(df.withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MIN_LONG))).withColumn("_h", F.xxhash64(F.col(f"`{text_col}`"))))
-    gone = dropped(marked.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col(f"`{text_col}`").alias("_text")))
-    if gone is not None:
-        marked = marked.join(gone.distinct().select(F.col("id").alias("_id"), F.col("h").alias("_h")), ["_id", "_h"], "left_anti")
-    return marked.select(*[F.col(f"`{c}`") for c in df.columns])
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:
+    """``df`` without the rows that are near copies of one before them; ``fingerprints``: first with one row of each group of linked fingerprints."""
+    n = df.count()
+    if not n:
+        return df
+    marked = signed(df, id_col, text_col, n)
+    alive = marked.select("id", "h", "bands").dropDuplicates(["id", "h"])
+    if fingerprints:
+        alive = alive.join(least_rows(marked.select("id", "h", "fp"), n), ["id", "h"], "left_semi")
+    alive = checkpointed(alive, n)
+    release(df.sparkSession)
+    kept = alive.select("id", "h")
+    for table in dropped(alive, named(df, id_col, text_col), n):
+        kept = kept.join(table, ["id", "h"], "left_anti")
+    kept = checkpointed(kept, n)
+    release(df.sparkSession)
+    return rows_named(df, kept, id_col, text_col)

@@ -366,10 +366,10 @@ def test_bpe_table(spark):
 # ------------------------------------------------------------------ 10 SimHash
 
 
-def slow_fingerprint(data):
+def slow_fingerprint(data, k=3):
     words = [w for w in __import__("re").split(rb"[\x20\x09-\x0d]+", data) if w]
     words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
-    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    grams = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
     h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
