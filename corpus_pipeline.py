@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyceum.llm import packing, quality, similar, simhash, suffixdedup, toxicity
+from lyceum.llm import packing, quality, similar, suffixdedup, toxicity
 from lyceum.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,8 +33,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of every group of linked fingerprints, and of these
     none whose five-word shingles are 0.8 or more similar to those of a document of smaller id.
+
+    Fingerprints are of five-word shingles, too. Texts that are null or without words are one group; of rows of equal
+    id and text one stays; null ids come last.
     """
-    return similar.without_copies(simhash.deduplicated(docs.select(*COLUMNS)))
+    return similar.without_copies(docs.select(*COLUMNS), fingerprints=True)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
