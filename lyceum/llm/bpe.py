@@ -41,6 +41,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refuse_unknown(spec: dict) -> None:
+    """Raises an error where a tokenizer file sets what isn't done here."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    found = {
+        "model": model.get("type", "BPE") != "BPE",
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": before.get("type") != "ByteLevel" or not before.get("use_regex", True),
+        "add_prefix_space": bool(before.get("add_prefix_space")),
+        "decoder": (spec.get("decoder") or {"type": "ByteLevel"}).get("type") != "ByteLevel",
+        **{k: bool(model.get(k)) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")},
+        "added_tokens": any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")),
+    }
+    if any(found.values()):
+        raise ValueError(f"a tokenizer file with settings that aren't supported: {', '.join(k for k, v in found.items() if v)}")
+
+
 class Tokenizer:
     def __init__(self, vocab: dict[bytes, int], pairs: dict[tuple[int, int], tuple[int, int]], added: dict[str, int]):
         self.vocab, self.pairs, self.added = vocab, pairs, added
@@ -55,6 +71,7 @@ class Tokenizer:
     def load(path: str) -> Tokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_unknown(spec)
         letters = byte_letters()
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         text_vocab = spec["model"]["vocab"]

@@ -1,4 +1,4 @@
-"""Chat formatting by a finite-state machine over roles (operator 6, native).
+r"""Chat formatting by a finite-state machine over roles (operator 6, native).
 
 A template declares the states' transitions, the marks around a turn and which roles and
 marks are trained on. ``machine`` runs it over the turns of each conversation in order (the
@@ -6,8 +6,8 @@ state after a turn is its role, or an absorbing error), ``segments`` emits the t
 with a loss flag each, and ``conversations`` gathers them, one row per conversation.
 
 Control strings inside texts are escaped: a ``<``, any backslashes and a ``|`` get one backslash
-more, so no ``<|`` is left; ``unescaped`` takes it away again. In roles, line breaks and
-backslashes are escaped as well.
+more, so no ``<|`` is left; ``unescaped`` takes it away again. In roles, backslashes become ``\b`` and line
+breaks ``\n`` before that.
 
 Null text or role: the empty string (an unknown role, so an error state). Rows of a conversation go
 by turn, nulls first, then role and text; repeated rows are turns of their own. A null
@@ -51,12 +51,12 @@ def unescaped(text: Column) -> Column:
 
 
 def escaped_role(role: Column) -> Column:
-    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescaped_role(role: Column) -> Column:
-    plain = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # Every backslash left is followed by b or n, so the two replacements can't meet.
+    return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def turns(df: DataFrame) -> DataFrame:
@@ -96,34 +96,48 @@ def segments(df: DataFrame, template: Template = CHATML) -> DataFrame:
     return rows.select("conv_id", "ordinal", "piece", F.col("s.text").alias("text"), F.col("s.loss").alias("loss"), "legal")
 
 
+def loss_mask(segments: Column) -> Column:
+    """array<struct<offset, length>> of a turn's trained pieces: characters from the turn's first one, its opening mark."""
+    before = lambda i: F.aggregate(F.slice(segments, F.lit(1), i), F.lit(0), lambda n, s: n + F.length(s["text"]))
+    spans = F.transform(segments, lambda s, i: F.struct(before(i).alias("offset"), F.length(s["text"]).alias("length"), s["loss"].alias("loss")))
+    return F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["offset"].alias("offset"), s["length"].alias("length")))
+
+
 def conversations(df: DataFrame, template: Template = CHATML) -> DataFrame:
-    """One row per conversation: its segments in order, ``formatted`` (their texts joined), ``valid`` and ``first_illegal``.
+    """One row per conversation: its segments in order, ``formatted`` (their texts joined), ``loss_mask`` (of each turn the spans of
+    ``formatted`` to train on, counted from the turn's start), ``valid`` and ``first_illegal``.
 
     A conversation is one training example and so must fit a row; only its own turns are gathered.
     """
-    rows = machine(df, template).withColumn("segments", turn_segments(template))
+    rows = machine(df, template).withColumn("segments", turn_segments(template)).withColumn("mask", loss_mask(F.col("segments")))
     grouped = rows.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "segments"))).alias("_turns"),
+        F.array_sort(F.collect_list(F.struct("ordinal", "segments", "mask"))).alias("_turns"),
         F.min("legal").alias("_legal"),
         F.max_by("state_after", "ordinal").alias("final_state"),
         F.min(F.when(~F.col("legal"), F.col("ordinal"))).alias("first_illegal"),
     )
     pieces = F.flatten(F.transform("_turns", lambda t: t["segments"]))
-    out = grouped.select("conv_id", pieces.alias("segments"), (F.col("_legal") & F.col("final_state").isin(*template.accepting)).alias("valid"), "final_state", "first_illegal")
+    mask = F.transform("_turns", lambda t: t["mask"])
+    out = grouped.select("conv_id", pieces.alias("segments"), mask.alias("loss_mask"), (F.col("_legal") & F.col("final_state").isin(*template.accepting)).alias("valid"), "final_state", "first_illegal")
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
 def read_back(df: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Rows of ``conversations`` with ``turns_read`` (array of role, text) parsed from ``formatted`` and ``loss_read`` (the unescaped pieces under the loss mask)."""
+    """Rows of ``conversations`` with ``turns_read`` (array of role, text) parsed from ``formatted``, and ``loss_read``: what
+    ``formatted`` holds under ``loss_mask``, unescaped."""
+    # Control strings inside texts are escaped, so the opening mark parts turns; what precedes the first is empty.
     parts = F.slice(F.split("formatted", _quoted(template.turn_open)), 2, 1 << 30)
-    close = template.turn_close + template.turn_gap
+    close, opened = template.turn_close + template.turn_gap, len(template.turn_open)
 
     def turn(part: Column) -> Column:
         body = F.substring(part, F.lit(1), F.length(part) - len(close))
         cut = F.instr(body, template.role_close)
         return F.struct(unescaped_role(F.substring(body, F.lit(1), cut - 1)).alias("role"), unescaped(F.substring(body, cut + len(template.role_close), F.length(body))).alias("text"))
 
-    return df.withColumn("turns_read", F.transform(parts, turn)).withColumn("loss_read", F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])))
+    def trained(part: Column, spans: Column) -> Column:
+        return F.transform(spans, lambda s: unescaped(F.substring(part, s["offset"] - opened + 1, s["length"])))
+
+    return df.withColumn("turns_read", F.transform(parts, turn)).withColumn("loss_read", F.flatten(F.zip_with(parts, F.col("loss_mask"), trained)))
 
 
 def _quoted(text: str) -> str:

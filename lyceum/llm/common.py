@@ -39,12 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Rows that a task writes of a table of a few numbers a row, and of rows that come from whole texts.
-PER_TASK, TEXTS_PER_TASK = 100_000, 8_192
+PER_TASK, TEXTS_PER_TASK = 50_000, 8_192
 
 
 def in_tasks(df: DataFrame, rows: int, per: int = PER_TASK) -> DataFrame:
     """``df`` in no more partitions than ``rows`` rows need; fewer partitions stay as they are."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per)))
+    return df.coalesce(max(1, -(-rows // per)))
 
 
 def checkpointed(df: DataFrame, rows: int | None = None, per: int = PER_TASK) -> DataFrame:
@@ -56,6 +56,12 @@ def checkpointed(df: DataFrame, rows: int | None = None, per: int = PER_TASK) ->
     return (df if rows is None else in_tasks(df, rows, per)).checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator has written, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that no DataFrame in use leads to, which else waits for the driver's garbage collection."""
     gc.collect()

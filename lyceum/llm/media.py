@@ -1,9 +1,12 @@
 """Telephony audio columns (operator 1).
 
 A media value is a WAV file whose samples are 8-bit G.711 codes, so any byte string
-is stored without loss. ``store`` wraps bytes, ``read_back`` parses them again, and
-``decode`` expands mu-law or A-law codes through 256-entry lookup tables, or IMA ADPCM
-blocks with numpy, one step for all blocks at once; ``resampled`` doubles the rate.
+is stored without loss. ``store`` wraps bytes, ``read_back`` parses them again, and the
+lookup tables expand mu-law or A-law codes; IMA ADPCM blocks are decoded with numpy, one step for
+all blocks at once; ``doubled`` resamples to twice the rate.
+
+``telephony`` takes two steps: ``encoded`` media are written as a table in the shared folder, and ``decoded``
+reads that table back and makes the resampled PCM and the features from what it holds.
 
 Nulls and empty texts give one block of padding; text length is not limited, and
 batches are cut so that a group of documents decodes at once in bounded memory.
@@ -14,14 +17,17 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, raw
+from .common import add_columns, raw, shared_folder, without
 
 BLOCK = 576
 RATE = 8000
@@ -172,49 +178,63 @@ def decode_group(payloads: list[bytes], table: np.ndarray, other: np.ndarray) ->
     return out
 
 
-def telephony(df: DataFrame, text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """``df`` with the stored media of its texts, the resampled PCM and what is read back.
+def encoded(df: DataFrame, text_col: str = "text", codec: int = MULAW) -> DataFrame:
+    """``df`` with ``media``: its padded texts as stored media."""
+
+    def start():
+        return lambda column: [pa.array([store(padded(data), codec) for data in raw(column)], pa.binary())]
+
+    return add_columns(df, [text_col], [FIELDS[-2]], start)
+
+
+def unpadded(payload: bytes) -> int:
+    """Bytes of the text in a payload: UTF-8 has no byte 255, so these are the padding."""
+    return len(payload.rstrip(b"\xff"))
+
 
-    New columns: FIELDS; ``media`` and ``pcm`` only with ``keep_media``. ``pcm`` is 16-bit
-    little-endian at twice the stored rate. Columns of those names are replaced.
+def decoded(df: DataFrame, media_col: str = "media") -> DataFrame:
+    """``df`` with FIELDS, all read from its media column of mu-law files; ``pcm`` is 16-bit little-endian at twice the stored rate.
+
+    Columns of those names are replaced. Rows go out in groups of about GROUP_BYTES of payload, whatever the size of the batch.
     """
-    fields = FIELDS if keep_media else FIELDS[:-2]
+    keep = without(df, [f.name for f in FIELDS])
+    schema = T.StructType([*(df.schema[c] for c in keep), *FIELDS])
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+    n_keep = len(keep)
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mu, a = mulaw_table(), alaw_table()
 
-        def compute(column: pa.Array) -> list[pa.Array]:
-            rows: list[tuple] = []
-            group: list[bytes] = []
-            heads: list[tuple] = []
-            size = 0
-
-            def flush() -> None:
-                nonlocal size
-                for head, (feature, pcm) in zip(heads, decode_group(group, mu, a), strict=True):
-                    rows.append((*head[:-1], feature, head[-1], pcm) if keep_media else (*head[:-1], feature))
-                group.clear()
-                heads.clear()
-                size = 0
-
-            for data in raw(column):
-                media = store(padded(data))
+        def made(b: pa.RecordBatch, first: int, files: list[bytes], payloads: list[bytes]) -> pa.RecordBatch:
+            rows = []
+            for media, payload, (feature, pcm) in zip(files, payloads, decode_group(payloads, mu, a), strict=True):
+                rows.append((unpadded(payload), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, media, pcm))
+            own = b.slice(first, len(files)).columns[:n_keep]
+            return pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=schema.names)
+
+        for b in batches:
+            first, size, files, payloads = 0, 0, [], []
+            for i, media in enumerate(raw(b.column(n_keep)), 1):
                 codec, _, payload = read_back(media)
                 if codec != MULAW:
                     raise ValueError(f"unexpected codec {codec}")
-                heads.append(
-                    (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), media if keep_media else None)
-                )
-                group.append(payload)
+                files.append(media)
+                payloads.append(payload)
                 size += len(payload)
-                if size >= GROUP_BYTES:
-                    flush()
-            if group:
-                flush()
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-            return [pa.array(c, t) for c, t in zip(columns, types, strict=False)]
+                if size >= GROUP_BYTES or i == b.num_rows:
+                    yield made(b, first, files, payloads)
+                    first, size, files, payloads = i, 0, [], []
+
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media_col}`").alias("_media")).mapInArrow(run, schema)
 
-        return compute
 
-    return add_columns(df, [text_col], fields, start)
+def telephony(df: DataFrame, text_col: str = "text", keep_media: bool = True, path: str | None = None) -> DataFrame:
+    """``df`` with the stored media of its texts, the resampled PCM and what is read back.
+
+    The media are written once to ``path`` (by default a folder of their own in the shared folder, which stays until
+    the caller removes it) and read from there. New columns: FIELDS; ``media`` only with ``keep_media``. Columns of those names are replaced.
+    """
+    path = path or f"{shared_folder(df.sparkSession)}/telephony-{uuid.uuid4().hex}"
+    encoded(df, text_col).write.option("compression", "zstd").parquet(path)
+    out = decoded(df.sparkSession.read.parquet(path))
+    return out if keep_media else out.drop("media")

@@ -4,11 +4,11 @@ The lengths of all rows make one histogram; dynamic programming over it chooses
 BUCKETS upper bounds for which padding every row to its bucket's bound costs least. Inside a
 bucket, rows form batches of as many as the token budget allows at the bound's length.
 
-Lengths above FINE share bins that are 1/GRAIN wide relative to their size, so the histogram stays
-under FINE + GRAIN * log2(longest / FINE) bins at any input size; a bin counts as its longest row.
+The histogram has one bin for each length that occurs: lengths are counts, so texts of T tokens in all have
+sqrt(2 T) different ones at most, and some thousands in practice. It alone reaches the driver.
 A row longer than the budget is a batch of its own. Null texts count as empty; the empty text has
-length 1 (its end mark). Rows are never cut or dropped; repeated rows are packed as often as
-they occur, ties in length go by id; an empty table gives an empty result. The new
+length 1 (its end mark). Rows are never cut or dropped; rows of equal id and length are alike and are moved as one with a
+count until they are packed, as often as they occur; a null id is an id like others; an empty table gives an empty result. The new
 columns ``n_tokens``, ``bucket``, ``padded_to``, ``batch_id``, ``place`` replace any of those names.
 """
 
@@ -22,12 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, checkpointed, raw, without
+from .common import add_columns, checkpointed, in_tasks, raw, shuffle_partitions, without
 
 BUDGET = 65536
 BUCKETS = 16
-FINE = 2048
-GRAIN = 256
 #: Rows of a bucket that one task orders.
 GROUP = 8_192
 
@@ -44,12 +42,6 @@ def counted(df: DataFrame, text_col: str, out: str = "n_tokens") -> DataFrame:
     return add_columns(df, [text_col], [T.StructField(out, T.LongType())], start)
 
 
-def bin_of(length: Column) -> Column:
-    """The upper end of a length's bin."""
-    width = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / FINE))) * (FINE / GRAIN))
-    return F.when(length <= FINE, length).otherwise((F.ceil(length / width) * width).cast("long"))
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int = BUCKETS) -> tuple[list[int], int]:
     """Upper bounds (members of ``lengths``, ascending) of at most ``k`` buckets with least padding, and that padding.
 
@@ -94,40 +86,52 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int = BUCKETS) -> tup
     return ends[::-1], int(best)
 
 
-def histogram(df: DataFrame, length_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and counts over all rows (bounded, see above), ascending."""
-    rows = df.select(bin_of(F.col(length_col)).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()
+def histogram(df: DataFrame, length_col: str, count: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths that occur and how many rows have each (``count``: of a row), ascending."""
+    rows = df.groupBy(F.col(length_col).alias("b")).agg(F.sum(F.lit(1) if count is None else count).alias("n")).collect()
     rows.sort()
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, k: int = BUCKETS, group: int = GROUP) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, k: int = BUCKETS, group: int = GROUP, length_col: str | None = None) -> DataFrame:
     """(id, n_tokens, bucket, padded_to, batch_id, place): the batch of every row and its place in it.
 
-    Batches follow a bucket's order by a hash of the id. The order is taken in groups of about ``group`` rows
+    Lengths are those of ``length_col`` (as a tokenizer has counted them; null as 1) or else counted from the texts.
+    Batches follow a bucket's order by a hash of id and length. The order is taken in groups of about ``group`` rows
     and carried on from group to group by their counts, so no task holds a whole bucket.
     """
-    pair = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
-    # Lengths are counted once; what follows moves two numbers a row.
-    rows = checkpointed(counted(pair, "_text").select(id_col, "n_tokens"))
-    lengths, counts = histogram(rows, "n_tokens")
+    n = df.count()
+    own = F.col(f"`{id_col}`").alias(id_col)
+    if length_col is None:
+        pair = counted(df.select(own, F.col(f"`{text_col}`").alias("_text")), "_text")
+    else:
+        pair = df.select(own, F.coalesce(F.col(f"`{length_col}`").cast("long"), F.lit(1)).alias("n_tokens"))
+    # Lengths are counted once; what follows moves three numbers a row.
+    rows = checkpointed(pair.groupBy(id_col, "n_tokens").agg(F.count("*").alias("_c")), n)
+    lengths, counts = histogram(rows, "n_tokens", F.col("_c"))
     ends, _ = boundaries(lengths, counts, k)
     ends = ends or [1]
     sizes = np.bincount(np.searchsorted(ends, lengths), weights=counts, minlength=len(ends)).astype(int) if len(lengths) else [0]
     bounds = F.from_json(F.lit(json.dumps(ends)), "array<bigint>")
     parts = F.from_json(F.lit(json.dumps([int(-(-s // group) or 1) for s in sizes])), "array<bigint>")
-    upper = bin_of(F.col("n_tokens"))
-    rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < upper))).withColumn("padded_to", F.get(bounds, F.col("bucket")))
-    rows = rows.withColumn("_h", F.xxhash64(id_col)).withColumn("_g", F.pmod(F.shiftright("_h", 8), F.get(parts, F.col("bucket"))))
+    rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("n_tokens")))).withColumn("padded_to", F.get(bounds, F.col("bucket")))
+    rows = rows.withColumn("_h", F.xxhash64(id_col, "n_tokens")).withColumn("_g", F.pmod(F.shiftright("_h", 8), F.get(parts, F.col("bucket"))))
     before = Window.partitionBy("bucket").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each group: the rows of all groups before it in its bucket.
-    offsets = rows.groupBy("bucket", "_g").agg(F.count("*").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("bucket", "_g", "_off")
-    order = Window.partitionBy("bucket", "_g").orderBy("_h", id_col, "n_tokens")
-    ranked = rows.withColumn("_r", F.row_number().over(order)).join(offsets, ["bucket", "_g"])
+    offsets = rows.groupBy("bucket", "_g").agg(F.sum("_c").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("bucket", "_g", "_off")
+    order = Window.partitionBy("bucket", "_g").orderBy("_h", id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("_r", F.coalesce(F.sum("_c").over(order), F.lit(0))).join(offsets, ["bucket", "_g"])
+    ranked = ranked.select(id_col, "n_tokens", "bucket", "padded_to", "_c", (F.col("_off") + F.col("_r")).alias("_first"))
+    single = ranked.filter(F.col("_c") <= group).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)))
+    if not rows.filter(F.col("_c") > group).isEmpty():
+        # An id that repeats very often is dealt out in pieces before its rows come into being.
+        pieces = ranked.filter(F.col("_c") > group).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1, F.lit(group).cast("long"))))
+        pieces = pieces.repartition(shuffle_partitions(df.sparkSession), id_col, "_s")
+        single = single.unionByName(pieces.withColumn("_i", F.explode(F.sequence("_s", F.least(F.col("_s") + group, F.col("_c")) - 1))).drop("_s"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded_to"))).cast("long")
-    rank = F.col("_off") + F.col("_r") - 1
-    ranked = ranked.withColumn("_batch", F.floor(rank / room).cast("long")).withColumn("place", F.pmod(rank, room).cast("long"))
-    return ranked.select(id_col, "n_tokens", "bucket", "padded_to", F.concat_ws("-", F.col("bucket"), F.col("_batch")).alias("batch_id"), "place")
+    rank = F.col("_first") + F.col("_i")
+    out = single.withColumn("_batch", F.floor(rank / room).cast("long")).withColumn("place", F.pmod(rank, room).cast("long"))
+    return in_tasks(out.select(id_col, "n_tokens", "bucket", "padded_to", F.concat_ws("-", F.col("bucket"), F.col("_batch")).alias("batch_id"), "place"), n)
 
 
 def joined(df: DataFrame, packed: DataFrame, id_col: str = "doc_id") -> DataFrame:

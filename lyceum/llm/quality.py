@@ -112,10 +112,13 @@ def labelled(df: DataFrame, label_col: str, id_col: str) -> DataFrame:
     return rows.filter("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
 
 
-def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", shrinkage: float = SHRINKAGE) -> Model:
-    """Class moments over every labelled row, summed inside the plan: 1 + D + D (D + 1) / 2 numbers a class."""
-    stats = featured(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), "_text", "_x").select("_id", "_x")
-    joined = stats.join(labelled(labels, label_col, id_col), "_id").select("_label", *[F.get("_x", F.lit(i)).alias(f"x{i}") for i in range(D)])
+#: Labelled ids that are broadcast so that only their texts are measured; more ids meet the measures of all texts.
+BROADCAST_IDS = 1_000_000
+
+
+def fit_measured(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", shrinkage: float = SHRINKAGE) -> Model:
+    """The model of ``rows`` (_id, _x: statistics) that have a label; class moments are summed inside the plan: 1 + D + D (D + 1) / 2 numbers a class."""
+    joined = rows.join(labelled(labels, label_col, id_col), "_id").select("_label", *[F.get("_x", F.lit(i)).alias(f"x{i}") for i in range(D)])
     pairs = [(i, j) for i in range(D) for j in range(i, D)]
     sums_ = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs]
     n, first, second = np.zeros(2), np.zeros((2, D)), np.zeros((2, D, D))
@@ -127,14 +130,36 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: st
     return solve(n, first, second, shrinkage)
 
 
+def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", shrinkage: float = SHRINKAGE) -> Model:
+    """The model of the labelled rows of ``df``."""
+    rows = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    ids = labelled(labels, label_col, id_col).select("_id")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(ids), "_id", "left_semi")
+    return fit_measured(featured(rows, "_text", "_x").select("_id", "_x"), labels, label_col, id_col, shrinkage)
+
+
+FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+
+
+def _scored(x: np.ndarray, model: Model, threshold: float) -> list[pa.Array]:
+    s = model.scores(x.reshape(-1, D))
+    return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+
+
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 at ``threshold`` or above)."""
 
     def start():
-        def compute(column: pa.Array) -> list[pa.Array]:
-            s = model.scores(np.array([statistics(x) for x in raw(column)]).reshape(-1, D))
-            return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+        return lambda column: _scored(np.array([statistics(x) for x in raw(column)]), model, threshold)
 
-        return compute
+    return add_columns(df, [text_col], FIELDS, start)
+
+
+def score_measured(df: DataFrame, model: Model, stats_col: str = "_x", threshold: float = THRESHOLD) -> DataFrame:
+    """As ``score``, from a column of statistics that ``featured`` has made."""
+
+    def start():
+        return lambda column: _scored(column.flatten().to_numpy(zero_copy_only=False), model, threshold)
 
-    return add_columns(df, [text_col], [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], start)
+    return add_columns(df, [stats_col], FIELDS, start)

@@ -7,7 +7,7 @@ a slot, and a join with the broadcast table, whose size is fixed by ``size``, gi
 shard in constant time. When a shard goes, few rows of other shards move.
 
 The table is filled on the driver (``size`` steps, no data). Keys that are null share
-the slot of a fixed string that no key has as its text. Equal keys share a shard unless
+the slot of the text U+0000 followed by "null" (and so of a key of that very text). Equal keys share a shard unless
 ``spread`` > 1, which deals one key over that many slots by a hash of ``spread_by``.
 Repeated rows and empty tables need no care; columns ``slot`` and ``shard`` are replaced.
 """

@@ -222,4 +222,4 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``df`` with one row of each component: that of its least id, a null id being the last (of one id the least hash of the text)."""
     n = df.count()
     marked = checkpointed(fingerprinted(named(df, id_col, text_col), "text", "fp", k).select("id", "h", "fp"), n, TEXTS_PER_TASK)
-    return rows_named(df, least_rows(marked, n, limit), id_col, text_col)
+    return in_tasks(rows_named(df, least_rows(marked, n, limit), id_col, text_col), n, TEXTS_PER_TASK)

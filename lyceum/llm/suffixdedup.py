@@ -37,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIN_LONG, checkpointed, release, shuffle_partitions
+from .common import MIN_LONG, checkpointed, in_tasks, release, shuffle_partitions
 
 WIDTH, K = 50, 20
 #: Text bytes whose records are made together, and those that are dealt to blocks together.
 CHUNK, FLUSH = 1 << 19, 24 << 20
 #: Records of a batch that gets a suffix array.
 BATCH = 1 << 18
+#: Texts whose records or rows a task takes; one goes through its ranges of anchors one after the other.
+PER_TASK = 4096
 BLOCKS = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("block", T.BinaryType())])
 RECORDS, ASKED, REPEATS, EDGES, TEXTS = 0, 1, 2, 3, 9
 _U = np.uint64
@@ -637,20 +639,20 @@ def deal(rows: DataFrame, n: int) -> DataFrame:
 
 def matched(df: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
     """Blocks of the texts of ``df`` with, before them in each task, the marks of what repeats."""
-    n = shuffle_partitions(df.sparkSession)
+    n, size = shuffle_partitions(df.sparkSession), df.count()
     rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MIN_LONG)).alias("_key"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"), *[F.col(f"`{c}`") for c in others])
     pair = rows.select("_key", "_text")
     records = deal(pair.mapInArrow(record_blocks(n), BLOCKS), n).select("pid", "block")
-    first = checkpointed(records.mapInArrow(index_task(n, read_records, True), BLOCKS))
+    first = checkpointed(records.mapInArrow(index_task(n, read_records, True), BLOCKS), size, PER_TASK)
     del records
     release(df.sparkSession)
     asked = deal(first.filter(F.col("kind") == ASKED).unionByName(pair.mapInArrow(text_blocks(n), BLOCKS)), n)
     edges = deal(asked.mapInArrow(edge_blocks(n), BLOCKS), n).select("pid", "block")
-    second = checkpointed(edges.mapInArrow(index_task(n, read_edges, False), BLOCKS))
+    second = checkpointed(edges.mapInArrow(index_task(n, read_edges, False), BLOCKS), size, PER_TASK)
     del asked, edges
     release(df.sparkSession)
     repeats = first.filter(F.col("kind") == REPEATS).unionByName(second)
-    return deal(repeats.unionByName(rows.mapInArrow(text_blocks(n), BLOCKS)), n)
+    return in_tasks(deal(repeats.unionByName(rows.mapInArrow(text_blocks(n), BLOCKS)), n), size, PER_TASK)
 
 
 def cut(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:

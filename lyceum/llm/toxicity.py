@@ -8,9 +8,10 @@ of P(grade >= k).
 The labels are 0 and 1. Rows labelled 1 get grades 1 to GRADES - 1 by the terciles of how often
 features occur in them that are found almost only in rows labelled 1.
 
-The fit uses at most ``max_rows`` rows of each label (SAMPLE by default), those of the
-least hash of their id, weighted up to the label's count, so its size is bounded; scoring
-covers every whole text. Null and empty texts have no feature and get the base rate. Ids or
+The fit uses at most ``max_rows`` labelled ids of each label (SAMPLE by default), those of the
+least hash, weighted up to the label's count. In how many of their whole texts a feature occurs is counted inside the
+plan; the driver gets the at most ``max_features`` features that tell the labels apart, and those rows' counts of them.
+Scoring covers every whole text. Null and empty texts have no feature and get the base rate. Ids or
 labels that are null are left out of the fit, of several labels of an id the greatest counts.
 Without labels of both kinds every text scores 0. Repeated rows repeat, an empty table stays
 empty, and columns with the names of the new ones are replaced.
@@ -18,6 +19,7 @@ empty, and columns with the names of the new ones are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, texts
+from .common import TEXTS_PER_TASK, add_columns, checkpointed, texts
 
 BUCKETS = 1 << 18
 GRADES = 4
@@ -81,12 +83,12 @@ class Model:
         return sigmoid(margin[:, None] - self.theta[None, :])
 
 
-def ordinal_fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, weight: np.ndarray, n_cols: int, l2: float = L2, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the weighted likelihood; entries (rows, cols, vals) are x.
+def ordinal_fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, weight: np.ndarray, n_cols: int, l2: float = L2, rounds: int = ROUNDS, n_grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and n_grades - 1 thresholds by Adam on the weighted likelihood; entries (rows, cols, vals) are x.
 
-    Thresholds are theta_1 plus sums of exponentials, which keeps them ascending.
+    Thresholds are theta_1 plus sums of exponentials, which keeps them ascending. Grades without a row are unlikely ones.
     """
-    k = int(grade.max())
+    k = n_grades - 1
     n = len(grade)
     weight = weight / weight.sum()
     rate = np.array([(weight * (grade >= i)).sum() for i in range(1, k + 1)]).clip(1e-4, 1 - 1e-4)
@@ -137,50 +139,50 @@ def sampled(labels: DataFrame, label_col: str, id_col: str, max_rows: int) -> tu
     return parts[0].unionByName(parts[1]), counts
 
 
-def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = SAMPLE) -> Model:
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, values = [], []
-            for text in texts(b.column(2)):
-                found = buckets_of(text)
-                ids.append(np.fromiter(found.keys(), dtype="<i4", count=len(found)).tobytes())
-                values.append(np.log1p(np.fromiter(found.values(), dtype="<f4", count=len(found))).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["id", "label", "ids", "vals"])
+def counted_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, label, text) to (id, label, buckets, log counts)."""
+    for b in batches:
+        found = [buckets_of(text) for text in texts(b.column(2))]
+        values = [[math.log1p(n) for n in x.values()] for x in found]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["_id", "_label", "b", "v"])
 
+
+def telling(rows: DataFrame, n0: int, n1: int, max_features: int, min_rows: int, significant: float) -> DataFrame:
+    """(b, odds, z): buckets by whose shares the labels differ most, with the log ratio of the shares and the two-proportion z."""
+    both = rows.select("_label", F.explode("b").alias("b")).groupBy("b").agg(F.sum("_label").alias("in1"), F.sum(1 - F.col("_label")).alias("in0"))
+    share = (F.col("in1") + F.col("in0")) / (n1 + n0)
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    odds = F.log((F.col("in1") + 0.5) / (n1 + 1)) - F.log((F.col("in0") + 0.5) / (n0 + 1))
+    found = both.filter(F.col("in1") + F.col("in0") >= min_rows).select("b", odds.alias("odds"), (F.abs(F.col("in1") / n1 - F.col("in0") / n0) / spread).alias("z"))
+    return found.filter(F.col("z") >= significant).orderBy(F.desc("z"), "b").limit(max_features)
+
+
+def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = SAMPLE, max_features: int = FEATURES, min_rows: int = MIN_ROWS, significant: float = SIGNIFICANT) -> Model:
     chosen, counts = sampled(labels, label_col, id_col, max_rows)
     none = Model(None, np.zeros(GRADES - 1))
     if len(counts) < 2:
         return none
     # At most 2 max_rows ids: the broadcast is bounded.
     docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
-    rows = docs.mapInArrow(extract, "id long, label int, ids binary, vals binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["ids"])))
-    label = np.array([r["label"] for r in rows])
-    if len(set(label.tolist())) < 2:
-        return none
-    ids = [np.frombuffer(r["ids"], dtype="<i4") for r in rows]
-    at = np.repeat(np.arange(len(rows)), [len(x) for x in ids])
-    col, val = np.concatenate(ids), np.concatenate([np.frombuffer(r["vals"], dtype="<f4") for r in rows]).astype(np.float64)
+    # A checkpoint of the sample's rows numbers them for good.
+    rows = checkpointed(docs.mapInArrow(counted_features, "_id long, _label int, b array<int>, v array<double>").withColumn("_row", F.monotonically_increasing_id()), sum(min(n, max_rows) for n in counts.values()), TEXTS_PER_TASK)
+    seen = sorted(map(tuple, rows.select("_row", "_id", "_label").collect()), key=lambda r: (r[1], r[0]))
+    label = np.array([r[2] for r in seen], dtype=np.int64)
     n1, n0 = int((label == 1).sum()), int((label == 0).sum())
-    in1 = np.bincount(col[label[at] == 1], minlength=BUCKETS)
-    in0 = np.bincount(col[label[at] == 0], minlength=BUCKETS)
-    odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-    both = ((in1 + in0) / (n1 + n0)).clip(0, 1)
-    spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
-    z = np.where(in1 + in0 >= MIN_ROWS, np.abs(in1 / n1 - in0 / n0) / spread, 0)
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    best = np.sort(best[z[best] >= SIGNIFICANT])
-    strong = np.zeros(BUCKETS, dtype=bool)
-    strong[best] = (odds[best] > np.log(20)) & (z[best] > 3)
-    count = np.expm1(val)
-    hits = np.bincount(at, weights=count * strong[col], minlength=len(rows))
-    place = np.full(BUCKETS, -1)
-    place[best] = np.arange(len(best))
-    use = place[col] >= 0
+    if not n1 or not n0:
+        return none
+    best = checkpointed(telling(rows, n0, n1, max_features, min_rows, significant), max_features)
+    features_ = sorted(map(tuple, best.collect()))
+    entries = rows.select("_row", F.explode(F.arrays_zip("b", "v")).alias("e")).select("_row", "e.b", "e.v").join(F.broadcast(best.select("b")), "b")
+    at_row, place = {r[0]: i for i, r in enumerate(seen)}, {f[0]: i for i, f in enumerate(features_)}
+    x = sorted((at_row[r["_row"]], place[r["b"]], r["v"]) for r in entries.collect())
+    at, col, val = np.array([e[0] for e in x], dtype=np.int64), np.array([e[1] for e in x], dtype=np.int64), np.array([e[2] for e in x], dtype=np.float64)
+    strong = np.array([odds > math.log(20) and z > 3 for _, odds, z in features_], dtype=bool)
+    hits = np.bincount(at, weights=np.expm1(val) * strong[col], minlength=len(seen)) if len(x) else np.zeros(len(seen))
     weight = np.where(label == 1, counts[1] / n1, counts[0] / n0)
-    w, theta = ordinal_fit(at[use], place[col[use]], val[use], grades(label, hits), weight, len(best))
+    w, theta = ordinal_fit(at, col, val, grades(label, hits), weight, len(features_))
     dense = np.zeros(BUCKETS, dtype=np.float32)
-    dense[best] = w
+    dense[[f[0] for f in features_]] = w
     return Model(dense, theta)
 
 

@@ -65,6 +65,37 @@ def test_doubling_keeps_the_samples():
     assert len(media.doubled(pcm[:1])) == 2
 
 
+def slow_feature(payload):
+    mu, a = (t().tolist() for t in (media.mulaw_table, media.alaw_table))
+    rms = lambda x: math.sqrt(sum(v * v for v in x) / len(x))
+    linear = [mu[b] for b in payload]
+    blocks = [v for at in range(0, len(payload), 64) for v in adpcm_by_hand(payload[at : at + 64])]
+    crossings = sum((x < 0) != (y < 0) for x, y in zip(linear, linear[1:]))
+    p = [linear[0], *linear, linear[-1], linear[-1]]
+    up = [v for i, x in enumerate(linear) for v in (x, max(-32768, min(32767, (9 * (p[i + 1] + p[i + 2]) - p[i] - p[i + 3] + 8) >> 4)))]
+    pcm = struct.pack(f"<{len(up)}h", *up)
+    return f"mulaw_rms={rms(linear):.3f};alaw_rms={rms([a[b] for b in payload]):.3f};adpcm_rms={rms(blocks):.3f};crossings={crossings};pcm16k_crc32={zlib.crc32(pcm):08x}", pcm
+
+
+def test_features_by_hand(spark, monkeypatch):
+    """Features and resampled PCM, also where groups end inside a batch."""
+    monkeypatch.setattr(media, "GROUP_BYTES", 3000)
+    rows = media.decoded(media.encoded(frame(spark))).collect()
+    assert len(rows) == len(documents())
+    for r in rows:
+        assert (r.feature, bytes(r.pcm)) == slow_feature(media.padded((r.text or "").encode()))
+
+
+def test_media_are_stored(spark, tmp_path):
+    """The second step takes nothing but what the stored table holds."""
+    media.telephony(frame(spark), path=str(tmp_path / "media")).count()
+    held = spark.read.parquet(str(tmp_path / "media"))
+    assert {media.read_back(bytes(r.media))[2] for r in held.collect()} == {media.padded((t or "").encode()) for _, t, *_ in documents()}
+    out = queries.op1_telephony_audio(spark, SF)
+    assert out.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert out.filter("length(pcm) = 4 * payload_bytes").count() == out.count() == 200
+
+
 def test_media_contract(spark):
     df = frame(spark).withColumnRenamed("source", "media")
     rows = media.telephony(df).collect()
@@ -156,6 +187,29 @@ def test_qda_against_plain_densities():
     assert np.allclose(model.scores(x), want, atol=1e-8)
 
 
+def slow_statistics(text):
+    data = text.encode()
+    n, words, lines = len(data), data.split(), data.split(b"\n")
+    of = lambda chars: math.log((sum(data.count(bytes([c])) for c in chars) + 1) / (n + 40))
+    types = math.log((len(set(words)) + 5) / (len(words) + 5)) + 0.15 * math.log1p(len(words) / 50)
+    echo = sum(a == b for a, b in zip(words, words[1:]))
+    return [math.log1p(n), math.log((n + 6) / (len(words) + 1)), *map(of, quality.CLASSES.values()), types, math.log((echo + 0.3) / (len(words) + 20)), math.log((len(lines) - len(set(lines)) + 0.5) / (len(lines) + 4))]
+
+
+def test_quality_moments_by_hand(spark):
+    """The plan's sums against plain ones over the labelled texts, whichever way the labelled rows are found."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    x = {c: np.array([slow_statistics(text[r.doc_id]) for r in labels.collect() if r.quality == c]) for c in (0, 1)}
+    assert np.allclose(quality.statistics(text[0].encode()), slow_statistics(text[0]))
+    want = quality.solve(np.array([len(x[c]) for c in (0, 1)], dtype=float), np.stack([x[c].sum(0) for c in (0, 1)]), np.stack([x[c].T @ x[c] for c in (0, 1)]))
+    rows = quality.featured(docs, "text", "_x")
+    for model in (quality.fit(docs, labels), quality.fit_measured(rows.withColumnRenamed("doc_id", "_id"), labels)):
+        assert np.allclose(model.mean, want.mean) and np.allclose(model.factor, want.factor) and model.share == want.share
+    a = {r.doc_id: (r.score, r.predicted) for r in quality.score(docs, want).collect()}
+    assert a == {r.doc_id: (r.score, r.predicted) for r in quality.score_measured(rows, want).collect()}
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -232,6 +286,42 @@ def test_toxicity_on_labels(spark):
     assert len({r.severity_grade for r in rows}) >= 3
 
 
+def test_toxicity_by_hand(spark):
+    """Features, their choice and the scores against plain loops."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    n = {c: sum(v == c for v in truth.values()) for c in (0, 1)}
+    inside = {c: {} for c in (0, 1)}
+    for i, c in truth.items():
+        for b in toxicity.buckets_of(text[i]):
+            inside[c][b] = inside[c].get(b, 0) + 1
+    want = {}
+    for b in {*inside[0], *inside[1]}:
+        k = {c: inside[c].get(b, 0) for c in (0, 1)}
+        both = (k[0] + k[1]) / (n[0] + n[1])
+        z = abs(k[1] / n[1] - k[0] / n[0]) / math.sqrt(max(both * (1 - both), 1e-12) * (1 / n[1] + 1 / n[0]))
+        if k[0] + k[1] >= toxicity.MIN_ROWS and z >= toxicity.SIGNIFICANT:
+            want[b] = (math.log((k[1] + 0.5) / (n[1] + 1)) - math.log((k[0] + 0.5) / (n[0] + 1)), z)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", "toxic", "text").mapInArrow(toxicity.counted_features, "_id long, _label int, b array<int>, v array<double>")
+    got = {r.b: (r.odds, r.z) for r in toxicity.telling(rows, n[0], n[1], toxicity.FEATURES, toxicity.MIN_ROWS, toxicity.SIGNIFICANT).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[b], want[b]) for b in want)
+    model = toxicity.fit(docs, labels)
+    assert set(np.flatnonzero(model.weight)) <= set(want) and len(model.theta) == 3 and (np.diff(model.theta) > 0).all()
+    for r in toxicity.score(docs, model).collect():
+        margin = sum(float(model.weight[b]) * math.log1p(c) for b, c in toxicity.buckets_of(r.text).items())
+        p = [1 / (1 + math.exp(t - margin)) for t in model.theta]
+        assert np.allclose([r.expected_severity, r.p_toxic], [sum(p), p[0]], atol=1e-6)
+        assert r.severity_grade == sum(x >= 0.5 for x in p) and r.toxic == (p[0] >= 0.5)
+
+
+def test_three_thresholds_when_hits_tie():
+    grade = toxicity.grades(np.array([0, 0, 1, 1, 1]), np.array([0, 0, 2, 2, 2]))
+    assert grade.tolist() == [0, 0, 1, 1, 1]
+    w, theta = toxicity.ordinal_fit(np.arange(5), np.zeros(5, dtype=int), np.array([0, 0, 1.0, 1, 1]), grade, np.ones(5), 1)
+    assert len(theta) == 3 and (np.diff(theta) > 0).all() and w[0] > 0
+
+
 def test_toxicity_edges(spark):
     df = frame(spark)
     none = spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int")
@@ -266,6 +356,23 @@ def test_chat_round_trip(spark):
     assert chat.conversations(spark.createDataFrame([], CONV)).collect() == []
 
 
+def test_roles_of_any_text(spark):
+    rows = [(i, 0, r, "t") for i, r in enumerate(["\x00", "a\x00b\\", "\\n", "\\b\n", "<|im_start|>", "<\\|x", "\\\\", "b\nn"])]
+    read = {r.conv_id: r.turns_read for r in chat.read_back(chat.conversations(spark.createDataFrame(rows, CONV))).collect()}
+    assert {i: [(t.role, t.text) for t in x] for i, x in read.items()} == {i: [(r, "t")] for i, _, r, _ in rows}
+
+
+def test_loss_is_read_under_the_mask(spark):
+    """Only ``formatted`` and the mask count: with other segments the loss text stays the same."""
+    df = spark.createDataFrame([(1, 0, "user", "<|im_end|>q"), (1, 1, "assistant", "a<|im_start|>\U0001f600 é"), (1, 2, "user", ""), (1, 3, "assistant", "")], CONV)
+    made = chat.conversations(df)
+    r = chat.read_back(made.drop("segments")).head()
+    assert list(r.loss_read) == ["a<|im_start|>\U0001f600 é", ""]
+    turns = r.formatted.split("<|im_start|>")[1:]
+    under = ["<|im_start|>" + t for t in turns]
+    assert [under[i][s.offset : s.offset + s.length] for i, spans in enumerate(r.loss_mask) for s in spans] == ["a<\\|im_start|>\U0001f600 é", ""]
+
+
 def test_other_template(spark):
     plain = chat.Template(transitions={"": ["q"], "q": ["a"], "a": ["q"]}, accepting=("a",), turn_open="<|turn|>", turn_close="<|end|>", turn_gap="", loss_roles=("a",), loss_on_close=True)
     df = spark.createDataFrame([(1, 0, "q", "why <|end|>?"), (1, 1, "a", "so")], CONV)
@@ -323,6 +430,31 @@ def test_batches(spark, group):
     assert open_batches <= 5
 
 
+def test_long_texts_have_exact_bounds(spark):
+    rows = [(i, " ".join(["x"] * (n - 1)), "en", "s", n) for i, n in enumerate([11, 3000, 3001, 3002])]
+    assert {r.n_tokens: r.padded_to for r in packing.pack(frame(spark, rows)).collect()} == {11: 11, 3000: 3000, 3001: 3001, 3002: 3002}
+    rng = np.random.default_rng(4)
+    lengths = np.sort(rng.choice(np.arange(1, 9000), 10, replace=False))
+    rows = [(i, None, "en", "s", int(n)) for i, n in enumerate(np.repeat(lengths, 3))]
+    out = packing.pack(frame(spark, rows), k=4, length_col="n_chars").collect()
+    assert sum(r.padded_to - r.n_tokens for r in out) == least_padding(lengths.tolist(), [3] * 10, 4)
+
+
+@pytest.mark.parametrize("group", [8192, 20])
+def test_one_id_many_times(spark, group):
+    """A null or repeated id is dealt out like others: no row is lost, places run on."""
+    df = spark.range(700).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5L, id)) as doc_id", "'a b c' as text")
+    rows = packing.pack(df, budget=40, group=group).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in df.collect())
+    assert sorted((int(r.batch_id.split("-")[1]), r.place) for r in rows) == [(i // 10, i % 10) for i in range(700)]
+
+
+def test_packing_joins_its_rows(spark):
+    df = frame(spark, [(i, sentence(i, i + 1), "en", "s", 1) for i in range(20)]).withColumnRenamed("lang", "bucket")
+    rows = packing.joined(df, packing.pack(df)).collect()
+    assert len(rows) == 20 and all(r.n_tokens == len(r.text.split()) + 1 and r.source == "s" for r in rows)
+
+
 def test_packing_edges(spark):
     rows = packing.pack(frame(spark), budget=100).collect()
     assert len(rows) == len(documents())
@@ -330,8 +462,6 @@ def test_packing_edges(spark):
     assert packing.pack(frame(spark, [])).collect() == []
     blanks = spark.createDataFrame([(1, " a  b\tc \n"), (2, "a\x0bb")], "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in packing.pack(blanks).collect()} == {1: 4, 2: 3}
-    long = packing.bin_of(packing.F.col("id"))
-    assert all(r.id <= r.b <= r.id * (1 + 2 / packing.GRAIN) for r in spark.range(1, 90000, 37).select("id", long.alias("b")).collect())
 
 
 # ------------------------------------------------------------------ 9 BPE
@@ -363,6 +493,17 @@ def test_bpe_table(spark):
     assert bpe.encode(frame(spark, []), PATH).collect() == []
 
 
+def test_unknown_tokenizer_settings_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.refuse_unknown(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.refuse_unknown(spec | change)
+
+
 # ------------------------------------------------------------------ 10 SimHash
 
 
