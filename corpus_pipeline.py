@@ -1,8 +1,8 @@
 """A training-corpus pipeline of five operators.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor's output, which
-``run`` writes as Parquet to the shared checkpoint folder and reads again. All but the last stage
-return the columns of ``documents``.
+``run`` writes as Parquet to the shared checkpoint folder and reads again; it removes a stage's table once the next
+one is written. All but the last stage return the columns of ``documents`` and no others; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,21 +13,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyceum.llm import packing, quality, similar, suffixdedup, toxicity
-from lyceum.llm.common import shared_folder, table
+from lyceum.llm.common import TEXTS_PER_TASK, in_tasks, remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents whose severity is at least 1 likelier than not."""
+    """Leaves out documents whose severity is at least 1 likelier than not.
+
+    Null and empty texts have no feature, so they stay; repeated rows and null ids are judged like others.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(*COLUMNS), model).filter("toxic = 0").select(*COLUMNS)
+    kept = toxicity.score(docs.select(*COLUMNS), model).filter("toxic = 0").select(*COLUMNS)
+    return in_tasks(kept, docs.count(), TEXTS_PER_TASK)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents that the quality classifier scores below its threshold."""
+    """Leaves out documents that the quality classifier scores below its threshold.
+
+    Null counts as the empty text, whose score decides like any other; repeated rows and null ids are judged like others.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
+    kept = quality.score(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
+    return in_tasks(kept, docs.count(), TEXTS_PER_TASK)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +51,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 bytes or more that a document of smaller id holds; a character cut in part goes with them.
 
-    Every document stays, with what is left of its text.
+    Every document stays, with what is left of its text; a null text becomes empty. Rows of equal id don't repeat each
+    other, and a null id counts as the least.
     """
     return suffixdedup.cut_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batch of every document and its place in it."""
+    """The batch of every document and its place in it; null and empty texts have one token, repeated rows are packed as often as they occur."""
     return packing.pack(docs)
 
 
@@ -61,9 +70,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         at = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        before = at
     return docs
