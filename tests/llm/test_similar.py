@@ -3,6 +3,9 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from lyceum.llm import similar
 from tests.llm.fixtures import SF, frame
@@ -57,6 +60,26 @@ def test_near_copies_go(spark):
     assert len(after) < len(rows)
 
 
+@pytest.mark.parametrize("limit", [1, 3])
+def test_keys_of_many_rows(spark, limit):
+    """Keys that no task holds are gone through by leaders, with the same rules."""
+    rows = copies(3, 14)
+    df = frame(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
+    check(rows, {r.doc_id for r in similar.without_copies(df, limit=limit).collect()})
+
+
+def test_pairs_of_a_key():
+    """Copies are paired with one row only; rows that may be near copies with all of these, under their first common key."""
+    sketches = np.zeros((4, 315), dtype=np.uint8)
+    sketches[1, :20] = 1  # as good as equal to the first
+    sketches[2, :63] = 2  # 0.8
+    sketches[3] = 3
+    bands = np.zeros((4, 45), dtype=np.int64)
+    assert similar.paired(0, bands, sketches) == [(0, 1), (0, 2)]
+    bands[2, 0] = 9
+    assert similar.paired(0, bands, sketches) == [(0, 1)] and similar.paired(1, bands, sketches) == [(0, 1), (0, 2)]
+
+
 def test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
