@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from .sizes import broadcast_if_small
+from .phrases import occurrences
+from .sizes import LIMIT, broadcast_if_small
 
 
 @dataclass
@@ -57,38 +58,52 @@ def question_terms(questions: DataFrame, aliases: dict[str, str] | None = None)
 def bm25(index: Index, qterms: DataFrame) -> DataFrame:
     """(qid, id, bm25) of chunks with a question term."""
     k1, b = C.BM25_K1, C.BM25_B
-    asked = broadcast_if_small(qterms)
-    # The question's few terms meet the terms first, then the postings.
-    weighted = asked.join(index.terms, "term")
-    hits = index.postings.join(broadcast_if_small(weighted), "term").join(index.lengths, "id").join(F.broadcast(index.stats), F.lit(True))
+    # The questions' terms meet the terms first, then the postings; each has one term row at most, so one check of size serves both.
+    small = qterms.limit(LIMIT + 1).count() <= LIMIT
+    hint = F.broadcast if small else lambda df: df
+    weighted = hint(qterms).join(index.terms, "term")
+    hits = index.postings.join(hint(weighted), "term").join(index.lengths, "id").join(F.broadcast(index.stats), F.lit(True))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1.0))))
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("bm25"))
 
 
 @dataclass
 class VectorIndex:
-    """weights(id, term, w) of unit length, vocabulary(term, idf)."""
+    """counts(id, term, tf), norms(id, norm), vocabulary(term, idf). Weights tf * idf / norm are made for asked terms only."""
 
-    weights: DataFrame
+    counts: DataFrame
+    norms: DataFrame
     vocabulary: DataFrame
 
+    def persist(self, path: str) -> VectorIndex:
+        """The index written as tables, counts clustered by term so that question terms prune files."""
+        out = {}
+        for name in ("counts", "norms", "vocabulary"):
+            df = getattr(self, name)
+            (df if name == "norms" else df.repartitionByRange("term").sortWithinPartitions("term")).write.mode("overwrite").parquet(f"{path}/{name}")
+            out[name] = df.sparkSession.read.parquet(f"{path}/{name}")
+        return VectorIndex(**out)
+
 
 def tfidf_index(chunks: DataFrame) -> VectorIndex:
     tf = chunks.select("id", F.explode(T.terms("content")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = chunks.agg(F.count("*").alias("n"))
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(vocabulary, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return VectorIndex(raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w")), vocabulary)
+    w = F.col("tf") * F.col("idf")
+    norms = tf.join(vocabulary, "term").groupBy("id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    return VectorIndex(tf, norms, vocabulary)
 
 
 def tfidf(index: VectorIndex, questions: DataFrame) -> DataFrame:
     """(qid, id, meaning): cosine of the TF-IDF vectors; terms outside the vocabulary don't count."""
     tf = questions.select("qid", F.explode(T.terms("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    wq = broadcast_if_small(tf).join(index.vocabulary, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("wq"))
-    norm = Window.partitionBy("qid")
-    wq = wq.withColumn("wq", F.col("wq") / F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(norm)))
-    return index.weights.join(broadcast_if_small(wq), "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("meaning"))
+    small = tf.limit(LIMIT + 1).count() <= LIMIT
+    hint = F.broadcast if small else lambda df: df
+    wq = hint(tf).join(index.vocabulary, "term").select("qid", "term", "idf", (F.col("qtf") * F.col("idf")).alias("wq"))
+    wq = wq.withColumn("wq", F.col("wq") / F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(Window.partitionBy("qid"))))
+    # One factor per question and term: the term's idf in the chunk times its weight in the question.
+    dots = index.counts.join(hint(wq.select("qid", "term", (F.col("idf") * F.col("wq")).alias("f"))), "term").groupBy("qid", "id").agg(F.sum(F.col("tf") * F.col("f")).alias("dot"))
+    return dots.join(index.norms, "id").select("qid", "id", (F.col("dot") / F.col("norm")).alias("meaning"))
 
 
 def unit(vector: Column) -> Column:
@@ -118,12 +133,13 @@ def topk(scores: DataFrame, k: int, score: str = "score", key: str = "qid", tie:
 
 def minmax(scores: DataFrame, column: str, n: DataFrame, out: str) -> DataFrame:
     """``column`` scaled to 0..1 over all n chunks of each question; chunks without a row have zero. A constant column gives zeros."""
-    of = Window.partitionBy("qid")
-    low = F.when(F.count("*").over(of) < F.col("n"), F.least(F.min(column).over(of), F.lit(0.0))).otherwise(F.min(column).over(of))
-    high = F.when(F.count("*").over(of) < F.col("n"), F.greatest(F.max(column).over(of), F.lit(0.0))).otherwise(F.max(column).over(of))
+    per = scores.groupBy("qid").agg(F.count("*").alias("_k"), F.min(column).alias("_low"), F.max(column).alias("_high")).join(F.broadcast(n), F.lit(True))
+    some = F.col("_k") < F.col("n")
+    per = per.select("qid", F.when(some, F.least("_low", F.lit(0.0))).otherwise(F.col("_low")).alias("_low"), F.when(some, F.greatest("_high", F.lit(0.0))).otherwise(F.col("_high")).alias("_high"))
     close = F.abs(F.col("_high") - F.col("_low")) <= 1e-9 * F.greatest(F.abs("_high"), F.abs("_low"))
-    rows = scores.join(F.broadcast(n), F.lit(True)).withColumn("_low", low).withColumn("_high", high)
-    return rows.withColumn(out, F.when(close, F.lit(0.0)).otherwise((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")))).drop("_low", "_high", "n")
+    # A row for each question; the scores are many more.
+    rows = scores.join(per, "qid")
+    return rows.withColumn(out, F.when(close, F.lit(0.0)).otherwise((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")))).drop("_low", "_high")
 
 
 def question_features(questions: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -140,29 +156,39 @@ def searchable(chunks: DataFrame, aliases: dict[str, str] | None = None) -> Data
 
 
 def boosts(chunks: DataFrame, features: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(qid, id, boost, factor) of chunks that a question's boosts or the figures factor touch."""
-    rows = searchable(chunks, aliases).select("id", "module", F.coalesce("time_sensitive", F.lit(False)).alias("timed"), "_head", "_all")
-    count = lambda hay: F.size(F.filter(F.col("phrases"), lambda p: F.contains(F.col(hay), p)))
-    pairs = rows.join(broadcast_if_small(features, 2000), F.lit(True))
-    boost = (
-        F.when(F.col("logistics") & F.col("timed"), F.lit(C.BOOST_TEMPORAL)).otherwise(0.0)
-        + C.BOOST_PHRASE * count("_all")
-        + C.BOOST_TITLE_PHRASE * count("_head")
-        + F.when(F.col("compares") & F.contains("_all", F.lit("comparison")), F.lit(C.BOOST_COMPARISON)).otherwise(0.0)
-    )
-    factor = F.when((F.col("module") == "figures") & ~F.col("figures"), F.lit(C.FIGURE_FACTOR)).otherwise(F.lit(1.0))
-    return pairs.select("qid", "id", boost.alias("boost"), factor.alias("factor")).filter("boost > 0 or factor < 1")
+    """(qid, id, boost) of chunks that a question's boosts touch.
+
+    The questions' phrases are looked up in all texts in one pass; what is found meets the questions by equality.
+    """
+    rows = searchable(chunks, aliases).select("id", F.coalesce("time_sensitive", F.lit(False)).alias("timed"), "_head", "_all")
+    asked = features.select("qid", F.explode("phrases").alias("pattern"))
+    found = [occurrences(rows, "id", hay, asked).withColumn("boost", F.lit(weight)) for hay, weight in (("_all", C.BOOST_PHRASE), ("_head", C.BOOST_TITLE_PHRASE))]
+    parts = [f.join(broadcast_if_small(asked), "pattern").groupBy("qid", "id").agg(F.sum("boost").alias("boost")) for f in found]
+    # What holds for every question of a kind and every chunk of a kind is an equality of two flags.
+    kinds = [("logistics", F.col("timed"), C.BOOST_TEMPORAL), ("compares", F.contains("_all", F.lit("comparison")), C.BOOST_COMPARISON)]
+    for flag, has, weight in kinds:
+        own = rows.filter(has).select("id", F.lit(True).alias("_kind"))
+        parts.append(own.join(broadcast_if_small(features.filter(flag).select("qid", F.lit(True).alias("_kind"))), "_kind").select("qid", "id", F.lit(weight).alias("boost")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("qid", "id").agg(F.sum("boost").alias("boost"))
 
 
 def fused(chunks: DataFrame, questions: DataFrame, lexical: DataFrame, meaning: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """(qid, id, bm25, meaning, score) of every chunk whose score can differ from that of an untouched one."""
     n = chunks.agg(F.count("*").alias("n"))
-    a = minmax(lexical, "bm25", n, "a").select("qid", "id", "bm25", "a")
-    b = minmax(meaning, "meaning", n, "b").select("qid", "id", "meaning", "b")
-    rows = a.join(b, ["qid", "id"], "full_outer").join(boosts(chunks, question_features(questions, aliases), aliases), ["qid", "id"], "full_outer")
-    zero = lambda c, d=0.0: F.coalesce(F.col(c), F.lit(d))
-    score = (C.FUSION_LEXICAL * zero("a") + C.FUSION_MEANING * zero("b") + zero("boost")) * zero("factor", 1.0)
-    return rows.select("qid", "id", zero("bm25").alias("bm25"), zero("meaning").alias("meaning"), score.alias("score"))
+    features = question_features(questions, aliases)
+    none = F.lit(0.0)
+    a = minmax(lexical, "bm25", n, "part").select("qid", "id", "bm25", none.alias("meaning"), (C.FUSION_LEXICAL * F.col("part")).alias("score"))
+    b = minmax(meaning, "meaning", n, "part").select("qid", "id", none.alias("bm25"), "meaning", (C.FUSION_MEANING * F.col("part")).alias("score"))
+    c = boosts(chunks, features, aliases).select("qid", "id", none.alias("bm25"), none.alias("meaning"), F.col("boost").alias("score"))
+    # The three parts add up, so a sum takes the place of outer joins.
+    rows = a.unionByName(b).unionByName(c).groupBy("qid", "id").agg(F.sum("bm25").alias("bm25"), F.sum("meaning").alias("meaning"), F.sum("score").alias("score"))
+    figures = chunks.filter("module = 'figures'").select("id", F.lit(C.FIGURE_FACTOR).alias("_factor"))
+    rows = rows.join(figures, "id", "left").join(broadcast_if_small(features.select("qid", "figures")), "qid", "left")
+    factor = F.when(F.coalesce("figures", F.lit(False)), F.lit(1.0)).otherwise(F.coalesce("_factor", F.lit(1.0)))
+    return rows.select("qid", "id", "bm25", "meaning", (F.col("score") * factor).alias("score"))
 
 
 def with_temporal_slot(ranked: DataFrame, k: int = C.TOP_K) -> DataFrame:
@@ -175,10 +201,10 @@ def with_temporal_slot(ranked: DataFrame, k: int = C.TOP_K) -> DataFrame:
     return kept.withColumn("rank", F.least("rank", F.lit(k))).drop("_first", "_swap")
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, k: int = C.TOP_K, candidates: int = C.CANDIDATES, aliases: dict[str, str] | None = None) -> DataFrame:
-    """The best k chunks of each question: (qid, rank, id, score, bm25, meaning, timed, logistics)."""
-    lexical = bm25(lexical_index(chunks, aliases), question_terms(questions, aliases))
-    meaning = tfidf(tfidf_index(chunks), questions)
+def hybrid(chunks: DataFrame, questions: DataFrame, k: int = C.TOP_K, candidates: int = C.CANDIDATES, aliases: dict[str, str] | None = None, index: Index | None = None, vectors: VectorIndex | None = None) -> DataFrame:
+    """The best k chunks of each question: (qid, rank, id, score, bm25, meaning, timed, logistics); ``index`` and ``vectors`` as stored, else built."""
+    lexical = bm25(index or lexical_index(chunks, aliases), question_terms(questions, aliases))
+    meaning = tfidf(vectors or tfidf_index(chunks), questions)
     rows = topk(fused(chunks, questions, lexical, meaning, aliases), candidates)
     asked = question_features(questions, aliases).select("qid", "logistics")
     timed = chunks.select("id", F.coalesce("time_sensitive", F.lit(False)).alias("timed"))

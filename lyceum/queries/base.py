@@ -37,17 +37,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS_SQL = """chunks AS (SELECT doc_id AS id, doc_id AS pos, text AS content, lang AS module, source AS section, source AS title,
   lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.md' AS file_path, doc_id % 50 = 0 AS time_sensitive FROM documents)"""
 
-#: Words of a benchmark text that make a question.
-ASKED = 12
-
-
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts' first words as questions; every third asks for a date, every seventh compares."""
+    """Whole benchmark texts as questions; every third asks for a date, every seventh compares."""
     b = table(spark, sf_dir, "benchmark")
-    head = F.array_join(F.slice(F.split("text", " "), 1, ASKED), " ")
     lead = F.when(F.pmod("item_id", F.lit(3)) == 0, F.lit("when is ")).when(F.pmod("item_id", F.lit(7)) == 1, F.lit("compare ")).otherwise(F.lit(""))
-    return b.select(F.col("item_id").alias("qid"), F.concat(lead, head).alias("query"))
+    return b.select(F.col("item_id").alias("qid"), F.concat(lead, "text").alias("query"))
 
 
 QUESTIONS_SQL = """questions AS (SELECT item_id AS qid, CASE WHEN item_id % 3 = 0 THEN 'when is ' WHEN item_id % 7 = 1 THEN 'compare ' ELSE '' END
-  || array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS query FROM benchmark)"""
+  || text AS query FROM benchmark)"""

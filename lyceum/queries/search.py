@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..operators import evaluate, gate, search
+from ..operators import evaluate, gate, phrases, search
 from .base import CHUNKS_SQL, QUESTIONS_SQL, chunks, query, questions, table
 
 
@@ -102,7 +102,7 @@ def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS m FROM v),
-q AS (SELECT vec_id AS qid, e AS qe, m AS qm FROM n WHERE vec_id % 100 = 0),
+q AS (SELECT vec_id AS qid, e AS qe, m AS qm FROM n WHERE vec_id % 20 = 0),
 s AS (SELECT qid, vec_id AS id, round(list_dot_product(e, qe) / CASE WHEN m > 0 THEN m ELSE 1 END / CASE WHEN qm > 0 THEN qm ELSE 1 END, 6) AS score FROM n, q)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,14 +194,14 @@ def next_actions(spark: SparkSession, sf: str) -> DataFrame:
     return answerability(spark, sf).select("qid", "status", gate.next_action(F.col("status")).alias("action"))
 
 
-RELEVANT = "rel AS (SELECT DISTINCT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
+RELEVANT = "rel AS (SELECT DISTINCT item_id AS qid, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def relevant(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, id): documents that hold a benchmark text's first 60 characters."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("p"))
+    """(qid, id): documents that hold a whole benchmark text."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("pattern"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return d.join(search.broadcast_if_small(b), F.contains("text", F.col("p"))).select("qid", "id").distinct()
+    return phrases.occurrences(d, "id", "text", b).join(search.broadcast_if_small(b), "pattern").select("qid", "id").distinct()
 
 
 @query(f"WITH {LEX}, {RELEVANT}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, id DESC) AS rank FROM bm QUALIFY rank <= 30), b AS (SELECT q.qid, min(rank) AS r FROM (SELECT DISTINCT qid FROM rel) q LEFT JOIN (SELECT r.* FROM r JOIN rel USING (qid, id)) USING (qid) GROUP BY q.qid) SELECT count(*) AS n, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / r, 0.0)), 6) AS mrr FROM b")

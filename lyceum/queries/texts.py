@@ -44,22 +44,26 @@ def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.round(T.token_estimate("text"), 6).alias("tokens"))
 
 
-MARKED = "'# ' || lang || chr(10) || 'x' || chr(10) || '## ' || source || ' two' || chr(10) || left(text, 40)"
+MARKED = "'# ' || lang || chr(10) || 'x' || chr(10) || '## ' || source || ' two' || chr(10) || text"
 
 
-@query(rf"WITH m AS (SELECT doc_id, {MARKED} AS t FROM documents WHERE NOT contains(left(text, 40), chr(10) || '#')), h AS (SELECT doc_id, t, regexp_extract_all(t, '(?m)^(#{{1,6}})\s+(.+)$', 1) AS l, regexp_extract_all(t, '(?m)^(#{{1,6}})\s+(.+)$', 2) AS s FROM m) SELECT doc_id, len(l) AS n, array_to_string(list_transform(l, lambda x: CAST(length(x) AS VARCHAR)), ',') AS levels, array_to_string(list_transform(s, lambda x: trim(x)), '|') AS titles, CAST(strpos(t, '## ') - 1 AS INTEGER) AS second FROM h")
+@query(rf"""WITH m AS (SELECT doc_id, {MARKED} AS t FROM documents), h AS (SELECT doc_id, regexp_extract_all(t, '(?m)^(#{{1,6}})\s+(.+)$', 1) AS l, regexp_extract_all(t, '(?m)^(#{{1,6}})\s+(.+)$', 2) AS s,
+  regexp_replace(t, '(?m)^(#{{1,6}}\s+.+)$', chr(30) || '\1', 'g') AS marked FROM m), p AS (SELECT doc_id, l, s, string_split(marked, chr(30)) AS parts FROM h)
+SELECT doc_id, len(l) AS n, array_to_string(list_transform(l, lambda x: CAST(length(x) AS VARCHAR)), ',') AS levels, array_to_string(list_transform(s, lambda x: trim(x)), '|') AS titles,
+  array_to_string(list_transform(range(1, len(l) + 1), lambda i: CAST(CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) AS BIGINT) AS VARCHAR)), ',') AS positions FROM p""")
 def headings(spark: SparkSession, sf: str) -> DataFrame:
-    """Headings, with positions, of documents under two made-up heading lines."""
-    d = table(spark, sf, "documents").filter(~F.contains(F.substring("text", 1, 40), F.lit("\n#")))
-    t = F.concat(F.lit("# "), F.col("lang"), F.lit("\nx\n## "), F.col("source"), F.lit(" two\n"), F.substring("text", 1, 40))
-    h = d.select("doc_id", T.headings(t).alias("h"))
-    return h.select("doc_id", F.size("h").cast("long").alias("n"), F.array_join(F.transform("h", lambda x: x["level"].cast("string")), ",").alias("levels"), F.array_join(F.transform("h", lambda x: x["title"]), "|").alias("titles"), F.element_at("h", 2)["position"].alias("second"))
+    """Headings, with positions, of whole documents under two more heading lines."""
+    t = F.concat(F.lit("# "), F.col("lang"), F.lit("\nx\n## "), F.col("source"), F.lit(" two\n"), F.col("text"))
+    h = table(spark, sf, "documents").select("doc_id", T.headings(t).alias("h"))
+    texts = {"levels": ",", "titles": "|", "positions": ","}
+    values = {"levels": lambda x: x["level"].cast("string"), "titles": lambda x: x["title"], "positions": lambda x: x["position"].cast("string")}
+    return h.select("doc_id", F.size("h").cast("long").alias("n"), *[F.array_join(F.transform("h", values[c]), sep).alias(c) for c, sep in texts.items()])
 
 
-@query(r"SELECT doc_id, 'topic:' || regexp_replace(regexp_replace(lower(lang || '-' || source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS topic, left(regexp_replace(regexp_replace(lower(left(text, 80)), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM documents WHERE regexp_matches(left(text, 80), '[\p{L}\p{N}]')")
+@query(r"SELECT doc_id, 'topic:' || regexp_replace(regexp_replace(lower(lang || '-' || source), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS topic, coalesce(nullif(left(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 60), ''), 'item') AS slug FROM documents")
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter(F.substring("text", 1, 80).rlike(r"[\p{L}\p{N}]"))
-    return d.select("doc_id", T.topic_id(F.col("lang"), F.col("source")).alias("topic"), T.slug(F.substring("text", 1, 80)).alias("slug"))
+    """Topic ids, and slugs of whole texts; a text without letters and digits gets the fallback."""
+    return table(spark, sf, "documents").select("doc_id", T.topic_id(F.col("lang"), F.col("source")).alias("topic"), T.slug("text").alias("slug"))
 
 
 @query("SELECT doc_id, left(sha256(CAST(doc_id AS VARCHAR) || chr(0) || text), 24) AS hash FROM documents")
