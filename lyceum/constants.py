@@ -40,6 +40,7 @@ PATH_CONCEPTS = 3
 NEIGHBOUR_LIMITS = {"keyword": 8, "topic": 6, "chapter": 16}
 OTHER_LINKS = 30
 FEEDBACK_PER_DAY = 100
+FEEDBACK_CHARS = {"question": 1000, "answer": 6000, "note": 1000, "page": 300}
 MIN_SHARED_PAPERS, MAX_AUTHORS = 3, 6
 
 NEXT_ACTIONS = {
@@ -56,3 +57,9 @@ OUTCOMES = {
     "weak_evidence": "not in the notes",
     "out_of_scope": "outside the course",
 }
+
+#: Headings of a chapter's index page by what stands below them, and words that keep a line out of outlines.
+OVERVIEW = r"(?i)\b(content|contents|overview|introduction|intro|about|summary|description|this (chapter|week|lecture))\b"
+OBJECTIVE = r"(?i)\b(objectives?|outcomes?|goals?|aims?|you will learn|you'll learn|what you will)\b"
+SKIP = r"(?i)\b(slides?|videos?|recordings?|zoom|readings?|references?|assignments?|homework|links?|resources?)\b"
+PRIVATE = r"(?i)zoom|passcode|password|log ?in|recorded|recording"

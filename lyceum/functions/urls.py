@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import text
 
-PAGE = r"\.(?:md|ipynb|myst|rst)$"
+PAGE = r"(?i)\.(?:md|ipynb|myst|rst)$"
 
 
 def page_slug(path: Column | str) -> Column:

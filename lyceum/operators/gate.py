@@ -41,9 +41,10 @@ def known_share(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return marked.groupBy("qid").agg(F.coalesce(share, F.lit(1.0)).alias("known"))
 
 
-def decide(questions: DataFrame, results: DataFrame, vocabulary: DataFrame | None = None, floor: float | None = None, focused: bool = False) -> DataFrame:
+def decide(questions: DataFrame, results: DataFrame, vocabulary: DataFrame | None = None, floor: float | None = None, focused: bool | str = False) -> DataFrame:
     """(qid, status, confidence, needs_temporal, temporal_year, multi_source) by the first rule that holds.
 
+    ``focused`` (a flag, or a column of the questions): a highlighted passage says what is meant, so a question is neither too broad nor off topic.
     ``results`` are ranked rows (qid, rank, score, bm25, meaning, module, file_path, timed, year).
     """
     words = T.tokens("query")
@@ -53,6 +54,7 @@ def decide(questions: DataFrame, results: DataFrame, vocabulary: DataFrame | Non
         F.arrays_overlap(words, T.strings(C.LOGISTICS_TERMS)).alias("logistics"),
         F.arrays_overlap(words, T.strings(C.BROAD_TERMS)).alias("broad"),
         F.size(F.array_distinct(words)).alias("n_words"),
+        (F.coalesce(F.col(focused), F.lit(False)) if isinstance(focused, str) else F.lit(focused)).alias("focused"),
     )
     best = results.groupBy("qid").agg(
         F.min_by("score", "rank").alias("score"),
@@ -72,8 +74,8 @@ def decide(questions: DataFrame, results: DataFrame, vocabulary: DataFrame | Non
         .when(F.col("foreign"), "out_of_scope")
         .when(weak, "weak_evidence")
         .when(F.col("logistics") & F.col("temporal_year").isNull(), "needs_time_context")
-        .when(F.lit(not focused) & F.col("broad") & (F.col("n_words") <= C.BROAD_TOKENS), "needs_clarification")
-        .when(F.lit(not focused) & off, "out_of_scope")
+        .when(~F.col("focused") & F.col("broad") & (F.col("n_words") <= C.BROAD_TOKENS), "needs_clarification")
+        .when(~F.col("focused") & off, "out_of_scope")
         .when(F.col("logistics"), "needs_time_context")
         .otherwise("answerable")
     )
@@ -110,11 +112,14 @@ def memory(turns: DataFrame, k: int = C.MEMORY_TURNS, chars: int = C.MEMORY_CHAR
 
 
 def contextual_query(query: Column, memory_: Column, context: Column | None = None) -> Column:
-    """A question with a word that refers back, led by what it may refer to: context terms, then the last turns."""
+    """A question led by the context terms, if there are any, and, where a word refers back, by what the last turns said."""
+    none = F.array().cast("array<string>")
+    terms = none if context is None else F.filter(F.transform(F.coalesce(context, none), lambda t: F.substring(F.trim(T.text(t)), 1, C.CONTEXT_TERM_CHARS)), lambda t: t != "")
+    turns = F.slice(memory_, F.greatest(F.size(memory_) - C.MEMORY_TURNS + 1, F.lit(1)), C.MEMORY_TURNS)
+    spoken = F.filter(turns, lambda m: m["role"].isin("user", "assistant") & (F.trim(T.text(m["content"])) != ""))
+    said = F.transform(spoken, lambda m: F.substring(F.trim(m["content"]), 1, C.MEMORY_SEARCH_CHARS))
     refers = F.arrays_overlap(F.split(F.lower(query), r"\s+"), T.strings(C.REFERENTIAL_TERMS))
-    said = F.transform(F.slice(memory_, F.greatest(F.size(memory_) - C.MEMORY_TURNS + 1, F.lit(1)), C.MEMORY_TURNS), lambda m: F.substring(m["content"], 1, C.MEMORY_SEARCH_CHARS))
-    lead = said if context is None else F.concat(F.transform(context, lambda t: F.substring(t, 1, C.CONTEXT_TERM_CHARS)), said)
-    return F.when(refers & (F.size(memory_) > 0), F.array_join(F.concat(lead, F.array(query)), " ")).otherwise(query)
+    return F.array_join(F.concat(terms, F.when(refers, F.coalesce(said, none)).otherwise(none), F.array(query)), " ")
 
 
 def selected_query(query: Column, selection: Column) -> Column:

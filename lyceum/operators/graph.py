@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from . import summaries
 from .concepts import mentions
+from .sizes import checkpointed
 
 
 def chapters(chunks: DataFrame, settings: DataFrame | None = None) -> DataFrame:
@@ -43,6 +45,8 @@ def covers_weight(topics_: Column, n: Column) -> Column:
     return F.bround(F.least(F.lit(1.0), 0.4 + 0.12 * topics_ + F.log1p(n) / 10), 4)
 
 
+#: Chunk ids that an edge keeps as evidence.
+EVIDENCE = 8
 EDGE = ["source", "target", "type", "basis", "weight", "mention_count", "evidence"]
 
 
@@ -53,7 +57,12 @@ def _edge(source: Column, target: Column, kind: str, weight: Column, count: Colu
 
 def mentions_edges(mentioned: DataFrame) -> DataFrame:
     """Topic to concept."""
-    per = mentioned.groupBy("module", "section", "concept").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set(F.col("id").cast("string"))), 1, 8).alias("ids"))
+    topic = ["module", "section", "concept"]
+    chunk = mentioned.groupBy(*topic, F.col("id").cast("string").alias("id")).agg(F.sum("n").alias("n"))
+    # Only the first eight ids of a topic are gathered; its ranks are cut before the rows move.
+    first = chunk.withColumn("_n", F.row_number().over(Window.partitionBy(*topic).orderBy("id"))).filter(F.col("_n") <= EVIDENCE)
+    ids = first.groupBy(*topic).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    per = chunk.groupBy(*topic).agg(F.sum("n").alias("n")).join(ids, topic)
     return per.select(*_edge(T.topic_id(F.col("module"), F.col("section")), T.keyword_id(F.col("concept")), "mentions", mentions_weight(F.col("n")), F.col("n"), evidence=F.col("ids")))
 
 
@@ -140,7 +149,7 @@ def _in_order(pairs: DataFrame, cap: int) -> DataFrame:
 
 def _in_rounds(pairs: DataFrame, cap: int) -> DataFrame:
     chosen = None
-    left = pairs.checkpoint()
+    left = checkpointed(pairs)
     used = None
     while not left.isEmpty():
         ends = left.select(F.col("l").alias("node"), "l", "r", "score").unionByName(left.select(F.col("r").alias("node"), "l", "r", "score"))
@@ -198,7 +207,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(problem, subject): duplicate ids, missing ends, self edges, lone concepts, pages without chunks."""
+    """(problem, subject): duplicate ids, missing ends, self edges, lone concepts, pages without chunks, mentions without evidence, edges that assign a meaning."""
     ids = nodes.select("id")
     dup = nodes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate node").alias("problem"), F.col("id").alias("subject"))
     ends = lambda side: edges.join(ids.distinct().withColumnRenamed("id", side), side, "left_anti").select(F.lit(f"missing {side}").alias("problem"), F.col(side).alias("subject"))
@@ -206,8 +215,12 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     lone = nodes.filter("type = 'keyword'").join(degrees(edges), "id", "left_anti").select(F.lit("orphan keyword").alias("problem"), F.col("id").alias("subject"))
     empty = nodes.filter("type = 'topic' and coalesce(chunks, 0) = 0").select(F.lit("topic without chunks").alias("problem"), F.col("id").alias("subject"))
     twice = edges.groupBy("source", "target", "type").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate edge").alias("problem"), F.concat_ws(" ", "source", "target", "type").alias("subject"))
+    bare = edges.filter(F.size(F.coalesce("evidence", F.array().cast("array<string>"))) == 0).filter("type in ('mentions', 'covers')") if "evidence" in edges.columns else edges.limit(0)
+    lack = bare.select(F.lit("edge without evidence").alias("problem"), F.concat_ws(" ", "source", "target", "type").alias("subject"))
+    meaning = [c for c in ("predicate", "review_status") if c in edges.columns]
+    judged = edges.filter(F.coalesce(*meaning).isNotNull() if meaning else F.lit(False)).select(F.lit("edge says what it means").alias("problem"), F.concat_ws(" ", "source", "target", "type").alias("subject"))
     out = dup
-    for part in (ends("source"), ends("target"), loop, lone, empty, twice):
+    for part in (ends("source"), ends("target"), loop, lone, empty, twice, lack, judged):
         out = out.unionByName(part)
     return out
 
@@ -224,8 +237,8 @@ def nodes(chunks: DataFrame, concepts: DataFrame, mentioned: DataFrame, chapters
 
 
 def build(chunks: DataFrame, concepts: DataFrame, stop: DataFrame, settings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges in canonical order, and the learning path."""
-    mentioned = mentions(chunks, concepts, ["module", "section", "id"]).cache()
+    """Nodes with concepts' summaries and chapters' outlines, edges in canonical order (type, source, target), and the learning path."""
+    mentioned = checkpointed(mentions(chunks, concepts, ["module", "section", "id"]))
     order = chapters(chunks, settings)
     split = lambda c, i: F.split_part(F.col(c), F.lit("\x1f"), F.lit(i))
     topic = lambda c: T.topic_id(split(c, 1), split(c, 2))
@@ -243,4 +256,18 @@ def build(chunks: DataFrame, concepts: DataFrame, stop: DataFrame, settings: Dat
     for i, part in enumerate(parts):
         part = part.withColumn("emitted", F.lit(i))
         edges = part if edges is None else edges.unionByName(part)
-    return nodes(chunks, concepts, mentioned, order), distinct_edges(edges).drop("emitted"), learning_path(mentioned, order, stop)
+    described = with_texts(nodes(chunks, concepts, mentioned, order), chunks, concepts)
+    return described.orderBy("type", "id"), distinct_edges(edges).drop("emitted").orderBy("type", "source", "target"), learning_path(mentioned, order, stop)
+
+
+def with_texts(nodes_: DataFrame, chunks: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Nodes with ``summary``, ``summary_file`` (concepts: the sentence that introduces them; chapters: the overview's first sentences), ``overview`` and ``objectives``.
+
+    The taxonomy is a small table that people edit; its names become the plan's patterns.
+    """
+    names = [(r["id"], r["label"], list(r["aliases"] or [])) for r in concepts.select("id", "label", "aliases").orderBy("id").toLocalIterator()]
+    null = F.lit(None).cast("string")
+    said = summaries.concept_summaries(chunks, names).select(T.keyword_id(F.col("concept")).alias("id"), "summary", "summary_file") if names else nodes_.limit(0).select("id", null.alias("summary"), null.alias("summary_file"))
+    outlines = summaries.outlines(chunks).select(T.chapter_id(F.col("module")).alias("id"), F.nullif("overview", F.lit("")).alias("overview"), "objectives")
+    rows = nodes_.join(said, "id", "left").join(outlines, "id", "left")
+    return rows.withColumn("summary", F.coalesce("summary", F.nullif(summaries.intro(T.text("overview")), F.lit(""))))

@@ -1,8 +1,10 @@
-"""Broadcasts behind a check of size."""
+"""Broadcasts behind a check of size, lineage cuts, and numbers of rows without a single task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast.
@@ -12,3 +14,23 @@ LIMIT = 20_000
 def broadcast_if_small(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to ``spark.checkpoint.dir``; only a plain local session without it gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir") or None
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lyceum-checkpoint-"))
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 0 and without gaps: ranges are sorted apart, their sizes carry the count on."""
+    ranges = checkpointed(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = ranges.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("_p", "_before")
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return ranges.withColumn("_r", own).join(F.broadcast(sizes), "_p").withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")

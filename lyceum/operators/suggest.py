@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import concepts as K
+from .sizes import numbered
 
 MIN_TERM, MAX_TERMS, QUESTION_CHARS = 3, 3, (10, 200)
 
@@ -20,12 +22,12 @@ def as_list(text: Column) -> Column:
 
 def evenly_spaced(rows: DataFrame, k: int, order: str) -> DataFrame:
     """k of n rows at even distance, both ends included; halves round to even."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1)
+    numbered_ = numbered(rows, order, "_i")
     n = rows.agg(F.count("*").alias("_n"))
     places = n.select("_n", F.explode(F.sequence(F.lit(0), F.greatest(F.least(F.lit(k), F.col("_n").cast("int")) - 1, F.lit(0)))).alias("_j"))
     step = F.when(F.least(F.lit(k), F.col("_n")) > 1, (F.col("_n") - 1) / (F.least(F.lit(k), F.col("_n")) - 1)).otherwise(F.lit(0.0))
-    wanted = places.select(F.bround(F.col("_j") * step).cast("int").alias("_i")).distinct()
-    return numbered.join(F.broadcast(wanted), "_i", "left_semi").drop("_i")
+    wanted = places.select(F.bround(F.col("_j") * step).cast("long").alias("_i")).distinct()
+    return numbered_.join(F.broadcast(wanted), "_i", "left_semi").drop("_i")
 
 
 def excerpts(chunks: DataFrame, budget: int, least: int = 200) -> DataFrame:
@@ -49,23 +51,41 @@ def longest_pages(chunks: DataFrame, k: int = 3) -> DataFrame:
 
 
 def concepts(proposed: DataFrame, existing: DataFrame, chunks: DataFrame, most: int = 12) -> DataFrame:
-    """New concepts with ids: label and used aliases occur in the notes, and no alias or label is known already.
+    """New concepts with ids and how often the notes mention them: used aliases occur in the notes, and no alias or label is known already.
 
     ``proposed``: (pos, label, category, aliases).
     """
     known = existing.select(F.explode(F.array_union("aliases", F.array("label"))).alias("a")).select(T.normalized("a").alias("alias")).distinct()
     named = proposed.withColumn("_a", F.explode(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("label")))).withColumn("alias", T.normalized("_a")).filter("alias <> ''")
     fresh = named.join(named.join(known, "alias").select("pos").distinct(), "pos", "left_anti")
-    listed = [r["alias"] for r in fresh.select("alias").distinct().orderBy("alias").limit(20 * most).collect()]
-    if not listed:
-        return proposed.limit(0).select(F.lit("").alias("id"), "label", "category", "aliases")
-    used = chunks.select(F.explode(F.filter(F.array(*[F.when(T.normalized("content").rlike(T.alias_pattern(a)), F.lit(a)) for a in listed]), lambda x: x.isNotNull())).alias("alias")).distinct()
-    kept = fresh.join(F.broadcast(used), "alias", "left_semi").groupBy("pos", "label", "category").agg(F.array_sort(F.collect_set("alias")).alias("aliases")).orderBy("pos").limit(most)
+    used = K.alias_counts(chunks.select(F.monotonically_increasing_id().alias("_row"), T.normalized("content").alias("_t")), fresh, ["_row"])
+    mentions = used.groupBy("alias").agg(F.sum("n").alias("n"))
+    kept = fresh.join(mentions, "alias").groupBy("pos", "label", "category").agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.sum("n").alias("mentions")).orderBy("pos").limit(most)
     base = T.slug("label")
     rows = kept.withColumn("_id", base).withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("pos")))
     taken = existing.select(F.col("id").alias("_id"), F.lit(1).alias("_taken"))
     rows = rows.join(taken, "_id", "left").withColumn("_n", F.col("_n") + F.coalesce("_taken", F.lit(0)))
-    return rows.select(F.when(F.col("_n") > 1, F.concat_ws("-", "_id", "_n")).otherwise(F.col("_id")).alias("id"), "label", "category", "aliases")
+    return rows.select(F.when(F.col("_n") > 1, F.concat_ws("-", "_id", "_n")).otherwise(F.col("_id")).alias("id"), "label", "category", "aliases", "mentions")
+
+
+def with_search(questions_: DataFrame, checked: DataFrame) -> DataFrame:
+    """Drafted questions (id, ...) with ``search_finds_it``: what the evaluation's ``checked`` (id, passed) says of them."""
+    return questions_.join(checked.select("id", F.col("passed").alias("search_finds_it")), "id", "left").withColumn("search_finds_it", F.coalesce("search_finds_it", F.lit(False)))
+
+
+def load_chapters(chunks: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """(pos, module, name, chunks) of the chapters that are shown: configured ones in their order, then the others by folder; root and hidden ones are left out.
+
+    ``settings``: (module, pos, name, show).
+    """
+    seen = chunks.groupBy("module").agg(F.count("*").alias("chunks"))
+    if settings is None:
+        rows = seen.withColumn("_pos", F.lit(None).cast("int")).withColumn("_name", F.lit(None).cast("string")).withColumn("show", F.lit(None).cast("string"))
+    else:
+        rows = seen.join(settings.select("module", F.col("pos").alias("_pos"), F.col("name").alias("_name"), "show"), "module", "left")
+    shown = rows.filter("module <> 'root' and coalesce(show, '') <> 'hidden'")
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("_pos").asc_nulls_last(), "module")  # one row a folder
+    return shown.select((F.row_number().over(order) - 1).alias("pos"), "module", F.coalesce("_name", T.folder_title("module")).alias("name"), "chunks")
 
 
 def questions(proposed: DataFrame, existing: DataFrame, chunks: DataFrame) -> DataFrame:

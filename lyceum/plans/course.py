@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings as warnings_
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..operators import chunker, gate, graph, incremental, search
+from ..operators.sizes import checkpointed, numbered
 from ..sources import files
 
 
 def chunks(spark: SparkSession, root: str, exclude: list[str] | None = None, timed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, warnings) of all readable files below ``root``, in order of their paths."""
-    parts = files.parse(files.discover(spark, root, exclude)).cache()
+    parts = checkpointed(files.parse(files.discover(spark, root, exclude)))
     warnings = parts.filter("warning is not null").select("file_path", "warning")
     rows = parts.filter("warning is null").withColumn("key", F.concat_ws("\x1f", "file_path", "part"))
     cut = chunker.split(rows, "key", "text").join(rows.drop("text"), "key")
@@ -28,10 +30,11 @@ def chunks(spark: SparkSession, root: str, exclude: list[str] | None = None, tim
     timed = C.TIME_SENSITIVE_FILES if timed is None else timed
     term = _term(parts.filter(F.col("file_path").isin(*timed)))
     out = chunker.timed(out, timed, *term)
-    # Order of the notes: a file's rank among paths, then the chunk's number; ranks need no single-task window.
-    paths = out.select("file_path").distinct()
-    pos = paths.orderBy("file_path").withColumn("_f", F.monotonically_increasing_id())
-    out = out.join(pos, "file_path").withColumn("pos", F.col("_f") * 1_000_000 + F.col("n")).drop("_f", "n")
+    # Order of the notes: each file starts where those before it end, so places have no gaps.
+    sizes = numbered(out.groupBy("file_path").agg(F.count("*").alias("_c")), "file_path", "_f")
+    before = Window.partitionBy(F.lit(1)).orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("file_path", "_start")
+    out = out.join(starts, "file_path").withColumn("pos", (F.col("_start") + F.col("n")).cast("long")).drop("_start", "n")
     return out.withColumn("id", F.col("chunk_id")), warnings
 
 
@@ -51,31 +54,75 @@ class Build:
 
 
 def build(spark: SparkSession, root: str, concepts: DataFrame, stop: list[str] | None = None, settings: DataFrame | None = None, out: str | None = None) -> Build:
-    """Everything a course needs, written below ``out`` if it is given; a graph with problems is refused."""
+    """Everything a course needs, written below ``out`` if it is given; a graph with problems is refused and what stood there stays."""
     rows, warnings = chunks(spark, root)
     if out:
         rows.write.mode("overwrite").parquet(f"{out}/chunks")
         rows = spark.read.parquet(f"{out}/chunks")
     stops = spark.createDataFrame([(s,) for s in stop or []], "concept string")
-    nodes, edges, path = graph.build(rows, concepts, stops, settings)
+    tables = dict(zip(("nodes", "edges", "path"), (checkpointed(x) for x in graph.build(rows, concepts, stops, settings)), strict=True))
+    problems = graph.validate(tables["nodes"], tables["edges"]).limit(5).collect()
+    if problems:
+        raise ValueError(f"the graph has problems: {[tuple(p) for p in problems]}")
     if out:
-        for name, df in (("nodes", nodes), ("edges", edges), ("path", path)):
+        for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{out}/{name}")
-        nodes, edges, path = (spark.read.parquet(f"{out}/{n}") for n in ("nodes", "edges", "path"))
-        problems = graph.validate(nodes, edges).limit(5).collect()
-        if problems:
-            raise ValueError(f"the graph has problems: {[tuple(p) for p in problems]}")
-    return Build(rows, nodes, edges, path, warnings)
+            tables[name] = spark.read.parquet(f"{out}/{name}")
+    return Build(rows, tables["nodes"], tables["edges"], tables["path"], warnings)
 
 
-def ask(course: DataFrame, questions: DataFrame, aliases: dict[str, str] | None = None, floor: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, decisions) of a batch of questions (qid, query) over chunks; the text fallback needs no meaning floor."""
-    ranked = search.hybrid(course, questions, aliases=aliases)
+def extract_summary(chunks_: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row: files, chunks, the term, the file types in order and the number of warnings."""
+    term = F.max("temporal_context.year").alias("term") if "temporal_context" in chunks_.columns else F.lit(None).cast("string").alias("term")
+    own = chunks_.agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("chunks"), term, F.array_sort(F.collect_set("file_type")).alias("types"))
+    return own.join(warnings.agg(F.count("*").alias("warnings")), F.lit(True))
+
+
+def doctor(b: Build, recorded: DataFrame | None = None, now: DataFrame | None = None, concepts: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """(place, problem, subject): what a course lacks: unreadable files, graph problems, notes changed since the build (fingerprints
+    (file, hash) ``recorded`` and ``now``), no concepts, no test questions, a term that no page states."""
+    found = b.warnings.select(F.lit("notes").alias("place"), F.col("warning").alias("problem"), F.col("file_path").alias("subject"))
+    found = found.unionByName(graph.validate(b.nodes, b.edges).select(F.lit("graph").alias("place"), "problem", "subject"))
+    if recorded is not None and now is not None:
+        found = found.unionByName(incremental.changed(recorded, now).select(F.lit("build").alias("place"), F.concat(F.lit("changed since the build: "), "change").alias("problem"), F.col("file").alias("subject")))
+
+    def empty(df: DataFrame, place: str, problem: str) -> DataFrame:
+        return df.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(place).alias("place"), F.lit(problem).alias("problem"), F.lit("").alias("subject"))
+
+    found = found.unionByName(empty(b.chunks, "notes", "no text to read")).unionByName(empty(b.nodes.filter("type = 'keyword'") if concepts is None else concepts, "concepts", "none yet"))
+    if questions is not None:
+        found = found.unionByName(empty(questions, "questions", "no test questions"))
+    return found
+
+
+def search_queries(questions: DataFrame) -> DataFrame:
+    """Questions with ``search``, what is searched for, and ``focused``: columns ``memory`` (turns before), ``context`` (terms) and ``selection``
+    (a highlighted passage) count where there are such."""
+    has = set(questions.columns)
+    said = F.col("memory") if "memory" in has else F.array().cast("array<struct<role:string,content:string>>")
+    query = gate.contextual_query(F.col("query"), said, F.col("context") if "context" in has else None)
+    passage = T.text("selection") if "selection" in has else F.lit("")
+    return questions.withColumn("search", gate.selected_query(query, passage)).withColumn("focused", F.trim(passage) != "")
+
+
+def ask(course: DataFrame, questions: DataFrame, aliases: dict[str, str] | None = None, floor: float | None = None, index: search.Index | None = None, vectors: search.VectorIndex | None = None, on_decision=None) -> tuple[DataFrame, DataFrame]:
+    """(results, decisions) of a batch of questions (qid, query; see ``search_queries``) over chunks; the text fallback needs no meaning floor.
+
+    ``index`` and ``vectors``: as stored by a build. ``on_decision`` gets the decisions, for example to append them to a log; its errors don't stop an answer.
+    """
+    led = search_queries(questions)
+    ranked = search.hybrid(course, led.select("qid", F.col("search").alias("query")), aliases=aliases, index=index, vectors=vectors)
     year = F.coalesce(F.col("temporal_context.academic_year"), F.col("temporal_context.year")) if "temporal_context" in course.columns else F.lit(None).cast("string")
     info = course.select("id", "title", "file_path", "module", "content", F.coalesce("location", F.lit("")).alias("location"), year.alias("year"))
     results = ranked.join(info, "id").withColumn("preview", T.preview("content"))
-    vocabulary = search.lexical_index(course, aliases).terms if floor is not None else None
-    return results, gate.decide(questions, results, vocabulary, floor)
+    vocabulary = (index or search.lexical_index(course, aliases)).terms if floor is not None else None
+    decisions = gate.decide(led, results, vocabulary, floor, focused="focused")
+    if on_decision is not None:
+        try:
+            on_decision(decisions)
+        except Exception as e:  # noqa: BLE001 - noting a question must never stop its answer
+            warnings_.warn(f"the decision hook failed: {e}", stacklevel=2)
+    return results, decisions
 
 
 def answers(course: DataFrame, questions: DataFrame) -> DataFrame:

@@ -37,13 +37,13 @@ def relative_to(root: str) -> Column:
 
 
 def discover(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: list[str] | None = None, suffixes: list[str] | None = None) -> DataFrame:
-    """Files below ``root`` with a known suffix, outside ignored folders: path, length, content, sorted by path."""
+    """Files below ``root`` with a known suffix (with or without its dot, in any case), outside ignored folders: path, length, content, sorted by path."""
     ignored = F.array(*[F.lit(x) for x in (C.IGNORED_FOLDERS if ignore is None else ignore)]).cast("array<string>")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("file_path", relative_to(root))
     parts = F.split("file_path", "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     suffix = F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1))
-    kept = rows.filter(suffix.isin(*[s.lower() for s in (suffixes or readers.READERS)]))
+    kept = rows.filter(suffix.isin(*["." + s.lstrip(".").lower() for s in (suffixes or readers.READERS)]))
     kept = kept.filter(~F.exists(folders, lambda p: F.array_contains(ignored, p) | p.endswith(".egg-info")))
     if exclude:
         kept = kept.filter(~F.col("file_path").isin(*exclude))
@@ -117,7 +117,8 @@ ROSTER_HEADERS = {"email": ["email", "emailaddress", "mail"], "name": ["name", "
 
 def roster(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(email, name, limit), the last row of an address counting, and rows whose address is invalid (line, email)."""
-    lines = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    # Read as one piece, so that ids count its lines.
+    lines = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).csv(path)
     plain = {re.sub("[^a-z]", "", c.lower().replace("\ufeff", "")): c for c in lines.columns}
     named = {k: next((plain[s] for s in synonyms if s in plain), None) for k, synonyms in ROSTER_HEADERS.items()}
     if named["email"] is None:

@@ -28,10 +28,10 @@ def accepted_feedback(rows: DataFrame, cap: int = C.FEEDBACK_PER_DAY) -> DataFra
     """Valid ratings of a question, at most ``cap`` for a sender and day, in order of arrival."""
     order = Window.partitionBy("sender", "day").orderBy("time", "id")
     valid = rows.filter(F.col("rating").isin("up", "down") & (F.trim(T.text("question")) != ""))
-    limits = {"page": 1000, "question": 1000, "answer": 6000, "note": 1000}
-    for name, n in limits.items():
+    for name, n in C.FEEDBACK_CHARS.items():
         if name in rows.columns:
-            valid = valid.withColumn(name, F.substring(name, 1, n))
+            # An answer keeps its line breaks; the rest is one line.
+            valid = valid.withColumn(name, F.substring(T.text(name) if name == "answer" else T.collapse(name), 1, n))
     return valid.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).drop("_n")
 
 
@@ -77,14 +77,22 @@ def embedded(document: Column) -> Column:
     return F.replace(document, F.lit("</"), F.lit("<\\/"))
 
 
+def rejected_feedback(rows: DataFrame) -> DataFrame:
+    """Rows that ``accepted_feedback`` refuses for what they say, with the reason."""
+    reason = F.when(~F.coalesce(F.col("rating").isin("up", "down"), F.lit(False)), "rating must be up or down").when(F.trim(T.text("question")) == "", "no question")
+    return rows.withColumn("reason", reason).filter("reason is not null")
+
+
 def report(lines: DataFrame, path: str, history: str | None = None) -> None:
-    """A small Markdown report, sorted by ``n``, to one file and, under a time stamp, to a history folder."""
+    """A Markdown report, sorted by ``n``, to one file and, under a time stamp, to a history folder. Lines are written as they arrive."""
+    import shutil
     from datetime import datetime, timezone
     from pathlib import Path
 
-    text = "\n".join(r["line"] for r in lines.orderBy("n").limit(10_000).collect()) + "\n"
-    Path(path).write_text(text, encoding="utf-8")
+    with Path(path).open("w", encoding="utf-8") as f:
+        for r in lines.orderBy("n").toLocalIterator():
+            f.write(r["line"] + "\n")
     if history:
         Path(history).mkdir(parents=True, exist_ok=True)
         stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-        (Path(history) / f"{Path(path).stem}_{stamp}.md").write_text(text, encoding="utf-8")
+        shutil.copyfile(path, Path(history) / f"{Path(path).stem}_{stamp}.md")

@@ -29,7 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A file source over a Parquet file or folder; ``ts`` as a timestamp, which watermarks need."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    stream = spark.readStream.schema(schema)
+    # A stream reads folders; a single file is the one of its name in its folder.
+    rows = stream.parquet(path) if folder else stream.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
