@@ -132,13 +132,22 @@ def source_block(number: Column, title: Column, path: Column, score: Column, con
     return F.format_string("[Source %d] %s (%s), score %.3f\n%s", number, title, path, score, content)
 
 
-def prompts(questions: DataFrame, decisions: DataFrame, evidence_: DataFrame) -> DataFrame:
-    """One package for each question: messages (role, content) with its numbered sources and the action to take."""
+def prompts(questions: DataFrame, decisions: DataFrame, evidence_: DataFrame, instructions: str = "") -> DataFrame:
+    """One package for each question: messages (role, content) with its numbered sources and the action to take.
+
+    A teacher's ``instructions`` end the system message. Where questions have ``memory`` (turns before), ``context`` (terms) or ``selection``
+    (a highlighted passage), these stand between question and evidence.
+    """
     blocks = evidence_.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "file_path", "score", "content"))).alias("_e"))
     rows = questions.join(decisions, "qid").join(blocks, "qid", "left")
     sources = F.array_join(F.transform(F.coalesce("_e", F.array().cast("array<struct<rank:int,title:string,file_path:string,score:double,content:string>>")), lambda e, i: source_block(i + 1, e["title"], e["file_path"], e["score"], T.preview(e["content"], 1200))), "\n\n")
-    user = F.concat_ws("\n\n", F.col("query"), F.concat(F.lit("Evidence:\n"), sources))
-    system = F.concat_ws(" ", F.lit("Answer only from the numbered sources and cite them."), F.when(F.col("status") == "needs_time_context", F.concat(F.lit("State that dates hold for "), F.coalesce("temporal_year", F.lit("an unknown term")), F.lit("."))))
+    has, null = set(questions.columns), F.lit(None).cast("string")
+    titled = lambda title, body: F.when(F.trim(T.text(body)) != "", F.concat(F.lit(title + "\n"), body))
+    turns = F.array_join(F.transform("memory", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n") if "memory" in has else null
+    terms = F.array_join("context", ", ") if "context" in has else null
+    passage = F.substring(T.collapse("selection"), 1, C.SELECTION_CHARS) if "selection" in has else null
+    user = F.concat_ws("\n\n", F.col("query"), titled("Highlighted passage:", passage), titled("Selected in the course map:", terms), titled("Turns before:", turns), F.concat(F.lit("Evidence:\n"), sources))
+    system = F.concat_ws(" ", F.lit("Answer only from the numbered sources and cite them."), F.when(F.col("status") == "needs_time_context", F.concat(F.lit("State that dates hold for "), F.coalesce("temporal_year", F.lit("an unknown term")), F.lit("."))), F.lit(instructions.strip() or None).cast("string"))
     return rows.select("qid", "status", next_action(F.col("status")).alias("action"), F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content"))).alias("messages"))
 
 
@@ -159,6 +168,21 @@ def answer_events(packages: DataFrame) -> DataFrame:
     return packages.select("qid", F.posexplode(events).alias("seq", "e")).select("qid", "seq", "e.event", "e.text")
 
 
+def streamed(packages: DataFrame, replies: DataFrame) -> DataFrame:
+    """The event stream (qid, seq, event, text) of a provider's replies (qid, n, text, error): start, deltas, done.
+
+    An error ends a stream with an ``error`` event that says what to do; a stream without any text ends with one, too.
+    """
+    own = replies.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("_t"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("n"))).alias("_e"))
+    rows = packages.select("qid", "status").join(own, "qid", "left")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("event"), text.alias("text"))
+    said = F.filter(F.transform("_t", lambda t: t["text"]), lambda t: T.text(t) != "")
+    said = F.coalesce(said, F.array().cast("array<string>"))
+    last = F.when(F.col("_e").isNotNull(), event("error", F.concat_ws(" ", F.col("_e"), error_advice(F.col("_e"))))).when(F.size(said) == 0, event("error", F.lit("The model gave no answer. Try again later."))).otherwise(event("done", F.lit("")))
+    events = F.concat(F.array(event("start", F.col("status"))), F.transform(said, lambda t: event("delta", t)), F.array(last))
+    return rows.select("qid", F.posexplode(events).alias("seq", "e")).select("qid", "seq", "e.event", "e.text")
+
+
 def named_sources(answer: Column, evidence_: Column) -> Column:
     """Chunk ids in an answer replaced by title and path of array<struct<chunk_id, title, file_path>>; no blank before a full stop or comma."""
     out = F.aggregate(evidence_, answer, lambda a, e: F.replace(a, e["chunk_id"], F.concat(e["title"], F.lit(" ("), e["file_path"], F.lit(")"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import sinks
 
 
 def file_hash(content: Column) -> Column:
@@ -45,6 +46,21 @@ def stages(notes_changed: bool, taxonomy_changed: bool, settings_changed: bool,
     return ["graph"] if taxonomy_changed else []
 
 
+def refreshed(chunks: DataFrame, path: str, encode=None) -> DataFrame:
+    """(id, hash, vector) of chunks (id, hash, content), only those whose hash the cache at ``path`` lacks encoded anew; the cache then holds these vectors.
+
+    ``encode`` maps (id, hash, content) to (id, hash, vector): an encoder of the user's, by default the offline stand-in.
+    """
+    spark = chunks.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    have, need = reuse(chunks, spark.read.parquet(path).select("hash", "vector")) if there else (None, chunks)
+    new = (encode or encoded)(need.select("id", "hash", "content"))
+    rows = new if have is None else have.select("id", "hash", "vector").unionByName(new)
+    sinks.backed_up(rows, path)
+    return spark.read.parquet(path)
+
+
 def encoded(chunks: DataFrame, dims: int = 64) -> DataFrame:
     """Hashed term vectors of unit length, the offline stand-in for an encoder: (id, hash, vector)."""
     terms = chunks.select("id", "hash", F.explode(T.terms("content")).alias("t"))

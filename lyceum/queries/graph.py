@@ -64,6 +64,14 @@ def concept_counts(spark: SparkSession, sf: str) -> DataFrame:
     return K.rolled_up(mentioned(spark, sf)).drop("level")
 
 
+@query(f"WITH {BASE}, one AS (SELECT DISTINCT alias FROM al) SELECT alias, CAST(sum(n) AS BIGINT) AS n FROM (SELECT alias, len(regexp_extract_all(t, '[^a-z0-9]' || replace(alias, ' ', '[\\s\\-/]+') || '[^a-z0-9]')) AS n FROM dbl, one WHERE contains(t, string_split(alias, ' ')[-1])) GROUP BY alias HAVING sum(n) > 0")
+def alias_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """How often all texts together mention each alias."""
+    c = chunks(spark, sf)
+    rows = c.select("id", K.searched(c).alias("_t"))
+    return K.alias_counts(rows, K.aliases(taxonomy(spark, sf)), ["id"]).groupBy("alias").agg(F.sum("n").alias("n"))
+
+
 def _edges(df: DataFrame) -> DataFrame:
     return df.select("source", "target", "type", "basis", "weight", "mention_count")
 

@@ -224,6 +224,33 @@ def contextual_query(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5(gate.contextual_query(F.col("text"), F.col("memory")).cast("binary")).alias("query"))
 
 
+@query(f"WITH {MEM}, t AS (SELECT conv_id, turn, text, said, left('Conversation ' || CAST(conv_id AS VARCHAR), 160) || ' ' AS c FROM usr) SELECT conv_id, turn, md5(c || CASE WHEN list_has_any(string_split_regex(lower(text), '\\s+'), ['it', 'this', 'that', 'they', 'them']) AND len(said) > 0 THEN array_to_string(list_append(list_transform(said[-4:], lambda x: left(x, 400)), text), ' ') ELSE text END) AS query FROM t")
+def contextual_query_with_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Context terms stand in front whether or not a question refers back; blank ones count for nothing."""
+    rows = gate.memory(table(spark, sf, "conversations"))
+    terms = F.array(F.lit("  "), F.concat(F.lit(" Conversation "), F.col("conv_id")))
+    return rows.select("conv_id", "turn", F.md5(gate.contextual_query(F.col("text"), F.col("memory"), terms).cast("binary")).alias("query"))
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN p = '' THEN source ELSE left(p, 600) || ' ' || source END) AS query FROM (SELECT doc_id, source, trim({WS.format('text')}) AS p FROM documents)")
+def selected_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions led by a highlighted passage."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(gate.selected_query(F.col("source"), F.col("text")).cast("binary")).alias("query"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS pos, lang AS module, upper(left(lang, 1)) || substring(lang, 2) AS name, count(*) AS chunks FROM documents GROUP BY lang")
+def load_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    return suggest.load_chapters(chunks(spark, sf))
+
+
+@query("SELECT count(DISTINCT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR)) AS files, count(*) AS chunks, CAST(NULL AS VARCHAR) AS term, ['md'] AS types, (SELECT count(*) FROM documents WHERE n_chars < 20) AS warnings FROM documents")
+def extract_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from ..plans import course
+
+    short = table(spark, sf, "documents").filter("n_chars < 20")
+    return course.extract_summary(chunks(spark, sf).withColumn("file_type", F.lit("md")), short)
+
+
 @query("SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS n FROM conversations")
 def client_window(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window

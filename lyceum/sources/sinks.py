@@ -40,6 +40,18 @@ def usage(log: DataFrame) -> DataFrame:
     return log.groupBy("email", "day").agg(F.count("*").cast("int").alias("questions"))
 
 
+def backed_up(df: DataFrame, path: str) -> None:
+    """Overwrites the table at ``path``; what stood there is kept beside it under ``.bak``."""
+    spark = df.sparkSession
+    at, bak = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".bak"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(path + ".new")
+    if fs.exists(at):
+        fs.delete(bak, True)
+        fs.rename(at, bak)
+    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".new"), at)
+
+
 def merged(existing: DataFrame, new: DataFrame, key: str = "id", working: tuple[str, ...] = ()) -> DataFrame:
     """``existing`` and the rows of ``new`` under ids it lacks; its own rows never change."""
     fresh = new.drop(*working).join(existing.select(key), key, "left_anti")
@@ -58,6 +70,24 @@ def tagged(document: Column) -> Column:
     return F.concat(F.lit('"'), F.substring(F.sha2(document, 256), 1, 16), F.lit('"'))
 
 
+def squeezed(document: bytes) -> bytes:
+    """A document for browsers that take gzip; equal documents give equal bytes."""
+    import gzip
+
+    return gzip.compress(document, 6, mtime=0)
+
+
+def escaped_markdown(c: Column) -> Column:
+    """Text that a Markdown report shows as it is."""
+    return F.regexp_replace(c, r"([\\`*_{}\[\]()#+!|<>-])", r"\\$1")
+
+
+def single_page(document: Column, title: Column, script: str) -> Column:
+    """One HTML page that holds the graph document and the script that draws it."""
+    shown = F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.concat(F.lit("<!doctype html><meta charset=utf-8><title>"), shown, F.lit("</title><main id=graph></main><script type=application/json id=data>"), embedded(document), F.lit("</script><script>"), embedded(F.lit(script)), F.lit("</script>"))
+
+
 BEGIN, END = "<!-- assistant:begin -->", "<!-- assistant:end -->"
 
 
