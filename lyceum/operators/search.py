@@ -9,15 +9,19 @@ Ties in a ranking go to the greater id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from .. import constants as C
 from ..functions import text as T
 from .phrases import occurrences
-from .sizes import LIMIT, broadcast_if_small
+from .sizes import LIMIT, broadcast_if_small, checkpointed, numbered
 
 
 @dataclass
@@ -111,18 +115,87 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(F.lit(1.0)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense(vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """(qid, id, meaning): cosine of every vector (id, vector) with every asked one (qid, vector).
-
-    A stated set of questions against all rows: the asked side is broadcast after a check of its size.
+#: Questions that a task holds at once, and vectors that it scores against them at a time.
+ASKED, SCORED = 2048, 1024
+
+
+def units(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The lengths of the vectors (-1 for one that is null or holds a null or NaN), and for each length its vectors scaled to norm 1 (zero stays zero)."""
+    rows = [None if v is None else np.array(v, dtype=np.float64) for v in column.to_pylist()]
+    lengths = np.array([-1 if r is None or np.isnan(r).any() else len(r) for r in rows], dtype=np.int64)
+    out = {}
+    for n in set(lengths.tolist()) - {-1}:
+        m = np.stack([rows[i] for i in np.flatnonzero(lengths == n)])
+        norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        out[n] = m / np.where(norms > 0, norms, 1.0)
+    return lengths, out
+
+
+def nearest(asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, digits: int, names: list[str]):
+    """A mapper over rows (id, vector) to a task's best k of each question; ``asked`` has the numbers and vectors of the questions of each length."""
+
+    def best(q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        place = np.unique(ids, return_inverse=True)[1]
+        order = np.lexsort((-place, -score, q))
+        q, score, ids = q[order], score[order], ids[order]
+        heads = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        nth = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q))))
+        return q[nth < k], score[nth < k], ids[nth < k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, floor = None, np.full(max(int(q.max()) for q, _ in asked.values()) + 1, -np.inf)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SCORED):
+                b = whole.slice(at, SCORED)
+                lengths, own = units(b.column(1))
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                for n, m in own.items():
+                    if n not in asked:
+                        continue
+                    numbers, vectors = asked[n]
+                    raw = vectors @ m.T * 10.0**digits
+                    score = np.copysign(np.floor(np.abs(raw) + 0.5), raw) / 10.0**digits + 0.0
+                    least = floor[numbers]
+                    if len(m) > k:
+                        least = np.maximum(least, np.partition(score, len(m) - k, axis=1)[:, len(m) - k])
+                    i, j = np.nonzero(score >= least[:, None])
+                    found = numbers[i], score[i, j], ids[lengths == n][j]
+                    held = best(*(found if held is None else (np.concatenate(x) for x in zip(held, found, strict=True))))
+                    # A question with k rows takes none below its last.
+                    full = np.bincount(held[0], minlength=len(floor)) == k
+                    last = np.full(len(floor), np.inf)
+                    np.minimum.at(last, held[0], held[1])
+                    floor = np.where(full, last, -np.inf)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[2]), pa.array(held[1], pa.float64())], names=names)
+
+    return run
+
+
+def dense(vectors: DataFrame, asked: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """(qid, id, score, rank): the k vectors (id, vector) of the greatest cosine, rounded, to each asked one (qid, vector).
+
+    A stated set of questions against all rows, ASKED questions at a time: a block of them goes to every task, which multiplies
+    it with its rows and gives its own best k of each; the best of these follow from one window. Vectors that are null, hold
+    a null or NaN or have another length than the asked one have no score; the zero vector's is 0. Repeated ids stay apart.
     """
-    own = vectors.select("id", unit(F.col("vector")).alias("v"))
-    q = broadcast_if_small(asked.select("qid", unit(F.col("vector")).alias("q")), 2000)
-    return own.join(q, F.lit(True)).select("qid", "id", dot(F.col("v"), F.col("q")).alias("meaning"))
+    spark = vectors.sparkSession
+    own = vectors.select("id", "vector")
+    schema = T_.StructType([T_.StructField("_n", T_.LongType()), own.schema["id"], T_.StructField("score", T_.DoubleType())])
+    questions = checkpointed(numbered(asked.select("qid", "vector"), "qid", "_n"))
+    found = None
+    for low in range(0, questions.count(), ASKED):
+        block = questions.filter(F.col("_n").between(low, low + ASKED - 1)).select("_n", "vector").toArrow().combine_chunks()
+        numbers = np.asarray(block.column("_n").combine_chunks()) - low
+        lengths, of = units(block.column("vector").combine_chunks())
+        if not of:
+            continue
+        mapper = nearest({n: (numbers[lengths == n], m) for n, m in of.items()}, k, digits, schema.names)
+        part = checkpointed(topk(own.mapInArrow(mapper, schema), k, key="_n", digits=digits).withColumn("_n", F.col("_n") + low))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], T_.StructType([*schema.fields, T_.StructField("rank", T_.IntegerType())]))
+    return found.join(questions.select("_n", "qid"), "_n").select("qid", "id", "score", "rank")
 
 
 def topk(scores: DataFrame, k: int, score: str = "score", key: str = "qid", tie: str = "id", digits: int = 6) -> DataFrame:

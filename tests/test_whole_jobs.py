@@ -2,7 +2,7 @@
 
 import pytest
 
-from lyceum.operators import events
+from lyceum.operators import events, search
 from lyceum.queries import QUERIES
 from tests.compare import differences
 
@@ -38,3 +38,16 @@ def test_an_unlisted_user_is_unknown(spark):
     roster = spark.createDataFrame([("u1@example.org", "One")], "email string, name string")
     usage = spark.createDataFrame([("u1@example.org", 2), ("u9@example.org", 1), ("u9@example.org", 3), ("address:4", 5)], "email string, questions int")
     assert [tuple(r) for r in events.unknown_users(roster, usage).select("email", "questions").collect()] == [("u9@example.org", 4)]
+
+
+def test_dense_on_awkward_vectors(spark, monkeypatch):
+    """Ties go to the greater id, blocks don't matter, and vectors without a score are left out."""
+    monkeypatch.setattr(search, "ASKED", 2)
+    rows = [(i, [1.0, 0.0]) for i in range(6)] + [(6, [0.0, 0.0]), (7, None), (8, [1.0, None]), (9, [1.0]), (10, [-2.0, 0.0]), (11, [float("nan"), 1.0])]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = vectors.filter("id in (1, 2, 6, 7, 9)").withColumnRenamed("id", "qid")
+    out = {}
+    for r in sorted(search.dense(vectors, asked, 3).collect(), key=lambda r: r.rank):
+        out.setdefault(r.qid, []).append((r.id, r.score))
+    assert out == {1: [(5, 1.0), (4, 1.0), (3, 1.0)], 2: [(5, 1.0), (4, 1.0), (3, 1.0)], 6: [(10, 0.0), (6, 0.0), (5, 0.0)], 9: [(9, 1.0)]}
+    assert search.dense(vectors.limit(0), asked, 3).count() == 0 and search.dense(vectors, asked.limit(0), 3).count() == 0
