@@ -21,12 +21,12 @@ from pyspark.sql import types as T_
 from .. import constants as C
 from ..functions import text as T
 from .phrases import occurrences
-from .sizes import LIMIT, broadcast_if_small, checkpointed, numbered
+from .sizes import LIMIT, broadcast_if_small, checkpointed, numbered, spread, stored
 
 
 @dataclass
 class Index:
-    """postings(id, term, tf), lengths(id, len), stats(n, avgdl), terms(term, df, idf)."""
+    """postings(id, len, term, tf), each with the length of its chunk, lengths(id, len), stats(n, avgdl), terms(term, df, idf)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -43,10 +43,12 @@ class Index:
         return Index(**out)
 
 
-def lexical_index(chunks: DataFrame, aliases: dict[str, str] | None = None) -> Index:
-    rows = chunks.select("id", T.tokens("content", aliases).alias("words"))
+def lexical_index(chunks: DataFrame, aliases: dict[str, str] | None = None, keep: bool = False) -> Index:
+    """``keep``: the postings are written once as a table in the shared folder, for a plan that reads them several times."""
+    rows = spread(chunks.select("id", "content"), "id").select("id", T.tokens("content", aliases).alias("words"))
     lengths = rows.select("id", F.size("words").alias("len"))
-    postings = rows.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    postings = rows.select("id", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    postings = stored(postings) if keep else postings
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = df.join(F.broadcast(stats), F.lit(True)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
@@ -66,7 +68,7 @@ def bm25(index: Index, qterms: DataFrame) -> DataFrame:
     small = qterms.limit(LIMIT + 1).count() <= LIMIT
     hint = F.broadcast if small else lambda df: df
     weighted = hint(qterms).join(index.terms, "term")
-    hits = index.postings.join(hint(weighted), "term").join(index.lengths, "id").join(F.broadcast(index.stats), F.lit(True))
+    hits = index.postings.join(hint(weighted), "term").join(F.broadcast(index.stats), F.lit(True))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1.0))))
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("bm25"))
 
@@ -89,8 +91,10 @@ class VectorIndex:
         return VectorIndex(**out)
 
 
-def tfidf_index(chunks: DataFrame) -> VectorIndex:
-    tf = chunks.select("id", F.explode(T.terms("content")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def tfidf_index(chunks: DataFrame, keep: bool = False) -> VectorIndex:
+    """``keep``: the counts are written once as a table in the shared folder, for a plan that reads them several times."""
+    tf = spread(chunks.select("id", "content"), "id").select("id", F.explode(T.terms("content")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = stored(tf) if keep else tf
     n = chunks.agg(F.count("*").alias("n"))
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = F.col("tf") * F.col("idf")
@@ -233,7 +237,7 @@ def boosts(chunks: DataFrame, features: DataFrame, aliases: dict[str, str] | Non
 
     The questions' phrases are looked up in all texts in one pass; what is found meets the questions by equality.
     """
-    rows = searchable(chunks, aliases).select("id", F.coalesce("time_sensitive", F.lit(False)).alias("timed"), "_head", "_all")
+    rows = searchable(spread(chunks, "id"), aliases).select("id", F.coalesce("time_sensitive", F.lit(False)).alias("timed"), "_head", "_all")
     asked = features.select("qid", F.explode("phrases").alias("pattern"))
     found = [occurrences(rows, "id", hay, asked).withColumn("boost", F.lit(weight)) for hay, weight in (("_all", C.BOOST_PHRASE), ("_head", C.BOOST_TITLE_PHRASE))]
     parts = [f.join(broadcast_if_small(asked), "pattern").groupBy("qid", "id").agg(F.sum("boost").alias("boost")) for f in found]
@@ -276,8 +280,8 @@ def with_temporal_slot(ranked: DataFrame, k: int = C.TOP_K) -> DataFrame:
 
 def hybrid(chunks: DataFrame, questions: DataFrame, k: int = C.TOP_K, candidates: int = C.CANDIDATES, aliases: dict[str, str] | None = None, index: Index | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """The best k chunks of each question: (qid, rank, id, score, bm25, meaning, timed, logistics); ``index`` and ``vectors`` as stored, else built."""
-    lexical = bm25(index or lexical_index(chunks, aliases), question_terms(questions, aliases))
-    meaning = tfidf(vectors or tfidf_index(chunks), questions)
+    lexical = bm25(index or lexical_index(chunks, aliases, keep=True), question_terms(questions, aliases))
+    meaning = tfidf(vectors or tfidf_index(chunks, keep=True), questions)
     rows = topk(fused(chunks, questions, lexical, meaning, aliases), candidates)
     asked = question_features(questions, aliases).select("qid", "logistics")
     timed = chunks.select("id", F.coalesce("time_sensitive", F.lit(False)).alias("timed"))

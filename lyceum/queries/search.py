@@ -90,13 +90,13 @@ def doc_freq(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {LEX} SELECT qid, id, round(bm25, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, id DESC) AS INTEGER) AS rank FROM bm QUALIFY rank <= 5")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scores = search.bm25(search.lexical_index(chunks(spark, sf)), search.question_terms(questions(spark, sf)))
+    scores = search.bm25(search.lexical_index(chunks(spark, sf), keep=True), search.question_terms(questions(spark, sf)))
     return search.topk(scores.withColumnRenamed("bm25", "score"), C.TOP_K)
 
 
 @query(f"WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {VEC} SELECT qid, id, round(meaning, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(meaning, 6) DESC, id DESC) AS INTEGER) AS rank FROM me QUALIFY rank <= 5")
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scores = search.tfidf(search.tfidf_index(chunks(spark, sf)), questions(spark, sf))
+    scores = search.tfidf(search.tfidf_index(chunks(spark, sf), keep=True), questions(spark, sf))
     return search.topk(scores.withColumnRenamed("meaning", "score"), C.TOP_K)
 
 
@@ -115,7 +115,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {LEX}, l AS (SELECT qid, min(bm25) AS lo, max(bm25) AS hi, count(*) AS k FROM bm GROUP BY qid), m AS (SELECT qid, CASE WHEN k < n THEN least(lo, 0) ELSE lo END AS lo, hi FROM l, stats) SELECT qid, id, round(CASE WHEN abs(hi - lo) <= 1e-9 * greatest(abs(hi), abs(lo)) THEN 0 ELSE (bm25 - lo) / (hi - lo) END, 6) AS scaled FROM bm JOIN m USING (qid)")
 def minmax_norm(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
-    scores = search.bm25(search.lexical_index(c), search.question_terms(questions(spark, sf)))
+    scores = search.bm25(search.lexical_index(c, keep=True), search.question_terms(questions(spark, sf)))
     return search.minmax(scores, "bm25", c.agg(F.count("*").alias("n")), "scaled").select("qid", "id", F.round("scaled", 6).alias("scaled"))
 
 
@@ -206,7 +206,7 @@ def relevant(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {LEX}, {RELEVANT}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, id DESC) AS rank FROM bm QUALIFY rank <= 30), b AS (SELECT q.qid, min(rank) AS r FROM (SELECT DISTINCT qid FROM rel) q LEFT JOIN (SELECT r.* FROM r JOIN rel USING (qid, id)) USING (qid) GROUP BY q.qid) SELECT count(*) AS n, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0 / r, 0.0)), 6) AS mrr FROM b")
 def retrieval_quality(spark: SparkSession, sf: str) -> DataFrame:
-    scores = search.bm25(search.lexical_index(chunks(spark, sf)), search.question_terms(questions(spark, sf)))
+    scores = search.bm25(search.lexical_index(chunks(spark, sf), keep=True), search.question_terms(questions(spark, sf)))
     return evaluate.retrieval(search.topk(scores.withColumnRenamed("bm25", "score"), 30), relevant(spark, sf))
 
 
