@@ -74,7 +74,7 @@ def usage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 USAGE = f"""{ASKS}, usage AS (SELECT CASE WHEN user_id % 13 = 0 THEN 'address:' || CAST(user_id AS VARCHAR) ELSE 'u' || CAST(user_id AS VARCHAR) || '@example.org' END AS email, day, CAST(count(*) AS INTEGER) AS questions FROM asks GROUP BY ALL),
-roster AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) || '@example.org' AS email, c_name AS name FROM customer WHERE c_custkey <= 120 AND c_custkey % 13 <> 0)"""
+roster AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) || '@example.org' AS email, c_name AS name FROM customer)"""
 
 
 def roster(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +96,13 @@ def unknown_users(spark: SparkSession, sf: str) -> DataFrame:
     return E.unknown_users(roster(spark, sf), usage(spark, sf))
 
 
+@query(f"WITH {USAGE}, few AS (SELECT 'u' || CAST(s_suppkey AS VARCHAR) || '@example.org' AS email FROM supplier) SELECT email, CAST(sum(questions) AS BIGINT) AS questions FROM usage u WHERE NOT starts_with(email, 'address:') AND NOT EXISTS (SELECT 1 FROM few f WHERE f.email = u.email) GROUP BY email")
+def unlisted_users(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the suppliers as the roster, which leaves many users out; ``unknown_users`` has a roster of all customers, who are all users."""
+    few = table(spark, sf, "supplier").select(F.concat(F.lit("u"), F.col("s_suppkey"), F.lit("@example.org")).alias("email"), F.col("s_name").alias("name"))
+    return E.unknown_users(few, usage(spark, sf))
+
+
 @query("SELECT source AS page, count(*) FILTER (quality = 1) AS up, count(*) FILTER (quality = 0) AS down FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
 def feedback_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")

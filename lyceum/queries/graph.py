@@ -282,7 +282,7 @@ def collaborators(spark: SparkSession, sf: str) -> DataFrame:
     return publications.collaborators(rows)
 
 
-@query("WITH e AS (SELECT DISTINCT l_orderkey AS o, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40) SELECT p_brand AS theme, count(*) AS papers FROM e GROUP BY ALL")
+@query("WITH e AS (SELECT DISTINCT l_orderkey AS o, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT p_brand AS theme, count(*) AS papers FROM e GROUP BY ALL")
 def themes(spark: SparkSession, sf: str) -> DataFrame:
     """Brands as themes of orders."""
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
