@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, ordermin, packing, quality, sharding, simhash, suffixdedup, toxicity
+from . import bpe, chat, media, ordermin, packing, quality, sharding, simhash, suffixdedup, toxicity, trie
 from .common import TEXTS_PER_TASK, checkpointed, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -117,6 +117,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+#: Unsigned CRC-32 of the decimal digits of ``conv_id``, bit by bit.
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda a, d: list_reduce(list_prepend(xor(a, d), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+OP11_SQL = f"""
+WITH o AS (SELECT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT c.conv_id, coalesce(c.role, '') AS role, coalesce(c.text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(c.role, ''), coalesce(c.text, '')) AS i
+      FROM conversations c WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, {CRC32_SQL} % 9 AS h, conv_id - ((conv_id % 5) + 5) % 5 AS base FROM (SELECT DISTINCT conv_id FROM o)),
+t AS (SELECT n.conv_id, 0 AS part, i, role, text FROM n JOIN u ON u.conv_id = n.base AND i <= h UNION ALL SELECT u.conv_id, 1, i, role, text FROM u JOIN n ON n.conv_id = u.conv_id AND i > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, list([role, text]) OVER w AS seq, strlen(text) AS b FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY part, i) UNION ALL SELECT conv_id, 0, [], 0 FROM n),
+nodes AS (SELECT depth, seq, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b FROM p GROUP BY depth, seq),
+kids AS (SELECT depth - 1 AS depth, seq[1:depth - 1] AS seq, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT d.*, coalesce(n_children, 0) AS n_children FROM nodes d LEFT JOIN kids k ON k.depth = d.depth AND k.seq = d.seq),
+sums AS (SELECT a.depth, a.conv_id, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.b) AS saved FROM own a JOIN own d ON d.depth >= a.depth AND d.seq[1:a.depth] = a.seq GROUP BY ALL),
+e AS (SELECT depth, seq, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM p WHERE depth = (SELECT max(depth) FROM p q WHERE q.conv_id = p.conv_id) GROUP BY ALL)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN sums s ON s.depth = own.depth AND s.conv_id = own.conv_id LEFT JOIN nodes up ON up.depth = own.depth - 1 AND up.seq = own.seq[1:own.depth - 1] LEFT JOIN e ON e.depth = own.depth AND e.seq = own.seq
+"""
+
+
 def shard_table_text() -> str:
     """The lookup table spelled out turn by turn, for the SQL check of placement."""
 
@@ -142,9 +165,9 @@ SELECT d.doc_id, d.slot, t.shard FROM d JOIN t ON d.slot = t.slot
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_order_minhash, op3_quality_qda, op4_sharding, op5_toxicity_ordinal, op6_chat_format, op7_suffix_dedup, op8_packing, op9_bpe, op10_simhash)
+    f.__name__: f for f in (op1_telephony_audio, op2_order_minhash, op3_quality_qda, op4_sharding, op5_toxicity_ordinal, op6_chat_format, op7_suffix_dedup, op8_packing, op9_bpe, op10_simhash, op11_conversation_trie)
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_sharding": op4_sql(), "op6_chat_format": OP6_SQL, "op7_suffix_dedup": OP7_SQL}
+    return {"op4_sharding": op4_sql(), "op6_chat_format": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op11_conversation_trie": OP11_SQL}
