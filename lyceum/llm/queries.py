@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, ordermin, packing, quality, sharding, simhash, suffixdedup, toxicity, trie
+from . import bpe, chat, codes, media, ordermin, packing, quality, sharding, simhash, suffixdedup, toxicity, trie
 from .common import TEXTS_PER_TASK, checkpointed, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -140,6 +140,37 @@ FROM own JOIN sums s ON s.depth = own.depth AND s.conv_id = own.conv_id LEFT JOI
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.encode(table(spark, sf_dir, "embeddings"))
+    rows = codes.with_group_error(checkpointed(found), "label", "label_error")
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_sql() -> str:
+    """The rounds one after the other, over all vectors and without weights."""
+    near = "list_sum(list_transform(list_zip(p.part, b.part), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    rounds = "".join(
+        f"""
+a{i} AS MATERIALIZED (SELECT r, p.pos, p.part, b.e, {near} AS d FROM p JOIN b{i} b ON b.pos = p.pos QUALIFY row_number() OVER (PARTITION BY r, p.pos ORDER BY d, b.e) = 1),
+s{i} AS (SELECT pos, e, j, sum(part[j]) AS s, count(*) AS n FROM a{i}, j WHERE j <= len(part) GROUP BY ALL),
+m{i} AS (SELECT pos, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS part FROM s{i} GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.pos, b.e, coalesce(m.part, b.part) AS part FROM b{i} b LEFT JOIN m{i} m ON m.pos = b.pos AND m.e = b.e),"""
+        for i in range(codes.ROUNDS)
+    )
+    n = codes.ROUNDS
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v, row_number() OVER () AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+j AS (SELECT unnest(range(1, 4097)) AS j),
+p AS MATERIALIZED (SELECT r, vec_id, v, pos, v[pos * (len(v) // 8) + 1:(pos + 1) * (len(v) // 8)] AS part FROM k, (SELECT unnest(range(8)) AS pos)),
+b0 AS (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id, v) - 1 AS e, part FROM p QUALIFY e < 16),{rounds}
+z AS (SELECT r, p.pos, b.e, {near} AS d FROM p JOIN b{n} b ON b.pos = p.pos QUALIFY row_number() OVER (PARTITION BY r, p.pos ORDER BY d, b.e) = 1),
+c AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(part[j] AS VARCHAR), ',' ORDER BY pos, e, j)) AS codebooks_sha256 FROM b{n}, j WHERE j <= len(part))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h
+"""
+
+
 def shard_table_text() -> str:
     """The lookup table spelled out turn by turn, for the SQL check of placement."""
 
@@ -165,9 +196,9 @@ SELECT d.doc_id, d.slot, t.shard FROM d JOIN t ON d.slot = t.slot
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_order_minhash, op3_quality_qda, op4_sharding, op5_toxicity_ordinal, op6_chat_format, op7_suffix_dedup, op8_packing, op9_bpe, op10_simhash, op11_conversation_trie)
+    f.__name__: f for f in (op1_telephony_audio, op2_order_minhash, op3_quality_qda, op4_sharding, op5_toxicity_ordinal, op6_chat_format, op7_suffix_dedup, op8_packing, op9_bpe, op10_simhash, op11_conversation_trie, op12_vector_codes)
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_sharding": op4_sql(), "op6_chat_format": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op11_conversation_trie": OP11_SQL}
+    return {"op4_sharding": op4_sql(), "op6_chat_format": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op11_conversation_trie": OP11_SQL, "op12_vector_codes": op12_sql()}
