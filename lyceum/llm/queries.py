@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, media, ordermin, packing, quality, sharding, simhash, suffixdedup, toxicity, trie
+from . import bpe, chat, codes, linededup, media, ordermin, packing, quality, sharding, simhash, suffixdedup, toxicity, trie
 from .common import TEXTS_PER_TASK, checkpointed, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -171,6 +171,23 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, done = linededup.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = checkpointed(left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
+    done()
+    return out
+
+
+OP13_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON f.key = k.key GROUP BY r, doc_id
+"""
+
+
 def shard_table_text() -> str:
     """The lookup table spelled out turn by turn, for the SQL check of placement."""
 
@@ -196,9 +213,9 @@ SELECT d.doc_id, d.slot, t.shard FROM d JOIN t ON d.slot = t.slot
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_order_minhash, op3_quality_qda, op4_sharding, op5_toxicity_ordinal, op6_chat_format, op7_suffix_dedup, op8_packing, op9_bpe, op10_simhash, op11_conversation_trie, op12_vector_codes)
+    f.__name__: f for f in (op1_telephony_audio, op2_order_minhash, op3_quality_qda, op4_sharding, op5_toxicity_ordinal, op6_chat_format, op7_suffix_dedup, op8_packing, op9_bpe, op10_simhash, op11_conversation_trie, op12_vector_codes, op13_line_dedup)
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_sharding": op4_sql(), "op6_chat_format": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op11_conversation_trie": OP11_SQL, "op12_vector_codes": op12_sql()}
+    return {"op4_sharding": op4_sql(), "op6_chat_format": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op11_conversation_trie": OP11_SQL, "op12_vector_codes": op12_sql(), "op13_line_dedup": OP13_SQL}
