@@ -55,15 +55,15 @@ def _edge(source: Column, target: Column, kind: str, weight: Column, count: Colu
     return [source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), F.lit(basis).alias("basis"), weight.cast("double").alias("weight"), (count if count is not None else F.lit(None)).cast("long").alias("mention_count"), (evidence if evidence is not None else none).alias("evidence")]
 
 
-def mentions_edges(mentioned: DataFrame) -> DataFrame:
-    """Topic to concept."""
+def mentions_edges(mentioned: DataFrame, also: tuple[Column, ...] = ()) -> DataFrame:
+    """Topic to concept; ``also``: further columns from (module, section, concept)."""
     topic = ["module", "section", "concept"]
     chunk = mentioned.groupBy(*topic, F.col("id").cast("string").alias("id")).agg(F.sum("n").alias("n"))
     # Only the first eight ids of a topic are gathered; its ranks are cut before the rows move.
     first = chunk.withColumn("_n", F.row_number().over(Window.partitionBy(*topic).orderBy("id"))).filter(F.col("_n") <= EVIDENCE)
     ids = first.groupBy(*topic).agg(F.array_sort(F.collect_list("id")).alias("ids"))
     per = chunk.groupBy(*topic).agg(F.sum("n").alias("n")).join(ids, topic)
-    return per.select(*_edge(T.topic_id(F.col("module"), F.col("section")), T.keyword_id(F.col("concept")), "mentions", mentions_weight(F.col("n")), F.col("n"), evidence=F.col("ids")))
+    return per.select(*also, *_edge(T.topic_id(F.col("module"), F.col("section")), T.keyword_id(F.col("concept")), "mentions", mentions_weight(F.col("n")), F.col("n"), evidence=F.col("ids")))
 
 
 def covers_edges(mentioned: DataFrame) -> DataFrame:

@@ -1,12 +1,23 @@
-"""What has changed since the last build, by content hashes."""
+"""What has changed since the last build, by content hashes, and indices that take in only that.
+
+``advance`` keeps chunks, lengths, postings, mentions and the topics' mentions edges as logs of segments by file (``segments.py``).
+An update reads the changed files' new chunks and, of what is stored, their old rows and the mentions of the topics they touch; it
+writes these files' rows and these topics' edges. Document frequencies are a log of differences, sizes are two numbers in the manifest.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import sinks
+from ..sources import sinks, versions
+from . import chunker, graph, search
+from .concepts import mentions
+from .segments import Log
+from .sizes import checkpointed
 
 
 def file_hash(content: Column) -> Column:
@@ -67,6 +78,116 @@ def encoded(chunks: DataFrame, dims: int = 64) -> DataFrame:
     sums = terms.groupBy("id", "hash", F.pmod(F.xxhash64("t"), F.lit(dims)).alias("d")).agg(F.count("*").alias("n"))
     packed = sums.groupBy("id", "hash").agg(F.map_from_entries(F.collect_list(F.struct("d", F.sqrt(F.col("n").cast("double"))))).alias("m"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0)))
-    from .search import unit
+    return packed.select("id", "hash", search.unit(vector).alias("vector"))
+
+
+def _topic(path: Column) -> Column:
+    """What chooses the bucket of a file: its topic, so that a topic's rows lie in one bucket of every log."""
+    return F.concat_ws("\x1f", *chunker.located(path))
+
+
+def _summed(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+
+
+#: Logs: owner of a row, what chooses its bucket, and how rows add up where they do.
+LOGS = {name: ("file_path", _topic, None) for name in ("chunks", "lengths", "postings", "mentions")} | {"topic_edges": ("topic", lambda t: t, None), "terms": ("term", lambda t: t, _summed)}
+EMPTY = {"postings": "id string, len int, term string, tf long", "lengths": "id string, len int", "terms": "term string, df long"}
+
+
+@dataclass
+class State:
+    """The logs of one published version."""
+
+    store: versions.Store
+    version: versions.Version | None
+
+    def log(self, name: str, anew: bool = False) -> Log:
+        owner, place, joined = LOGS[name]
+        return Log(self.store, name, owner, place, None if anew or self.version is None else self.version.facts["logs"].get(name), joined=joined)
 
-    return packed.select("id", "hash", unit(vector).alias("vector"))
+    def table(self, name: str) -> DataFrame | None:
+        """The living rows of a log; None if it never had any."""
+        return self.log(name).read()
+
+    def index(self) -> search.Index:
+        """The term index that a full build over the same files would give."""
+        facts = self.version.facts
+        n, total = facts["n"], facts["total"]
+        stats = self.store.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total / n if n else 0.0).cast("double").alias("avgdl"))
+        postings, lengths, terms = (self.table(name) if self.table(name) is not None else self.store.spark.createDataFrame([], of) for name, of in EMPTY.items())
+        terms = _summed(terms).select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        return search.Index(postings.select("id", "len", "term", "tf"), lengths.select("id", "len"), stats, terms)
+
+
+def opened(store: versions.Store) -> State:
+    return State(store, versions.current(store))
+
+
+def _lexical(rows: DataFrame, aliases: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """(lengths, postings) of chunks, each row with its file."""
+    words = rows.select("file_path", "id", T.tokens("content", aliases).alias("words"))
+    lengths = words.select("file_path", "id", F.size("words").alias("len"))
+    postings = words.select("file_path", "id", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("file_path", "id", "len", "term").agg(F.count("*").alias("tf"))
+    return lengths, postings
+
+
+def _mentions_of(rows: DataFrame, concepts: DataFrame) -> DataFrame:
+    return mentions(rows, concepts, ["file_path", "module", "section", "id"])
+
+
+def advance(state: State, rows: DataFrame, gone: DataFrame, concepts: DataFrame, tables: dict[str, list[str]] | None = None, aliases: dict[str, str] | None = None) -> State:
+    """The version after ``state`` in which the files ``gone`` (file_path) have the chunks ``rows`` (file_path, module, section, id, title, content, ...), or none.
+
+    Of stored rows it reads those of ``gone`` and, for the edges, of the touched topics' buckets. A change of ``concepts`` makes all mentions anew from the
+    stored chunks, and no posting. Everything is staged first and published in one step, with further ``tables`` that the caller has staged; a failure takes it back.
+    """
+    store, version = state.store, state.version
+    logs = {name: state.log(name) for name in LOGS}
+    before = set() if version is None else {f for log in logs.values() for f in log.folders()}
+    rows, gone = checkpointed(rows), checkpointed(gone.select("file_path").distinct())
+    taxonomy = digest(concepts.select(F.to_json(F.struct("id", "label", F.array_sort("aliases"))).alias("v")), "v").head()[0]
+    same = version is not None and version.facts["taxonomy"] == taxonomy
+    try:
+        old = {name: logs[name].read(owners=gone) for name in ("lengths", "postings", "mentions")}
+        lengths, postings = _lexical(rows, aliases)
+        lengths, postings = checkpointed(lengths), checkpointed(postings)
+        count = lambda df, sign: df.groupBy("term").agg((sign * F.count("*")).alias("df"))
+        change = count(postings, 1) if old["postings"] is None else count(postings, 1).unionByName(count(old["postings"], -1))
+        change = checkpointed(_summed(change))
+        size = lambda df: (0, 0) if df is None else tuple(df.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).head())
+        (n, total), (less, shorter) = size(lengths), size(old["lengths"])
+        topic = F.concat_ws("\x1f", "module", "section")
+        found = checkpointed(_mentions_of(rows, concepts))
+        if same:
+            touched = found.select(topic.alias("topic")) if old["mentions"] is None else found.select(topic.alias("topic")).unionByName(old["mentions"].select(topic.alias("topic")))
+            touched = checkpointed(touched.distinct())
+        for name, new in (("chunks", rows), ("lengths", lengths), ("postings", postings)):
+            logs[name].append(new, gone)
+        logs["terms"].append(change)
+        if same:
+            logs["mentions"].append(found, gone)
+            # The buckets of a topic's edges and of its files' mentions have the same numbers.
+            near = logs["mentions"].read(logs["topic_edges"].buckets_of(touched))
+            again = near.join(touched, topic == F.col("topic"), "left_semi") if near is not None else found
+            logs["topic_edges"].append(_topic_edges(again), touched)
+        else:
+            for name in ("mentions", "topic_edges"):
+                logs[name] = state.log(name, anew=True)
+            chunks = logs["chunks"].read()
+            logs["mentions"].append(_mentions_of(chunks, concepts) if chunks is not None else found)
+            all_of = logs["mentions"].read()
+            logs["topic_edges"].append(_topic_edges(all_of if all_of is not None else found))
+        was = version.facts if version else {"n": 0, "total": 0}
+        facts = {"taxonomy": taxonomy, "n": was["n"] + n - less, "total": was["total"] + total - shorter, "logs": {name: log.state for name, log in logs.items()}}
+        kept = {name: of for name, of in (version.tables if version else {}).items() if name not in LOGS}
+        published = versions.commit(store, {**kept, **{name: log.folders() for name, log in logs.items()}, **(tables or {})}, facts, version)
+    except BaseException:
+        versions.discard(store, [f for log in logs.values() for f in log.folders() if f not in before] + [f for of in (tables or {}).values() for f in of])
+        raise
+    return State(store, published)
+
+
+def _topic_edges(mentioned: DataFrame) -> DataFrame:
+    """The mentions edges of topics, each with its topic's key."""
+    return graph.mentions_edges(mentioned, (F.concat_ws("\x1f", "module", "section").alias("topic"),))

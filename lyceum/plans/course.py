@@ -11,31 +11,38 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..operators import chunker, gate, graph, incremental, search
-from ..operators.sizes import checkpointed, numbered
-from ..sources import files
+from ..operators.sizes import LIMIT, checkpointed, numbered
+from ..sources import files, versions
 
 
 def chunks(spark: SparkSession, root: str, exclude: list[str] | None = None, timed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, warnings) of all readable files below ``root``, in order of their paths."""
     parts = checkpointed(files.parse(files.discover(spark, root, exclude)))
     warnings = parts.filter("warning is not null").select("file_path", "warning")
+    return placed(cut(parts, timed)), warnings
+
+
+def cut(parts: DataFrame, timed: list[str] | None = None) -> DataFrame:
+    """Chunks of files' parts, with their number ``n`` in the file; the time-sensitive ones among the files say what the term is."""
     rows = parts.filter("warning is null").withColumn("key", F.concat_ws("\x1f", "file_path", "part"))
-    cut = chunker.split(rows, "key", "text").join(rows.drop("text"), "key")
+    pieces = chunker.split(rows, "key", "text").join(rows.drop("text"), "key")
     order = Window.partitionBy("file_path").orderBy("part", "ordinal")
-    cut = cut.withColumn("n", F.row_number().over(order) - 1)
+    pieces = pieces.withColumn("n", F.row_number().over(order) - 1)
     module, section = chunker.located(F.col("file_path"))
-    out = cut.select(
+    out = pieces.select(
         F.concat_ws("_", "file_path", "n").alias("chunk_id"), "content", "token_estimate", "file_path", "file_type", module.alias("module"), section.alias("section"), "title", T.headings("content").alias("headings"), "location", "n",
     )
     timed = C.TIME_SENSITIVE_FILES if timed is None else timed
     term = _term(parts.filter(F.col("file_path").isin(*timed)))
-    out = chunker.timed(out, timed, *term)
-    # Order of the notes: each file starts where those before it end, so places have no gaps.
-    sizes = numbered(out.groupBy("file_path").agg(F.count("*").alias("_c")), "file_path", "_f")
+    return chunker.timed(out, timed, *term).withColumn("id", F.col("chunk_id"))
+
+
+def placed(cut_: DataFrame) -> DataFrame:
+    """Chunks with ``pos``, their place in the order of the notes: each file starts where those before it end, so places have no gaps."""
+    sizes = numbered(cut_.groupBy("file_path").agg(F.count("*").alias("_c")), "file_path", "_f")
     before = Window.partitionBy(F.lit(1)).orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("file_path", "_start")
-    out = out.join(starts, "file_path").withColumn("pos", (F.col("_start") + F.col("n")).cast("long")).drop("_start", "n")
-    return out.withColumn("id", F.col("chunk_id")), warnings
+    return cut_.join(starts, "file_path").withColumn("pos", (F.col("_start") + F.col("n")).cast("long")).drop("_start", "n")
 
 
 def _term(pages: DataFrame) -> tuple[str, str | None, str | None, str | None]:
@@ -51,24 +58,93 @@ class Build:
     edges: DataFrame
     path: DataFrame
     warnings: DataFrame
+    version: versions.Version | None = None
+
+
+#: The tables of a build. Those of the graph, which have the taxonomy's size, also stand in plain folders for readers that know no manifest.
+TABLES, PLAIN = ("chunks", "nodes", "edges", "path", "warnings"), ("nodes", "edges", "path")
 
 
 def build(spark: SparkSession, root: str, concepts: DataFrame, stop: list[str] | None = None, settings: DataFrame | None = None, out: str | None = None) -> Build:
-    """Everything a course needs, written below ``out`` if it is given; a graph with problems is refused and what stood there stays."""
+    """Everything a course needs; with ``out`` its tables are published there together (``sources/versions.py``).
+
+    A graph with problems is refused. After a build that is refused or dies, all tables that stood there stand there still, and what
+    an earlier build returned can be read until its version expires (``versions.expire``).
+    """
     rows, warnings = chunks(spark, root)
-    if out:
-        rows.write.mode("overwrite").parquet(f"{out}/chunks")
-        rows = spark.read.parquet(f"{out}/chunks")
-    stops = spark.createDataFrame([(s,) for s in stop or []], "concept string")
-    tables = dict(zip(("nodes", "edges", "path"), (checkpointed(x) for x in graph.build(rows, concepts, stops, settings)), strict=True))
-    problems = graph.validate(tables["nodes"], tables["edges"]).limit(5).collect()
-    if problems:
-        raise ValueError(f"the graph has problems: {[tuple(p) for p in problems]}")
-    if out:
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}")
-            tables[name] = spark.read.parquet(f"{out}/{name}")
-    return Build(rows, tables["nodes"], tables["edges"], tables["path"], warnings)
+    store = versions.Store(spark, out) if out else None
+    base = versions.current(store) if store else None
+    staged: dict[str, str] = {}
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        if store is None:
+            return checkpointed(df)
+        staged[name] = versions.staged(store, df, name)
+        return spark.read.parquet(f"{store.root}/{staged[name]}")
+
+    try:
+        tables = {"chunks": put("chunks", rows)}
+        stops = spark.createDataFrame([(s,) for s in stop or []], "concept string")
+        for name, df in zip(PLAIN, graph.build(tables["chunks"], concepts, stops, settings), strict=True):
+            tables[name] = put(name, df)
+        tables["warnings"] = put("warnings", warnings)
+        problems = graph.validate(tables["nodes"], tables["edges"]).limit(5).collect()
+        if problems:
+            raise ValueError(f"the graph has problems: {[tuple(p) for p in problems]}")
+        version = versions.commit(store, {name: [at] for name, at in staged.items()}, base=base) if store else None
+    except BaseException:
+        if store:
+            versions.discard(store, list(staged.values()))
+        raise
+    for name in PLAIN if store else ():
+        tables[name].write.mode("overwrite").parquet(f"{store.root}/{name}")
+    return Build(**tables, version=version)
+
+
+def opened(spark: SparkSession, out: str, number: int | None = None) -> Build:
+    """The build published at ``out``, all tables of one version (None: the latest)."""
+    store = versions.Store(spark, out)
+    version = versions.current(store) if number is None else versions.opened(store, number)
+    if version is None:
+        raise FileNotFoundError(f"no build is published at {out}")
+    return Build(**{name: versions.table(store, version, name) for name in TABLES}, version=version)
+
+
+def refresh(spark: SparkSession, root: str, out: str, concepts: DataFrame, exclude: list[str] | None = None, timed: list[str] | None = None, aliases: dict[str, str] | None = None, trust_times: bool = True) -> tuple[incremental.State, DataFrame]:
+    """Brings the stored chunks, term index, mentions and topics' edges at ``out`` up to date with the files below ``root``; gives them and what had changed (file, change).
+
+    Files whose length and time of change are the recorded ones are not opened (``trust_times``); of the others only those with
+    another hash are parsed. A time-sensitive file that changes takes all time-sensitive files along, since they state the term.
+    """
+    store = versions.Store(spark, out)
+    state = incremental.opened(store)
+    now = files.listing(spark, root, exclude)
+    recorded = versions.table(store, state.version, "files") if state.version else spark.createDataFrame([], "file string, hash string, length long, modified timestamp")
+    met = now.withColumnRenamed("file_path", "file").join(recorded.withColumnRenamed("length", "_l").withColumnRenamed("modified", "_m"), "file", "left")
+    same = F.col("hash").isNotNull() & (F.col("length") == F.col("_l")) & (F.col("modified") == F.col("_m")) if trust_times else F.lit(False)
+    met = checkpointed(met.withColumn("_same", F.coalesce(same, F.lit(False))))
+    hashed = _contents(spark, root, exclude, met.filter("not _same").select("file")).select(F.col("file_path").alias("file"), incremental.file_hash(F.col("content")).alias("_hash"))
+    fresh = checkpointed(met.drop("hash").filter("not _same").join(hashed, "file").select("file", F.col("_hash").alias("hash"), "length", "modified").unionByName(met.filter("_same").select("file", "hash", "length", "modified")))
+    changed = checkpointed(incremental.changed(recorded, fresh))
+    timed = C.TIME_SENSITIVE_FILES if timed is None else timed
+    read = changed.filter("change <> 'removed'").select("file")
+    if timed and not changed.filter(F.col("file").isin(*timed)).isEmpty():
+        read = read.unionByName(fresh.filter(F.col("file").isin(*timed)).select("file")).distinct()
+    read = checkpointed(read)
+    parts = checkpointed(files.parse(_contents(spark, root, exclude, read)))
+    gone = changed.filter("change <> 'added'").select(F.col("file").alias("file_path")).unionByName(read.select(F.col("file").alias("file_path")))
+    tables = {"files": [versions.staged(store, fresh, "files")]}
+    return incremental.advance(state, cut(parts, timed), gone, concepts, tables, aliases), changed
+
+
+def _contents(spark: SparkSession, root: str, exclude: list[str] | None, wanted: DataFrame) -> DataFrame:
+    """The ``wanted`` files (file) with their contents; up to LIMIT of them are opened by name, more by a scan of all."""
+    names = [r["file"] for r in wanted.limit(LIMIT + 1).collect()]
+    if not names:
+        return files.discover(spark, root, exclude).limit(0)
+    if len(names) <= LIMIT:
+        return files.discover(spark, root, exclude, only=names)
+    return files.discover(spark, root, exclude).join(wanted.withColumnRenamed("file", "file_path"), "file_path", "left_semi")
 
 
 def extract_summary(chunks_: DataFrame, warnings: DataFrame) -> DataFrame:

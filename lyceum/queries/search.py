@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..operators import evaluate, gate, phrases, search
+from ..operators import evaluate, gate, incremental, phrases, search
+from ..operators.sizes import checkpointed, shared_folder
+from ..sources import versions
 from .base import CHUNKS_SQL, QUESTIONS_SQL, chunks, query, questions, table
+from .graph import taxonomy
 
 
 def _list(words: list[str]) -> str:
@@ -88,6 +93,26 @@ def doc_freq(spark: SparkSession, sf: str) -> DataFrame:
     return search.lexical_index(chunks(spark, sf)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"""WITH c AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'edited ' || text || ' edited' ELSE text END AS content FROM documents WHERE doc_id % 10 <> 7 UNION ALL SELECT -1 - item_id, text FROM benchmark),
+t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('content')}) AS term FROM c) GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, round(ln(1 + ((SELECT count(*) FROM c) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t GROUP BY term""")
+def incremental_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The index after an update: all documents are indexed, then a tenth is edited, a tenth removed, and the benchmark's texts come as new files."""
+    c = chunks(spark, sf).select("id", "content", "module", "section", "title", "file_path")
+    known = taxonomy(spark, sf)
+    store = versions.Store(spark, f"{shared_folder(spark)}/course-{uuid.uuid4().hex}")
+    first = incremental.advance(incremental.opened(store), c, c.select("file_path").limit(0), known)
+    edited = c.filter("id % 10 = 3").withColumn("content", F.concat(F.lit("edited "), "content", F.lit(" edited")))
+    b = table(spark, sf, "benchmark")
+    new = b.select((-1 - F.col("item_id")).alias("id"), F.col("text").alias("content"), F.lit("en").alias("module"), F.lit("benchmark").alias("section"), F.lit("").alias("title"), F.concat(F.lit("en/benchmark/"), "item_id", F.lit(".md")).alias("file_path"))
+    state = incremental.advance(first, edited.unionByName(new), c.filter("id % 10 in (3, 7)").select("file_path"), known)
+    index = state.index()
+    total = index.postings.groupBy("term").agg(F.sum("tf").alias("tf"))
+    out = checkpointed(index.terms.join(total, "term").select("term", "df", "tf", F.round("idf", 6).alias("idf")))
+    store.remove("")
+    return out
+
+
 @query(f"WITH {LEX} SELECT qid, id, round(bm25, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, id DESC) AS INTEGER) AS rank FROM bm QUALIFY rank <= 5")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     scores = search.bm25(search.lexical_index(chunks(spark, sf), keep=True), search.question_terms(questions(spark, sf)))

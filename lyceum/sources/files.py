@@ -36,10 +36,24 @@ def relative_to(root: str) -> Column:
     return F.regexp_replace(F.coalesce(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "path"), f"^.*?{base}", "")
 
 
-def discover(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: list[str] | None = None, suffixes: list[str] | None = None) -> DataFrame:
-    """Files below ``root`` with a known suffix (with or without its dot, in any case), outside ignored folders: path, length, content, sorted by path."""
+def discover(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: list[str] | None = None, suffixes: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Files below ``root`` with a known suffix (with or without its dot, in any case), outside ignored folders: path, length, content, sorted by path.
+
+    ``only``: paths below the root; no other file is opened.
+    """
+    kept = _found(spark, root, exclude, ignore, suffixes, only)
+    return kept.select("file_path", "file_type", "length", "content").orderBy("file_path")
+
+
+def listing(spark: SparkSession, root: str, exclude: list[str] | None = None, ignore: list[str] | None = None, suffixes: list[str] | None = None) -> DataFrame:
+    """(file_path, length, modified) of the files that ``discover`` finds; none is opened."""
+    return _found(spark, root, exclude, ignore, suffixes).select("file_path", "length", F.col("modificationTime").alias("modified"))
+
+
+def _found(spark: SparkSession, root: str, exclude: list[str] | None, ignore: list[str] | None, suffixes: list[str] | None, only: list[str] | None = None) -> DataFrame:
     ignored = F.array(*[F.lit(x) for x in (C.IGNORED_FOLDERS if ignore is None else ignore)]).cast("array<string>")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("file_path", relative_to(root))
+    paths = root if only is None else [f"{root.rstrip('/')}/{p}" for p in only]
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).withColumn("file_path", relative_to(root))
     parts = F.split("file_path", "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     suffix = F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1))
@@ -47,7 +61,7 @@ def discover(spark: SparkSession, root: str, exclude: list[str] | None = None, i
     kept = kept.filter(~F.exists(folders, lambda p: F.array_contains(ignored, p) | p.endswith(".egg-info")))
     if exclude:
         kept = kept.filter(~F.col("file_path").isin(*exclude))
-    return kept.select("file_path", suffix.alias("file_type"), "length", "content").orderBy("file_path")
+    return kept.withColumn("file_type", suffix)
 
 
 def parse(files: DataFrame) -> DataFrame:
