@@ -85,14 +85,14 @@ def test_a_log_against_a_dictionary(spark, tmp_path):
     store = versions.Store(spark, str(tmp_path))
     log = segments.Log(store, "t", "owner", lambda c: c, buckets=4)
     want = {}
-    for step in range(10):
+    for step in range(6):
         own = {f"o{(step * 7 + k) % 9}": [(step, k, i) for i in range(1 + k)] for k in range(3)}
         dead = {*own, f"o{step % 9}"} if step % 2 else set(own)
         want = {o: v for o, v in want.items() if o not in dead} | own
         rows = spark.createDataFrame([(o, str(x)) for o, v in own.items() for x in v], "owner string, v string")
         log.append(rows, spark.createDataFrame([(o,) for o in dead], "owner string"))
         assert rows_of(log.read(), "owner", "v") == sorted((o, str(x)) for o, v in want.items() for x in v)
-    assert len(log.state["segments"]) < 10 and any(s["number"] != i + 1 for i, s in enumerate(log.state["segments"]))
+    assert len(log.state["segments"]) < 6 and any(s["number"] != i + 1 for i, s in enumerate(log.state["segments"]))
     some = spark.createDataFrame([("o1",), ("none",)], "owner string")
     assert rows_of(log.read(owners=some), "owner", "v") == sorted(("o1", str(x)) for x in want.get("o1", []))
     again = segments.Log(store, "t", "owner", lambda c: c, state=log.state)
@@ -139,41 +139,27 @@ def test_an_edited_file_costs_its_share(spark, tmp_path):
     assert len(contents(first)[4]) == 14
 
 
-def test_removed_added_and_untouched_files(spark, tmp_path):
-    root, out, tax = notes(tmp_path / "notes", 6), str(tmp_path / "out"), taxonomy(spark)
-    course.refresh(spark, root, out, tax)
+def test_failure_removal_and_another_taxonomy(spark, tmp_path, monkeypatch):
+    root, out, tax = notes(tmp_path / "notes", 4), str(tmp_path / "out"), taxonomy(spark)
+    first, _ = course.refresh(spark, root, out, tax)
+    store = versions.Store(spark, out)
+    before = store.names("data")
     (tmp_path / "notes/w2/s2/a.md").unlink()
     (tmp_path / "notes/w9").mkdir()
     (tmp_path / "notes/w9/b.md").write_text("# Added\n\nA wave.")
-    state, changed = course.refresh(spark, root, out, tax)
-    assert rows_of(changed) == [("w2/s2/a.md", "removed"), ("w9/b.md", "added")]
-    state, changed = course.refresh(spark, root, out, tax, trust_times=False)
-    assert changed.count() == 0
-    whole, _ = course.refresh(spark, root, str(tmp_path / "whole"), tax)
-    assert contents(state) == contents(whole)
-
-
-def test_another_taxonomy_keeps_the_postings(spark, tmp_path):
-    root, out = notes(tmp_path / "notes", 5), str(tmp_path / "out")
-    first, _ = course.refresh(spark, root, out, taxonomy(spark))
-    tax = taxonomy(spark, TAX[:2] + [("body", "Body", "z", ["body"])])
-    state, changed = course.refresh(spark, root, out, tax)
-    assert changed.count() == 0 and state.log("postings").folders()[0] == first.log("postings").folders()[0]
-    whole, _ = course.refresh(spark, root, str(tmp_path / "whole"), tax)
-    assert contents(state) == contents(whole)
-
-
-def test_a_failed_update_takes_back_what_it_staged(spark, tmp_path, monkeypatch):
-    root, out, tax = notes(tmp_path / "notes", 3), str(tmp_path / "out"), taxonomy(spark)
-    course.refresh(spark, root, out, tax)
-    store = versions.Store(spark, out)
-    before = store.names("data")
-    (tmp_path / "notes/w0/s0/a.md").write_text("# X\n\nforce")
     with monkeypatch.context() as m, pytest.raises(RuntimeError):
         m.setattr(incremental.graph, "mentions_edges", lambda *a: (_ for _ in ()).throw(RuntimeError()))
         course.refresh(spark, root, out, tax)
+    # What was staged is taken back, and the next update finds the same changes.
     assert store.names("data") == before and versions.current(store).number == 1
-    assert course.refresh(spark, root, out, tax)[1].count() == 1
+    state, changed = course.refresh(spark, root, out, tax)
+    assert rows_of(changed) == [("w2/s2/a.md", "removed"), ("w9/b.md", "added")]
+    # Another taxonomy makes mentions and edges anew and leaves the postings.
+    other = taxonomy(spark, TAX[:2] + [("body", "Body", "z", ["body"])])
+    state, changed = course.refresh(spark, root, out, other, trust_times=False)
+    assert changed.count() == 0 and state.log("postings").folders()[0] == first.log("postings").folders()[0]
+    whole, _ = course.refresh(spark, root, str(tmp_path / "whole"), other)
+    assert contents(state) == contents(whole)
 
 
 def test_an_empty_folder(spark, tmp_path):
