@@ -43,7 +43,10 @@ PER_TASK, TEXTS_PER_TASK = 50_000, 8_192
 
 
 def in_tasks(df: DataFrame, rows: int, per: int = PER_TASK) -> DataFrame:
-    """``df`` in no more partitions than ``rows`` rows need; fewer partitions stay as they are."""
+    """``df`` in no more partitions than ``rows`` rows need; fewer partitions stay as they are.
+
+    For what a shuffle has dealt out. A coalesce reaches down to the last shuffle, so over a scan it would take the scan's tasks away.
+    """
     return df.coalesce(max(1, -(-rows // per)))
 
 

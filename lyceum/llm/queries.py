@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, codes, linededup, media, ordermin, packing, quality, sharding, simhash, suffixdedup, toxicity, trie
-from .common import TEXTS_PER_TASK, checkpointed, table
+from .common import checkpointed, table
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -27,7 +27,7 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     # One pass over the texts leaves twelve numbers a row; the fit and the scores take these.
-    rows = checkpointed(quality.featured(docs, "text", "_x").select("doc_id", "_x"), docs.count(), TEXTS_PER_TASK)
+    rows = checkpointed(quality.featured(docs, "text", "_x").select("doc_id", "_x"))
     model = quality.fit_measured(rows.withColumnRenamed("doc_id", "_id"), table(spark, sf_dir, "labels").filter(~held_out))
     scored = quality.score_measured(rows, model)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -201,7 +201,7 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     """(id, fingerprint, component_id), one row for each row of ``df``."""
     n = df.count()
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("_text"))
-    fps = checkpointed(fingerprinted(rows, "_text", "fp", k).select("id", "fp"), n, TEXTS_PER_TASK)
+    fps = checkpointed(fingerprinted(rows, "_text", "fp", k).select("id", "fp"))
     own = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("least_id")), n)
     named = checkpointed(rooted(own, limit, n), n)
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -221,5 +221,5 @@ def least_rows(marked: DataFrame, n: int, limit: int = LIMIT) -> DataFrame:
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """``df`` with one row of each component: that of its least id, a null id being the last (of one id the least hash of the text)."""
     n = df.count()
-    marked = checkpointed(fingerprinted(named(df, id_col, text_col), "text", "fp", k).select("id", "h", "fp"), n, TEXTS_PER_TASK)
+    marked = checkpointed(fingerprinted(named(df, id_col, text_col), "text", "fp", k).select("id", "h", "fp"))
     return in_tasks(rows_named(df, least_rows(marked, n, limit), id_col, text_col), n, TEXTS_PER_TASK)

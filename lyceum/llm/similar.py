@@ -94,10 +94,10 @@ def _signatures():
     return compute
 
 
-def signed(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, h, fp, bands, sketch) of the ``n`` rows, from one pass over the texts."""
+def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, fp, bands, sketch) of the rows, from one pass over the texts by the scan's own tasks."""
     fields = [T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
-    return checkpointed(add_columns(named(df, id_col, text_col), ["text"], fields, _signatures).select("id", "h", "fp", "bands", "sketch"), n, TEXTS_PER_TASK)
+    return checkpointed(add_columns(named(df, id_col, text_col), ["text"], fields, _signatures).select("id", "h", "fp", "bands", "sketch"))
 
 
 def paired(band: int, bands: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
@@ -213,7 +213,7 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = df.count()
     if not n:
         return df
-    marked = signed(df, id_col, text_col, n)
+    marked = signed(df, id_col, text_col)
     alive = marked.select("id", "h", "bands", "sketch").dropDuplicates(["id", "h"])
     if fingerprints:
         alive = alive.join(least_rows(marked.select("id", "h", "fp"), n), ["id", "h"], "left_semi")

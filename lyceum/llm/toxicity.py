@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXTS_PER_TASK, add_columns, checkpointed, texts
+from .common import add_columns, checkpointed, texts
 
 BUCKETS = 1 << 18
 GRADES = 4
@@ -71,6 +71,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+#: Rows of the sample in one file of its checkpoint.
+PER_FILE = 512
+
+
 @dataclass
 class Model:
     weight: np.ndarray | None  # by bucket; None without labels of both kinds
@@ -164,8 +168,9 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
         return none
     # At most 2 max_rows ids: the broadcast is bounded.
     docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
-    # A checkpoint of the sample's rows numbers them for good.
-    rows = checkpointed(docs.mapInArrow(counted_features, "_id long, _label int, b array<int>, v array<double>").withColumn("_row", F.monotonically_increasing_id()), sum(min(n, max_rows) for n in counts.values()), TEXTS_PER_TASK)
+    # The scan keeps its tasks; only the sample's features are dealt to a few. A checkpoint numbers them for good.
+    found = docs.mapInArrow(counted_features, "_id long, _label int, b array<int>, v array<double>").repartition(max(1, -(-sum(min(n, max_rows) for n in counts.values()) // PER_FILE)))
+    rows = checkpointed(found.withColumn("_row", F.monotonically_increasing_id()))
     seen = sorted(map(tuple, rows.select("_row", "_id", "_label").collect()), key=lambda r: (r[1], r[0]))
     label = np.array([r[2] for r in seen], dtype=np.int64)
     n1, n0 = int((label == 1).sum()), int((label == 0).sum())
@@ -174,11 +179,17 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str
     best = checkpointed(telling(rows, n0, n1, max_features, min_rows, significant), max_features)
     features_ = sorted(map(tuple, best.collect()))
     entries = rows.select("_row", F.explode(F.arrays_zip("b", "v")).alias("e")).select("_row", "e.b", "e.v").join(F.broadcast(best.select("b")), "b")
-    at_row, place = {r[0]: i for i, r in enumerate(seen)}, {f[0]: i for i, f in enumerate(features_)}
-    x = sorted((at_row[r["_row"]], place[r["b"]], r["v"]) for r in entries.collect())
-    at, col, val = np.array([e[0] for e in x], dtype=np.int64), np.array([e[1] for e in x], dtype=np.int64), np.array([e[2] for e in x], dtype=np.float64)
+    # Entries come as columns, not as rows of Python objects: at most 2 max_rows x max_features of them.
+    table = entries.toArrow()
+    e_row, e_bucket, val = (np.asarray(table.column(c)) for c in ("_row", "b", "v"))
+    row_names, buckets = np.array([r[0] for r in seen], dtype=np.int64), np.array([f[0] for f in features_], dtype=np.int64)
+    by_name = np.argsort(row_names)
+    at = by_name[np.searchsorted(row_names, e_row, sorter=by_name)] if len(e_row) else np.zeros(0, dtype=np.int64)
+    col = np.searchsorted(buckets, e_bucket)
+    order = np.lexsort((val, col, at))
+    at, col, val = at[order], col[order], val[order]
     strong = np.array([odds > math.log(20) and z > 3 for _, odds, z in features_], dtype=bool)
-    hits = np.bincount(at, weights=np.expm1(val) * strong[col], minlength=len(seen)) if len(x) else np.zeros(len(seen))
+    hits = np.bincount(at, weights=np.expm1(val) * strong[col], minlength=len(seen)) if len(val) else np.zeros(len(seen))
     weight = np.where(label == 1, counts[1] / n1, counts[0] / n0)
     w, theta = ordinal_fit(at, col, val, grades(label, hits), weight, len(features_))
     dense = np.zeros(BUCKETS, dtype=np.float32)

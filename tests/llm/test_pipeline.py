@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -93,3 +94,51 @@ def test_awkward_rows(spark, name, stage):
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_empty_table(spark, name, stage):
     assert stage(spark, spark.createDataFrame([], DOCS), SF).collect() == []
+
+
+def test_the_fit_leaves_the_scan_its_tasks(spark, tmp_path, monkeypatch):
+    """Operator 5's sample is joined where the texts are scanned, in as many tasks as the scan has."""
+    from pyspark import TaskContext
+
+    from lyceum.llm import toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs.repartition(9).write.parquet(str(tmp_path / "docs"))
+    real, seen = toxicity.counted_features, str(tmp_path / "seen")
+
+    def noted(batches, real=real, seen=seen):
+        import os
+
+        os.makedirs(seen, exist_ok=True)
+        open(f"{seen}/{TaskContext.get().partitionId()}", "w").close()
+        yield from real(batches)
+
+    monkeypatch.setattr(toxicity, "counted_features", noted)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        model = toxicity.fit(spark.read.parquet(str(tmp_path / "docs")), spark.read.parquet(f"{SF}/labels.parquet"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert model.weight is not None and len(list((tmp_path / "seen").iterdir())) == 9
+
+
+def test_the_fit_goes_downhill():
+    """The ordinal likelihood's optimum has no numerical slope: no weight or threshold moved a little does better."""
+    from lyceum.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    n, k = 60, 4
+    rows, cols = np.repeat(np.arange(n), 2), rng.integers(0, k, 2 * n)
+    vals, grade, weight = rng.random(2 * n), rng.integers(0, 3, n), rng.random(n) + 0.5
+    w, theta = toxicity.ordinal_fit(rows, cols, vals, grade, weight, k, rounds=4000, n_grades=3)
+
+    def loss(w, theta):
+        x = np.zeros((n, k))
+        np.add.at(x, (rows, cols), vals)
+        above = 1 / (1 + np.exp(-((x @ w)[:, None] - theta[None, :])))
+        p = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+        return -(weight / weight.sum() * np.log(p[np.arange(n), grade] - p[np.arange(n), grade + 1])).sum() + toxicity.L2 / 2 * (w * w).sum()
+
+    for e in np.eye(k + 2) * 1e-3:
+        for sign in (1, -1):
+            assert loss(w + sign * e[:k], theta + sign * e[k:]) >= loss(w, theta) - 1e-7
