@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyceum.llm import packing, quality, similar, suffixdedup, toxicity
-from lyceum.llm.common import TEXTS_PER_TASK, in_tasks, remove, shared_folder, table
+from lyceum.llm.common import remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,8 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no feature, so they stay; repeated rows and null ids are judged like others.
     """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    kept = toxicity.score(docs.select(*COLUMNS), model).filter("toxic = 0").select(*COLUMNS)
-    return in_tasks(kept, docs.count(), TEXTS_PER_TASK)
+    return toxicity.score(docs.select(*COLUMNS), model).filter("toxic = 0").select(*COLUMNS)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null counts as the empty text, whose score decides like any other; repeated rows and null ids are judged like others.
     """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    kept = quality.score(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
-    return in_tasks(kept, docs.count(), TEXTS_PER_TASK)
+    return quality.score(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
