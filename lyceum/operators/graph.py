@@ -2,7 +2,7 @@
 
 Input: chunks (id, pos, module, section, title, file_path, content), concepts
 (id, label, category, aliases) and optional chapters (module, pos, name, show). Pairs come from
-equi-joins on what they share, so the cost follows the shared rows, not all pairs; concepts in ``stop``
+prefixes of what they share (``setjoin.py``), so neither all pairs nor all pairs of a common concept are made; concepts in ``stop``
 don't bridge. Topic ids: one topic for each (module, section), titled by its first chunk.
 """
 
@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from . import summaries
+from . import setjoin, summaries
 from .concepts import mentions
-from .sizes import checkpointed
+from .sizes import broadcast_if_small, checkpointed
 
 
 def chapters(chunks: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     """(module, chapter_id, pos, name, visibility) in order of the notes; root is hidden unless it is configured."""
     seen = chunks.groupBy("module").agg(F.min("pos").alias("first"))
-    own = seen if settings is None else seen.join(F.broadcast(settings.select("module", "show", F.col("name").alias("_name"), F.col("pos").alias("_pos"))), "module", "left")
+    own = seen if settings is None else seen.join(broadcast_if_small(settings.select("module", "show", F.col("name").alias("_name"), F.col("pos").alias("_pos"))), "module", "left")
     show = F.lit(None).cast("string") if settings is None else F.col("show")
     name = F.lit(None).cast("string") if settings is None else F.col("_name")
     order = [F.col("_pos").asc_nulls_last()] if settings is not None else []
@@ -100,25 +100,26 @@ def jaccard() -> Column:
 
 def related_concepts(mentioned: DataFrame, least: float = C.CONCEPT_SIMILARITY) -> DataFrame:
     """(l, r, score, n_shared): concepts that share topics, and chunks as well."""
-    by_topic = shared(mentioned.select(F.concat_ws("\x1f", "module", "section").alias("topic"), "concept"), "topic", "concept")
-    by_chunk = shared(mentioned, "id", "concept").select("l", "r")
-    return by_topic.join(by_chunk, ["l", "r"], "left_semi").withColumn("score", ochiai()).filter(F.col("score") >= least).select("l", "r", "score", "n_shared")
+    by_topic = mentioned.select(F.concat_ws("\x1f", "module", "section").alias("topic"), "concept")
+    pairs = setjoin.similar(by_topic, "topic", "concept", setjoin.Threshold(1, "ochiai", least))
+    # Only pairs that are similar look for a chunk that has both.
+    return setjoin.meeting(pairs, mentioned, "id", "concept").withColumn("score", ochiai()).select("l", "r", "score", "n_shared")
 
 
 def topic_bridges(mentioned: DataFrame, stop: DataFrame, shown: DataFrame | None = None, least: float = C.TOPIC_SIMILARITY, least_shared: int = C.TOPIC_SHARED) -> DataFrame:
     """(l, r, score, n_shared): pages of different chapters that share concepts outside ``stop``."""
-    rows = mentioned.join(F.broadcast(stop), "concept", "left_anti").select("module", "section", "concept")
+    rows = mentioned.join(broadcast_if_small(stop), "concept", "left_anti").select("module", "section", "concept")
     if shown is not None:
         rows = rows.join(shown, ["module", "section"], "left_semi")
     own = rows.select(F.concat_ws("\x1f", "module", "section").alias("topic"), "concept")
-    pairs = shared(own, "concept", "topic").withColumn("score", jaccard()).filter((F.col("n_shared") >= least_shared) & (F.col("score") >= least))
+    pairs = setjoin.similar(own, "concept", "topic", setjoin.Threshold(least_shared, "jaccard", least)).withColumn("score", jaccard())
     module = lambda c: F.split_part(F.col(c), F.lit("\x1f"), F.lit(1))
     return pairs.filter(module("l") != module("r")).select("l", "r", "score", "n_shared")
 
 
 def chapter_bridges(mentioned: DataFrame, stop: DataFrame, least_shared: int = C.CHAPTER_SHARED) -> DataFrame:
-    rows = mentioned.join(F.broadcast(stop), "concept", "left_anti")
-    return shared(rows, "concept", "module").withColumn("score", jaccard()).filter(F.col("n_shared") >= least_shared).select("l", "r", "score", "n_shared")
+    rows = mentioned.join(broadcast_if_small(stop), "concept", "left_anti")
+    return setjoin.similar(rows, "concept", "module", setjoin.Threshold(least_shared)).withColumn("score", jaccard()).select("l", "r", "score", "n_shared")
 
 
 def capped_pairs(pairs: DataFrame, cap: int = C.DEGREE_CAP, limit: int = 200_000) -> DataFrame:
@@ -181,7 +182,7 @@ def distinct_edges(edges: DataFrame, order: str = "emitted") -> DataFrame:
 def main_chapter(mentioned: DataFrame, chapters_: DataFrame) -> DataFrame:
     """(concept, module, pos, n): the shown chapter that mentions a concept most, the earlier one on a tie."""
     shown = chapters_.filter("visibility = 'primary'").select("module", "pos", "chapter_id")
-    per = mentioned.groupBy("concept", "module").agg(F.sum("n").alias("n")).join(F.broadcast(shown), "module")
+    per = mentioned.groupBy("concept", "module").agg(F.sum("n").alias("n")).join(broadcast_if_small(shown), "module")
     best = Window.partitionBy("concept").orderBy(F.desc("n"), "pos")
     return per.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
@@ -189,10 +190,10 @@ def main_chapter(mentioned: DataFrame, chapters_: DataFrame) -> DataFrame:
 def learning_path(mentioned: DataFrame, chapters_: DataFrame, stop: DataFrame, k: int = C.PATH_CONCEPTS) -> DataFrame:
     """(step, node, chapter, also_in): each shown chapter, then its k main concepts; the up to four other chapters in order."""
     shown = chapters_.filter("visibility = 'primary'").select("module", "pos", "chapter_id")
-    own = main_chapter(mentioned, chapters_).join(F.broadcast(stop), "concept", "left_anti")
+    own = main_chapter(mentioned, chapters_).join(broadcast_if_small(stop), "concept", "left_anti")
     best = Window.partitionBy("module").orderBy(F.desc("n"), "concept")
     picked = own.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    per = mentioned.select("concept", F.col("module").alias("other")).distinct().join(F.broadcast(shown.select(F.col("module").alias("other"), F.col("pos").alias("other_pos"), F.col("chapter_id").alias("other_id"))), "other")
+    per = mentioned.select("concept", F.col("module").alias("other")).distinct().join(broadcast_if_small(shown.select(F.col("module").alias("other"), F.col("pos").alias("other_pos"), F.col("chapter_id").alias("other_id"))), "other")
     others = picked.join(per, "concept").filter("other <> module").groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("other_pos", "other_id"))).alias("_o"))
     also = F.coalesce(F.slice(F.transform("_o", lambda o: o["other_id"]), 1, 4), F.array().cast("array<string>"))
     concepts_ = picked.join(others, "concept", "left").select("pos", "rank", T.keyword_id(F.col("concept")).alias("node"), F.col("chapter_id").alias("chapter"), also.alias("also_in"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..sources import sinks
 from ..streaming import events as S
+from ..streaming import quota
 from .base import query, table
 
 #: The gate's outcome that stands for each kind of event.
@@ -137,8 +138,8 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, CAST(ts AS DATE) AS day, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS INTEGER) AS nth, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 3 AS accepted FROM events")
 def stream_daily_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily quota with state, over the event stream."""
-    return S.drained(S.capped(S.source(spark, f"{sf}/events.parquet"), 3), "append")
+    """The daily quota with state and timers, over the event stream."""
+    return S.drained(quota.capped(S.source(spark, f"{sf}/events.parquet"), 3), "append", quota.PROVIDER)
 
 
 @query(f"WITH {ASKS}, d AS (SELECT DISTINCT user_id, day FROM asks), g AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS run FROM d) SELECT user_id, count(*) AS longest FROM g GROUP BY user_id, run QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC) = 1")

@@ -87,9 +87,17 @@ def session_memory(stream: DataFrame, k: int = C.MEMORY_TURNS) -> DataFrame:
     return stream.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, roles array<string>, texts array<string>", MEMORY_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a query over all that is there now writes: in complete mode the last batch, else all batches."""
+def drained(stream: DataFrame, mode: str, provider: str | None = None) -> DataFrame:
+    """What a query over all that is there now writes: in complete mode the last batch, else all batches. ``provider``: the state store that the query needs."""
     spark = stream.sparkSession
+    if provider:
+        name = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(name)
+        spark.conf.set(name, provider)
+        try:
+            return drained(stream, mode)
+        finally:
+            spark.conf.set(name, before)
     folder = shared_folder(spark)
 
     def put(batch: DataFrame, n: int) -> None:
