@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..operators import evaluate, gate, incremental, phrases, search
+from ..operators import evaluate, gate, impact, incremental, phrases, search
 from ..operators.sizes import checkpointed, shared_folder
 from ..sources import versions
 from .base import CHUNKS_SQL, QUESTIONS_SQL, chunks, query, questions, table
@@ -119,6 +119,13 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.topk(scores.withColumnRenamed("bm25", "score"), C.TOP_K)
 
 
+@query(f"WITH {LEX} SELECT qid, id, round(bm25, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, id DESC) AS INTEGER) AS rank FROM bm QUALIFY rank <= 5")
+def bm25_pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from blocks of postings by impact, most of which aren't scored."""
+    blocks = impact.blocked(search.lexical_index(chunks(spark, sf), keep=True))
+    return impact.best(blocks, search.question_terms(questions(spark, sf)), C.TOP_K)
+
+
 @query(f"WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {VEC} SELECT qid, id, round(meaning, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(meaning, 6) DESC, id DESC) AS INTEGER) AS rank FROM me QUALIFY rank <= 5")
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
     scores = search.tfidf(search.tfidf_index(chunks(spark, sf), keep=True), questions(spark, sf))
