@@ -20,7 +20,7 @@ from pyspark.sql import types as T_
 
 from .. import constants as C
 from ..functions import text as T
-from .phrases import occurrences
+from .positions import Places, containing, occurrences, placed
 from .sizes import LIMIT, broadcast_if_small, checkpointed, numbered, spread, stored
 
 
@@ -232,19 +232,26 @@ def searchable(chunks: DataFrame, aliases: dict[str, str] | None = None) -> Data
     return chunks.withColumn("_head", head).withColumn("_all", T.normalize(F.concat_ws(" ", T.text("title"), T.text("file_path"), T.text("content")), aliases))
 
 
-def boosts(chunks: DataFrame, features: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def text_places(chunks: DataFrame, aliases: dict[str, str] | None = None, keep: bool = True) -> tuple[Places, Places]:
+    """Where the pieces of whole chunks and of their heads (title and path) stand, for phrases; ``keep`` as in ``placed``."""
+    rows = searchable(chunks, aliases)
+    return placed(rows, "id", "_all", keep), placed(rows, "id", "_head", keep)
+
+
+def boosts(chunks: DataFrame, features: DataFrame, aliases: dict[str, str] | None = None, places: tuple[Places, Places] | None = None) -> DataFrame:
     """(qid, id, boost) of chunks that a question's boosts touch.
 
-    The questions' phrases are looked up in all texts in one pass; what is found meets the questions by equality.
+    Phrases are found from ``places`` (``text_places``; else made here), so a batch of questions reads no text again.
     """
-    rows = searchable(spread(chunks, "id"), aliases).select("id", F.coalesce("time_sensitive", F.lit(False)).alias("timed"), "_head", "_all")
-    asked = features.select("qid", F.explode("phrases").alias("pattern"))
-    found = [occurrences(rows, "id", hay, asked).withColumn("boost", F.lit(weight)) for hay, weight in (("_all", C.BOOST_PHRASE), ("_head", C.BOOST_TITLE_PHRASE))]
+    whole, head = places or text_places(chunks, aliases)
+    asked = checkpointed(features.select("qid", F.explode("phrases").alias("pattern")))
+    found = [occurrences(index, asked).withColumn("boost", F.lit(weight)) for index, weight in ((whole, C.BOOST_PHRASE), (head, C.BOOST_TITLE_PHRASE))]
     parts = [f.join(broadcast_if_small(asked), "pattern").groupBy("qid", "id").agg(F.sum("boost").alias("boost")) for f in found]
     # What holds for every question of a kind and every chunk of a kind is an equality of two flags.
-    kinds = [("logistics", F.col("timed"), C.BOOST_TEMPORAL), ("compares", F.contains("_all", F.lit("comparison")), C.BOOST_COMPARISON)]
-    for flag, has, weight in kinds:
-        own = rows.filter(has).select("id", F.lit(True).alias("_kind"))
+    timed = chunks.filter(F.coalesce("time_sensitive", F.lit(False))).select("id")
+    kinds = [("logistics", timed, C.BOOST_TEMPORAL), ("compares", containing(whole, "comparison"), C.BOOST_COMPARISON)]
+    for flag, rows, weight in kinds:
+        own = rows.select("id", F.lit(True).alias("_kind"))
         parts.append(own.join(broadcast_if_small(features.filter(flag).select("qid", F.lit(True).alias("_kind"))), "_kind").select("qid", "id", F.lit(weight).alias("boost")))
     out = parts[0]
     for part in parts[1:]:
@@ -252,14 +259,14 @@ def boosts(chunks: DataFrame, features: DataFrame, aliases: dict[str, str] | Non
     return out.groupBy("qid", "id").agg(F.sum("boost").alias("boost"))
 
 
-def fused(chunks: DataFrame, questions: DataFrame, lexical: DataFrame, meaning: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def fused(chunks: DataFrame, questions: DataFrame, lexical: DataFrame, meaning: DataFrame, aliases: dict[str, str] | None = None, places: tuple[Places, Places] | None = None) -> DataFrame:
     """(qid, id, bm25, meaning, score) of every chunk whose score can differ from that of an untouched one."""
     n = chunks.agg(F.count("*").alias("n"))
     features = question_features(questions, aliases)
     none = F.lit(0.0)
     a = minmax(lexical, "bm25", n, "part").select("qid", "id", "bm25", none.alias("meaning"), (C.FUSION_LEXICAL * F.col("part")).alias("score"))
     b = minmax(meaning, "meaning", n, "part").select("qid", "id", none.alias("bm25"), "meaning", (C.FUSION_MEANING * F.col("part")).alias("score"))
-    c = boosts(chunks, features, aliases).select("qid", "id", none.alias("bm25"), none.alias("meaning"), F.col("boost").alias("score"))
+    c = boosts(chunks, features, aliases, places).select("qid", "id", none.alias("bm25"), none.alias("meaning"), F.col("boost").alias("score"))
     # The three parts add up, so a sum takes the place of outer joins.
     rows = a.unionByName(b).unionByName(c).groupBy("qid", "id").agg(F.sum("bm25").alias("bm25"), F.sum("meaning").alias("meaning"), F.sum("score").alias("score"))
     figures = chunks.filter("module = 'figures'").select("id", F.lit(C.FIGURE_FACTOR).alias("_factor"))
@@ -278,11 +285,11 @@ def with_temporal_slot(ranked: DataFrame, k: int = C.TOP_K) -> DataFrame:
     return kept.withColumn("rank", F.least("rank", F.lit(k))).drop("_first", "_swap")
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, k: int = C.TOP_K, candidates: int = C.CANDIDATES, aliases: dict[str, str] | None = None, index: Index | None = None, vectors: VectorIndex | None = None) -> DataFrame:
-    """The best k chunks of each question: (qid, rank, id, score, bm25, meaning, timed, logistics); ``index`` and ``vectors`` as stored, else built."""
+def hybrid(chunks: DataFrame, questions: DataFrame, k: int = C.TOP_K, candidates: int = C.CANDIDATES, aliases: dict[str, str] | None = None, index: Index | None = None, vectors: VectorIndex | None = None, places: tuple[Places, Places] | None = None) -> DataFrame:
+    """The best k chunks of each question: (qid, rank, id, score, bm25, meaning, timed, logistics); ``index``, ``vectors`` and ``places`` as stored, else built."""
     lexical = bm25(index or lexical_index(chunks, aliases, keep=True), question_terms(questions, aliases))
     meaning = tfidf(vectors or tfidf_index(chunks, keep=True), questions)
-    rows = topk(fused(chunks, questions, lexical, meaning, aliases), candidates)
+    rows = topk(fused(chunks, questions, lexical, meaning, aliases, places), candidates)
     asked = question_features(questions, aliases).select("qid", "logistics")
     timed = chunks.select("id", F.coalesce("time_sensitive", F.lit(False)).alias("timed"))
     rows = rows.join(broadcast_if_small(asked), "qid").join(timed, "id")
