@@ -17,6 +17,12 @@ from .sizes import broadcast_if_small, checkpointed, spread, stored
 
 #: Places of a block. A posting holds places of one block as offsets from its beginning, so no posting is longer, whatever the text.
 BLOCK = 1024
+#: Rows of asked words or pieces, each of two short strings and some numbers, that may be broadcast.
+ASKED = 200_000
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    return broadcast_if_small(df, ASKED)
 
 
 @dataclass
@@ -59,7 +65,7 @@ def containing(places: Places, word: str) -> DataFrame:
     if not word or " " in word:
         raise ValueError("one word without blanks is looked up")
     pieces = places.vocabulary.filter(F.contains("piece", F.lit(word))).select("piece")
-    return places.postings.join(broadcast_if_small(pieces), "piece", "left_semi").select("id").distinct()
+    return places.postings.join(_hinted(pieces), "piece", "left_semi").select("id").distinct()
 
 
 def _cut(lengths: list[int], role: str, cut) -> Column:
@@ -73,21 +79,21 @@ def _known(vocabulary: DataFrame, words: DataFrame, first: list[int], last: list
     same = F.array(F.struct(F.lit("inner").alias("role"), F.col("piece").alias("word")))
     roles = F.concat(same, _cut(first, "first", F.right), _cut(last, "last", F.left))
     asked = words.select("role", "word").distinct()
-    return vocabulary.select("piece", "n", F.explode(roles).alias("r")).select("r.role", "r.word", "piece", "n").join(broadcast_if_small(asked), ["role", "word"])
+    return vocabulary.select("piece", "n", F.explode(roles).alias("r")).select("r.role", "r.word", "piece", "n").join(_hinted(asked), ["role", "word"])
 
 
 def _confirmed(found: DataFrame, words: DataFrame, known: DataFrame, places: Places) -> DataFrame:
     """The rows of ``found`` (pattern, id, start) at which all of ``words`` stand; patterns without such words stay."""
     count = words.groupBy("pattern").agg(F.count("*").alias("k"))
-    wanted = found.join(broadcast_if_small(words.select("pattern", "nth", "role", "word")), "pattern").withColumn("pos", F.col("start") + F.col("nth"))
-    pieces = known.join(broadcast_if_small(words.select("role", "word").distinct()), ["role", "word"], "left_semi").select("piece").distinct()
+    wanted = found.join(_hinted(words.select("pattern", "nth", "role", "word")), "pattern").withColumn("pos", F.col("start") + F.col("nth"))
+    pieces = known.join(_hinted(words.select("role", "word").distinct()), ["role", "word"], "left_semi").select("piece").distinct()
     where = wanted.select("id", F.floor(F.col("pos") / BLOCK).cast("int").alias("block")).distinct()
-    near = places.postings.join(broadcast_if_small(pieces), "piece", "left_semi").join(broadcast_if_small(where), ["id", "block"], "left_semi")
+    near = places.postings.join(_hinted(pieces), "piece", "left_semi").join(_hinted(where), ["id", "block"], "left_semi")
     near = near.select("id", "piece", "block", F.explode("at").alias("_at")).select("id", "piece", (F.col("block") * BLOCK + F.col("_at")).alias("pos"))
     fits = F.when(F.col("role") == "first", F.endswith("piece", "word")).when(F.col("role") == "last", F.startswith("piece", "word")).otherwise(F.col("piece") == F.col("word"))
     right = wanted.join(near, ["id", "pos"]).filter(fits).groupBy("pattern", "id", "start").agg(F.count("*").alias("n"))
-    right = right.join(broadcast_if_small(count), "pattern").filter("n = k").select("pattern", "id", "start")
-    return found.join(broadcast_if_small(count), "pattern", "left_anti").unionByName(right)
+    right = right.join(_hinted(count), "pattern").filter("n = k").select("pattern", "id", "start")
+    return found.join(_hinted(count), "pattern", "left_anti").unionByName(right)
 
 
 def occurrences(places: Places, patterns: DataFrame) -> DataFrame:
@@ -96,7 +102,9 @@ def occurrences(places: Places, patterns: DataFrame) -> DataFrame:
     Null and empty patterns occur nowhere; one without a blank is an error (see ``containing``). Three joins find patterns of any length.
     """
     pieces = F.split("pattern", " ")
-    words = patterns.filter("pattern <> ''").select("pattern").distinct().select("pattern", F.size(pieces).alias("k"), F.posexplode(pieces).alias("nth", "word"))
+    # Places are merged under numbers; the patterns' texts come back with the results.
+    asked = checkpointed(patterns.filter("pattern <> ''").select("pattern").distinct().withColumn("_n", F.monotonically_increasing_id()))
+    words = asked.select(F.col("_n").alias("pattern"), F.size(pieces).alias("k"), F.posexplode(pieces).alias("nth", "word"))
     role = F.when(F.col("nth") == 0, "first").when(F.col("nth") == F.col("k") - 1, "last").otherwise("inner")
     words = checkpointed(words.withColumn("role", role))
     # Distinct lengths are few: n of them take patterns of n * n / 2 characters together.
@@ -107,12 +115,12 @@ def occurrences(places: Places, patterns: DataFrame) -> DataFrame:
     known = checkpointed(_known(places.vocabulary, words, facts["first"], facts["last"]))
     often = known.groupBy("role", "word").agg(F.sum("n").alias("n"))
     of_pattern = Window.partitionBy("pattern")
-    ranked = words.join(broadcast_if_small(often), ["role", "word"], "left").withColumn("turn", F.row_number().over(of_pattern.orderBy(F.asc_nulls_first("n"), "nth")))
+    ranked = words.join(_hinted(often), ["role", "word"], "left").withColumn("turn", F.row_number().over(of_pattern.orderBy(F.asc_nulls_first("n"), "nth")))
     ranked = checkpointed(ranked.withColumn("all", F.min(F.col("n").isNotNull()).over(of_pattern)).filter("all").select("pattern", "nth", "role", "word", "turn"))
     rarest = ranked.filter("turn = 1").join(known, ["role", "word"]).select("piece", "pattern", "nth")
-    found = places.postings.join(broadcast_if_small(rarest), "piece").select("pattern", "id", "nth", "block", F.explode("at").alias("_at"))
+    found = places.postings.join(_hinted(rarest), "piece").select("pattern", "id", "nth", "block", F.explode("at").alias("_at"))
     found = checkpointed(found.select("pattern", "id", (F.col("block") * BLOCK + F.col("_at") - F.col("nth")).alias("start")).filter("start >= 0"))
     found = checkpointed(_confirmed(found, ranked.filter("turn = 2"), known, places))
     if not ranked.filter("turn > 2").isEmpty():
         found = _confirmed(found, ranked.filter("turn > 2"), known, places)
-    return found.select("id", "pattern").distinct()
+    return found.select("id", F.col("pattern").alias("_n")).distinct().join(_hinted(asked), "_n").select("id", "pattern")

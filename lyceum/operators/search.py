@@ -20,7 +20,8 @@ from pyspark.sql import types as T_
 
 from .. import constants as C
 from ..functions import text as T
-from .positions import Places, containing, occurrences, placed
+from . import phrases, positions
+from .positions import Places
 from .sizes import LIMIT, broadcast_if_small, checkpointed, numbered, spread, stored
 
 
@@ -235,21 +236,29 @@ def searchable(chunks: DataFrame, aliases: dict[str, str] | None = None) -> Data
 def text_places(chunks: DataFrame, aliases: dict[str, str] | None = None, keep: bool = True) -> tuple[Places, Places]:
     """Where the pieces of whole chunks and of their heads (title and path) stand, for phrases; ``keep`` as in ``placed``."""
     rows = searchable(chunks, aliases)
-    return placed(rows, "id", "_all", keep), placed(rows, "id", "_head", keep)
+    return positions.placed(rows, "id", "_all", keep), positions.placed(rows, "id", "_head", keep)
 
 
 def boosts(chunks: DataFrame, features: DataFrame, aliases: dict[str, str] | None = None, places: tuple[Places, Places] | None = None) -> DataFrame:
     """(qid, id, boost) of chunks that a question's boosts touch.
 
-    Phrases are found from ``places`` (``text_places``; else made here), so a batch of questions reads no text again.
+    With ``places`` (``text_places``) phrases are found from an index and no text is read again; without, in one pass over all texts,
+    which costs less than an index for one batch.
     """
-    whole, head = places or text_places(chunks, aliases)
-    asked = checkpointed(features.select("qid", F.explode("phrases").alias("pattern")))
-    found = [occurrences(index, asked).withColumn("boost", F.lit(weight)) for index, weight in ((whole, C.BOOST_PHRASE), (head, C.BOOST_TITLE_PHRASE))]
+    asked = features.select("qid", F.explode("phrases").alias("pattern"))
+    if places is not None:
+        asked = checkpointed(asked)
+        (whole, head), look = places, positions.occurrences
+        compared = positions.containing(whole, "comparison")
+    else:
+        rows = searchable(spread(chunks, "id"), aliases)
+        whole, head, look = "_all", "_head", lambda column, asked: phrases.occurrences(rows, "id", column, asked)
+        compared = rows.filter(F.contains("_all", F.lit("comparison"))).select("id")
+    found = [look(place, asked).withColumn("boost", F.lit(weight)) for place, weight in ((whole, C.BOOST_PHRASE), (head, C.BOOST_TITLE_PHRASE))]
     parts = [f.join(broadcast_if_small(asked), "pattern").groupBy("qid", "id").agg(F.sum("boost").alias("boost")) for f in found]
     # What holds for every question of a kind and every chunk of a kind is an equality of two flags.
     timed = chunks.filter(F.coalesce("time_sensitive", F.lit(False))).select("id")
-    kinds = [("logistics", timed, C.BOOST_TEMPORAL), ("compares", containing(whole, "comparison"), C.BOOST_COMPARISON)]
+    kinds = [("logistics", timed, C.BOOST_TEMPORAL), ("compares", compared, C.BOOST_COMPARISON)]
     for flag, rows, weight in kinds:
         own = rows.select("id", F.lit(True).alias("_kind"))
         parts.append(own.join(broadcast_if_small(features.filter(flag).select("qid", F.lit(True).alias("_kind"))), "_kind").select("qid", "id", F.lit(weight).alias("boost")))
