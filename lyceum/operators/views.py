@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import urls
+from .sizes import broadcast_if_small, checkpointed
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -44,6 +45,49 @@ def links(nodes: DataFrame, edges: DataFrame, center: str, others: int = C.OTHER
     return rows.withColumn("_r", F.row_number().over(order)).filter(own | (F.col("_r") <= others)).select("source", "target", "type", "weight")
 
 
+def neighborhoods(nodes: DataFrame, edges: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """(node, id, type, weight, rank): what ``neighbours`` gives, of every node at once. Node ids are unique; ends that aren't nodes have no type and don't show.
+
+    A node's edges are ranked where they are before they meet, so a node with very many of them sends only its best of each task.
+    """
+    limits = limits or C.NEIGHBOUR_LIMITS
+    weight = F.coalesce("weight", F.lit(0.5)) + 0.01 * F.sqrt(F.coalesce("mention_count", F.lit(0)).cast("double"))
+    best = adjacency(edges).filter("node <> other").groupBy("node", F.col("other").alias("id")).agg(F.round(F.max(weight), 9).alias("weight"))
+    order = Window.partitionBy("node", "type").orderBy(F.desc("weight"), F.desc("id"))
+    rows = best.join(nodes.select("id", "type"), "id").filter(F.col("type").isin(*limits)).withColumn("rank", F.row_number().over(order))
+    # The greatest limit alone bounds what a task sends on; each type's own follows.
+    rows = rows.filter(F.col("rank") <= max(limits.values()))
+    within = F.lit(False)
+    for kind, n in limits.items():
+        within = within | ((F.col("type") == kind) & (F.col("rank") <= n))
+    return rows.filter(within).select("node", "id", "type", "weight", "rank")
+
+
+def all_links(nodes: DataFrame, edges: DataFrame, others: int = C.OTHER_LINKS) -> DataFrame:
+    """(node, source, target, type, weight): what ``links`` gives, of every node at once.
+
+    A link shows in a neighbourhood that holds both of its ends. Each starts from its end that fewer neighbourhoods hold, and these are asked for the
+    other end; a link between two nodes that many hold costs as much as the rarer of them, and each of these nodes has few rarer ones than itself.
+    """
+    edges = checkpointed(edges.select("source", "target", "type", "weight", "mention_count"))
+    kinds = nodes.select("id", "type")
+    held = neighborhoods(nodes, edges).select("node", "id").unionByName(kinds.select(F.col("id").alias("node"), "id"))
+    held = checkpointed(held)
+    pair = Window.partitionBy(F.least("source", "target"), F.greatest("source", "target")).orderBy(F.desc(F.coalesce("weight", F.lit(0.5))), "type", "source")
+    rows = edges.filter("type <> 'sequence' and source <> target").withColumn("_n", F.row_number().over(pair)).filter("_n = 1").select("source", "target", "type", "weight")
+    often = held.groupBy("id").agg(F.count("*").alias("n")).join(kinds, "id")
+    for end, letter in (("source", "a"), ("target", "b")):
+        rows = rows.join(often.select(F.col("id").alias(end), F.col("n").alias(f"_n{letter}"), F.col("type").alias(f"_{letter}")), end)
+    first = F.col("_na") <= F.col("_nb")
+    rows = rows.withColumn("_from", F.when(first, F.col("source")).otherwise(F.col("target"))).withColumn("_to", F.when(first, F.col("target")).otherwise(F.col("source")))
+    rows = rows.join(held.select("node", F.col("id").alias("_from")), "_from").join(held.select("node", F.col("id").alias("_to")), ["node", "_to"])
+    own = (F.col("source") == F.col("node")) | (F.col("target") == F.col("node"))
+    chapter = (F.col("_a") == "chapter") | (F.col("_b") == "chapter")
+    order = Window.partitionBy("node").orderBy(F.desc(chapter), F.desc(F.coalesce("weight", F.lit(0.5))), "source", "target")
+    of_others = rows.filter(~own).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= others).drop("_r")
+    return rows.filter(own).unionByName(of_others).select("node", "source", "target", "type", "weight")
+
+
 def page_lookup(addresses: DataFrame, pages: DataFrame, base: str = "") -> DataFrame:
     """(address, id): the page whose slug is the longest suffix of each address below ``base``; the home page's slug is empty.
 
@@ -69,7 +113,7 @@ def search_box(nodes: DataFrame, text: str, limit: int = 9) -> DataFrame:
 def shown(nodes: DataFrame) -> DataFrame:
     """Nodes that aren't hidden; pages of hidden chapters are."""
     hidden = nodes.filter("type = 'chapter' and visibility = 'hidden'").select(F.col("id").alias("chapter_id"))
-    return nodes.filter("coalesce(visibility, '') <> 'hidden'").join(F.broadcast(hidden), "chapter_id", "left_anti").select(*nodes.columns)
+    return nodes.filter("coalesce(visibility, '') <> 'hidden'").join(broadcast_if_small(hidden), "chapter_id", "left_anti").select(*nodes.columns)
 
 
 NODE_FIELDS = ["id", "type", "label", "visibility", "category", "mention_count", "chapter_id"]

@@ -243,6 +243,31 @@ def neighborhood_links(spark: SparkSession, sf: str) -> DataFrame:
     return views.links(n, plain_edges(spark, sf), center(spark, sf))
 
 
+NEAR = """adj AS (SELECT source AS node, target AS other, weight, mention_count FROM edge UNION ALL SELECT target, source, weight, mention_count FROM edge),
+nb AS (SELECT node, other AS id, round(max(coalesce(weight, 0.5) + 0.01 * sqrt(CAST(coalesce(mention_count, 0) AS DOUBLE))), 9) AS weight FROM adj WHERE node <> other GROUP BY ALL),
+ty AS (SELECT id, type FROM node),
+nr AS (SELECT nb.node, nb.id, ty.type, nb.weight, CAST(row_number() OVER (PARTITION BY nb.node, ty.type ORDER BY nb.weight DESC, nb.id DESC) AS INTEGER) AS rank FROM nb JOIN ty ON ty.id = nb.id
+  QUALIFY rank <= CASE ty.type WHEN 'keyword' THEN 8 WHEN 'topic' THEN 6 ELSE 16 END)"""
+
+
+@query(f"WITH {BASE}, {ALL_EDGES}, {NODES}, {NEAR} SELECT node, id, type, weight, rank FROM nr")
+def neighborhoods(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbourhoods of all nodes."""
+    n, _, _ = _nodes(spark, sf)
+    return views.neighborhoods(n, plain_edges(spark, sf))
+
+
+@query(f"""WITH {BASE}, {ALL_EDGES}, {NODES}, {NEAR}, sh AS (SELECT node, id, type FROM nr UNION ALL SELECT id, id, type FROM ty),
+el AS (SELECT a.node, e.source, e.target, e.type, e.weight, a.type = 'chapter' OR b.type = 'chapter' AS ch FROM edge e JOIN sh a ON a.id = e.source JOIN sh b ON b.id = e.target AND b.node = a.node WHERE e.type <> 'sequence' AND e.source <> e.target
+  QUALIFY row_number() OVER (PARTITION BY a.node, least(e.source, e.target), greatest(e.source, e.target) ORDER BY coalesce(e.weight, 0.5) DESC, e.type, e.source) = 1),
+er AS (SELECT *, source = node OR target = node AS own, row_number() OVER (PARTITION BY node, source = node OR target = node ORDER BY ch DESC, coalesce(weight, 0.5) DESC, source, target) AS k FROM el)
+SELECT node, source, target, type, weight FROM er WHERE own OR k <= 30""")
+def neighborhoods_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The links among each node and its neighbours."""
+    n, _, _ = _nodes(spark, sf)
+    return views.all_links(n, plain_edges(spark, sf))
+
+
 @query(f"WITH {BASE}, {EDGES} SELECT source, target, weight, row_number() OVER (PARTITION BY target ORDER BY weight DESC, source) > 1 AS secondary FROM ce QUALIFY row_number() OVER (PARTITION BY target ORDER BY weight DESC, source) <= 2")
 def skeleton_edges(spark: SparkSession, sf: str) -> DataFrame:
     return views.skeleton(graph.covers_edges(mentioned(spark, sf)))
