@@ -167,8 +167,28 @@ def _in_rounds(pairs: DataFrame, cap: int) -> DataFrame:
     return chosen if chosen is not None else pairs.limit(0)
 
 
+def with_evidence(pairs: DataFrame, rows: DataFrame, key: str, member: str, k: int | None = None) -> DataFrame:
+    """``pairs`` (l, r, ...) with ``evidence``: the keys of ``rows`` that both members have, as sorted strings, the first ``k`` or all. Pairs without any have an empty one.
+
+    A pair asks for the keys of its rarer member whether the other has them too; with ``k``, ranks are cut before the rows move.
+    """
+    own = rows.select(F.col(key).cast("string").alias("_key"), member).distinct()
+    often = own.groupBy(member).agg(F.count("*").alias("n"))
+    of = lambda end: often.select(F.col(member).alias(end), F.col("n").alias(f"_n{end}"))
+    asked = pairs.select("l", "r").distinct().join(of("l"), "l").join(of("r"), "r")
+    first = F.col("_nl") <= F.col("_nr")
+    asked = asked.select("l", "r", F.when(first, F.col("l")).otherwise(F.col("r")).alias("_from"), F.when(first, F.col("r")).otherwise(F.col("l")).alias("_to"))
+    both = asked.join(own.withColumnRenamed(member, "_from"), "_from").join(own.withColumnRenamed(member, "_to"), ["_to", "_key"], "left_semi")
+    if k is not None:
+        both = both.withColumn("_n", F.row_number().over(Window.partitionBy("l", "r").orderBy("_key"))).filter(F.col("_n") <= k)
+    lists = both.groupBy("l", "r").agg(F.array_sort(F.collect_list("_key")).alias("evidence"))
+    none = F.array().cast("array<string>")
+    return pairs.join(lists, ["l", "r"], "left").withColumn("evidence", F.coalesce("evidence", none))
+
+
 def related_edges(pairs: DataFrame, basis: str, left: Column, right: Column) -> DataFrame:
-    return pairs.select(*_edge(left, right, "related", F.bround("score", 4), basis=basis))
+    """An edge for each pair, with its ``evidence`` if it has some."""
+    return pairs.select(*_edge(left, right, "related", F.bround("score", 4), basis=basis, evidence=F.col("evidence") if "evidence" in pairs.columns else None))
 
 
 def distinct_edges(edges: DataFrame, order: str = "emitted") -> DataFrame:
@@ -244,14 +264,19 @@ def build(chunks: DataFrame, concepts: DataFrame, stop: DataFrame, settings: Dat
     split = lambda c, i: F.split_part(F.col(c), F.lit("\x1f"), F.lit(i))
     topic = lambda c: T.topic_id(split(c, 1), split(c, 2))
     shown = topics(chunks).filter("visibility = 'primary'").select("module", "section")
+    # Concepts are related by chunks, pages and chapters by concepts.
+    spoken = mentioned.join(broadcast_if_small(stop), "concept", "left_anti").select("module", F.concat_ws("\x1f", "module", "section").alias("topic"), T.keyword_id(F.col("concept")).alias("keyword"))
+    alike = with_evidence(related_concepts(mentioned), mentioned, "id", "concept", EVIDENCE)
+    pages = with_evidence(capped_pairs(topic_bridges(mentioned, stop, shown)), spoken, "keyword", "topic")
+    chapters_alike = with_evidence(capped_pairs(chapter_bridges(mentioned, stop)), spoken, "keyword", "module")
     parts = [
         contains_edges(chunks),
         mentions_edges(mentioned),
         covers_edges(mentioned),
         sequence_edges(order),
-        related_edges(related_concepts(mentioned), "evidence", T.keyword_id(F.col("l")), T.keyword_id(F.col("r"))),
-        related_edges(capped_pairs(topic_bridges(mentioned, stop, shown)), "keywords", topic("l"), topic("r")),
-        related_edges(capped_pairs(chapter_bridges(mentioned, stop)), "keywords", T.chapter_id(F.col("l")), T.chapter_id(F.col("r"))),
+        related_edges(alike, "evidence", T.keyword_id(F.col("l")), T.keyword_id(F.col("r"))),
+        related_edges(pages, "keywords", topic("l"), topic("r")),
+        related_edges(chapters_alike, "keywords", T.chapter_id(F.col("l")), T.chapter_id(F.col("r"))),
     ]
     edges = None
     for i, part in enumerate(parts):

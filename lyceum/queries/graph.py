@@ -131,6 +131,23 @@ def bridges_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return graph.capped_pairs(graph.topic_bridges(mentioned(spark, sf), stop(spark, sf)).withColumn("score", F.round("score", 6)))
 
 
+@query(f"""WITH {BASE}, {RELATED}, ev AS (SELECT rc.l, rc.r, CAST(a.id AS VARCHAR) AS k FROM rc JOIN men a ON a.concept = rc.l JOIN men b ON b.concept = rc.r AND b.id = a.id QUALIFY row_number() OVER (PARTITION BY rc.l, rc.r ORDER BY CAST(a.id AS VARCHAR)) <= 8)
+SELECT l, r, string_agg(k, '|' ORDER BY k) AS evidence FROM ev GROUP BY l, r""")
+def related_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The first eight chunks that related concepts share."""
+    m = mentioned(spark, sf, again=True)
+    return graph.with_evidence(graph.related_concepts(m), m, "id", "concept", graph.EVIDENCE).select("l", "r", F.array_join("evidence", "|").alias("evidence"))
+
+
+@query(f"""WITH {BASE}, {TB}, sp AS (SELECT DISTINCT module || chr(31) || section AS topic, {KID} AS k FROM men ANTI JOIN stp USING (concept))
+SELECT l, r, string_agg(a.k, '|' ORDER BY a.k) AS evidence FROM tb JOIN sp a ON a.topic = l JOIN sp b ON b.topic = r AND b.k = a.k GROUP BY l, r""")
+def bridge_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """All concepts that similar pages of different chapters share."""
+    m, s = mentioned(spark, sf, again=True), stop(spark, sf)
+    rows = m.join(s, "concept", "left_anti").select(F.concat_ws("\x1f", "module", "section").alias("topic"), T.keyword_id(F.col("concept")).alias("keyword"))
+    return graph.with_evidence(graph.topic_bridges(m, s), rows, "keyword", "topic").select("l", "r", F.array_join("evidence", "|").alias("evidence"))
+
+
 MAIN = """ch AS (SELECT concept, module, sum(n) AS n FROM men GROUP BY ALL), mc AS (SELECT concept, module, pos, n FROM ch JOIN chap USING (module) QUALIFY row_number() OVER (PARTITION BY concept ORDER BY n DESC, pos) = 1),
 pk AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY n DESC, concept) AS rank FROM mc ANTI JOIN stp USING (concept) QUALIFY rank <= 3),
 ot AS (SELECT pk.concept, string_agg(c.chapter_id, '|' ORDER BY c.pos) FILTER (k <= 4) AS also_in FROM pk JOIN (SELECT ch.concept, ch.module, chap.pos, chapter_id, row_number() OVER (PARTITION BY ch.concept ORDER BY chap.pos) AS k
