@@ -14,11 +14,9 @@ BLOCK = 50_000
 
 
 def finder(patterns: list[str]) -> Callable[[str], set[str]]:
-    """A function from a text to those of the patterns that it contains."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {p for p in patterns if p in text}
+    """A function from a text to those of the patterns that it contains. Needs ``pyahocorasick``, and fails without it."""
+    import ahocorasick
+
     automaton = ahocorasick.Automaton()
     for p in patterns:
         automaton.add_word(p, p)
