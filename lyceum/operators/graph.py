@@ -287,13 +287,8 @@ def build(chunks: DataFrame, concepts: DataFrame, stop: DataFrame, settings: Dat
 
 
 def with_texts(nodes_: DataFrame, chunks: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Nodes with ``summary``, ``summary_file`` (concepts: the sentence that introduces them; chapters: the overview's first sentences), ``overview`` and ``objectives``.
-
-    The taxonomy is a small table that people edit; its names become the plan's patterns.
-    """
-    names = [(r["id"], r["label"], list(r["aliases"] or [])) for r in concepts.select("id", "label", "aliases").orderBy("id").toLocalIterator()]
-    null = F.lit(None).cast("string")
-    said = summaries.concept_summaries(chunks, names).select(T.keyword_id(F.col("concept")).alias("id"), "summary", "summary_file") if names else nodes_.limit(0).select("id", null.alias("summary"), null.alias("summary_file"))
+    """Nodes with ``summary``, ``summary_file`` (concepts: the sentence that introduces them; chapters: the overview's first sentences), ``overview`` and ``objectives``."""
+    said = summaries.concept_summaries(chunks, concepts).select(T.keyword_id(F.col("concept")).alias("id"), "summary", "summary_file")
     outlines = summaries.outlines(chunks).select(T.chapter_id(F.col("module")).alias("id"), F.nullif("overview", F.lit("")).alias("overview"), "objectives")
     rows = nodes_.join(said, "id", "left").join(outlines, "id", "left")
     return rows.withColumn("summary", F.coalesce("summary", F.nullif(summaries.intro(T.text("overview")), F.lit(""))))

@@ -14,6 +14,7 @@ from ..functions import urls
 from ..operators import chunker, gate, incremental, suggest, summaries, views
 from ..sources import readers, sinks
 from .base import chunks, query, table
+from .graph import BASE, taxonomy
 
 WS = "regexp_replace({}, '\\s+', ' ', 'g')"
 
@@ -274,10 +275,25 @@ def evenly_spaced(spark: SparkSession, sf: str) -> DataFrame:
     return suggest.evenly_spaced(rows, 7, "id")
 
 
-@query()
+# Sentences between lines that part paragraphs, met by the names of the taxonomy's words; without look-behinds, so what may touch a name is spelled out.
+SUMMARY_SQL = rf"""WITH {BASE},
+pat AS (SELECT id AS concept, '(?:the[\s\-/]+' || id || '|' || id || 's|' || id || ')' AS p FROM tax),
+pg AS (SELECT pos, title, file_path, regexp_replace(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?s)```.*?```|\$\$.*?\$\$', ' ', 'g') AS c FROM chunks),
+pa AS (SELECT pos, title, file_path, list_transform(string_split_regex(c, '(?m)(?:^[^\S\n]*(?:(?:[#|:<!%]|\+\+\+|---|Temporal context:).*)?(?:\n|\z))+'), lambda p: regexp_replace(regexp_replace(regexp_replace(p, '(?m)^[^\S\n]*(?:[-*]|\d+[.)])\s+', '', 'g'), '!?\[([^\]]*)\]\([^)]*\)|\{{[a-z-]+\}}`([^`]*)`', '\1\2', 'g'), '[*_`]{{1,3}}', '', 'g')) AS ps FROM pg),
+sl AS (SELECT pos, title, file_path, list_filter(list_transform(flatten(list_transform(ps, lambda p: string_split(regexp_replace(trim(regexp_replace(p, '\s+', ' ', 'g')), '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda s: trim(s)), lambda s: length(s) BETWEEN 40 AND 320) AS l FROM pa),
+se AS (SELECT pos, title, file_path, unnest(l) AS s, generate_subscripts(l, 1) AS sent FROM sl),
+ru AS (SELECT *, lower(s) AS low, unnest(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+'))) AS run FROM se),
+ca AS (SELECT DISTINCT pos, title, file_path, sent, s, low, concept, p FROM ru JOIN al ON run = alias JOIN pat USING (concept)),
+va AS (SELECT '[^a-z0-9.][^.]{{0,39}}?\b{summaries.DEFINES}\b' AS verb),
+fe AS (SELECT *, regexp_matches(low, '(?:^|[^a-z0-9])' || p || verb) AS defined, length(regexp_extract(low, '(?s)^((?:.*?[^a-z0-9])??)' || p || verb, 1)) AS before,
+  regexp_matches(low, '^(?:(?:a|an|the)\s+)?' || p || '(?:[^a-z0-9]|$)') AS first, regexp_matches(low, '^(?:it|this|these|they|that|such|here|in this)\b') AS refers,
+  regexp_matches(lower(title), '(?:^|[^a-z0-9])' || p || '(?:[^a-z0-9]|$)') AS titled, regexp_matches(s, '[$\\{{}}<>|=]') AS marked FROM ca, va),
+sc AS (SELECT concept, s, file_path, pos, sent, CAST(1 + CASE WHEN NOT defined THEN 0 WHEN before < 45 THEN 4 ELSE 1 END + CASE WHEN first THEN 2 ELSE 0 END - CASE WHEN refers THEN 2 ELSE 0 END + CASE WHEN titled THEN 1 ELSE 0 END
+  + CASE WHEN length(s) BETWEEN 60 AND 240 THEN 0.5 ELSE 0 END - CASE WHEN marked THEN 3 ELSE 0 END AS DOUBLE) - CAST(pos AS DOUBLE) * 1e-4 AS score FROM fe)
+SELECT concept, s AS summary, file_path AS summary_file FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY concept ORDER BY score DESC, pos, sent) = 1"""
+
+
+@query(SUMMARY_SQL)
 def concept_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The best introducing sentence of frequent words, over all documents."""
-    from .graph import taxonomy
-
-    names = [(r.id, r.label, list(r.aliases)) for r in taxonomy(spark, sf).orderBy("id").collect()]
-    return summaries.concept_summaries(chunks(spark, sf), names)
+    return summaries.concept_summaries(chunks(spark, sf), taxonomy(spark, sf))

@@ -169,7 +169,8 @@ def test_summary_and_outline(spark):
     df = spark.createDataFrame(rows, "pos long, title string, file_path string, module string, chunk_id string, content string")
     o = summaries.outlines(df).head()
     assert o.overview == "This chapter explains the periodic lattice in detail." and o.objectives == ["Describe a lattice", "Use symmetry"]
-    s = summaries.concept_summaries(df, [("lattice", "Lattice", ["lattices"]), ("none", "Nothing", [])]).collect()
+    named = spark.createDataFrame([("lattice", "Lattice", ["lattices"]), ("none", "Nothing", [])], "id string, label string, aliases array<string>")
+    s = summaries.concept_summaries(df, named).collect()
     assert [(r.concept, r.summary, r.summary_file) for r in s] == [("lattice", "A lattice is a regular arrangement of points that repeats in space.", "m/b.md")]
 
 
