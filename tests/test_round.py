@@ -204,7 +204,7 @@ def test_files_by_any_spelling(spark, tmp_path):
 
 
 def test_a_stream_reads_its_own_file(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00")], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00")], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1)
     for name in ("events.parquet", "events.parquet.bak"):
         rows.write.parquet(str(tmp_path / name))
     one = next((tmp_path / "events.parquet").glob("part-*"))
