@@ -182,10 +182,10 @@ def dense(vectors: DataFrame, asked: DataFrame, k: int, digits: int = 6) -> Data
 
     A stated set of questions against all rows, ASKED questions at a time: a block of them goes to every task, which multiplies
     it with its rows and gives its own best k of each; the best of these follow from one window. Vectors that are null, hold
-    a null or NaN or have another length than the asked one have no score; the zero vector's is 0. Repeated ids stay apart.
+    a null or NaN or have another length than the asked one have no score; the zero vector's is 0. Repeated ids stay apart; a row without an id is no answer.
     """
     spark = vectors.sparkSession
-    own = vectors.select("id", "vector")
+    own = vectors.select("id", "vector").filter("id IS NOT NULL")
     schema = T_.StructType([T_.StructField("_n", T_.LongType()), own.schema["id"], T_.StructField("score", T_.DoubleType())])
     questions = checkpointed(numbered(asked.select("qid", "vector"), "qid", "_n"))
     found = None
