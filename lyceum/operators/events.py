@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from .sizes import numbered
 
 
 def recent(rows: DataFrame, today: Column, days: int, day: str = "day") -> DataFrame:
@@ -74,6 +75,15 @@ def feedback_report(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("page").agg(F.count_if(F.col("rating") == "up").alias("up"), F.count_if(F.col("rating") == "down").alias("down"))
 
 
+def newest(feedback: DataFrame, today: Column, days: int = 7) -> DataFrame:
+    """Feedback (id, day, ...) of the last ``days`` days (one at least) with its ``place``, from 0 for the newest, the greatest id.
+
+    Places come from sorted ranges, not from one task. Rows without a day are left out, those without an id stand last.
+    """
+    rows = recent(feedback, today, days).withColumn("_age", F.coalesce(-F.col("id").cast("long"), F.lit((1 << 63) - 1)))
+    return numbered(rows, "_age", "place").drop("_age")
+
+
 def chapter_of_files(files: DataFrame, topics: DataFrame) -> DataFrame:
     """(file, topic, chapter): the first topic that holds a file, and its chapter; null where none does."""
     first = Window.partitionBy("file").orderBy("pos")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..operators import chunker, gate, graph, incremental, search
+from ..operators import chunker, evaluate, gate, graph, incremental, search
 from ..operators.sizes import LIMIT, checkpointed, numbered
 from ..sources import files, versions
 
@@ -207,6 +207,23 @@ def answers(course: DataFrame, questions: DataFrame) -> DataFrame:
     return gate.answer_events(gate.prompts(questions, decisions, gate.evidence(results)))
 
 
+def check_drafts(course: DataFrame, drafts: DataFrame, aliases: dict[str, str] | None = None, floor: float | None = None, index: search.Index | None = None, vectors: search.VectorIndex | None = None) -> DataFrame:
+    """Drafted questions (query, file_path, terms, as of ``suggest.questions``) with ``search_finds_it``: whether search finds the page and a term of it, and the gate lets it be answered.
+
+    All drafts are one batch of ``ask``; repeated and null queries are asked once, each of their rows is judged by its own page and terms.
+    """
+    asked = drafts.select(T.text("query").alias("query")).distinct().withColumn("qid", F.sha2("query", 256))
+    results, decisions = ask(course, asked, aliases, floor, index, vectors)
+    results, decisions = checkpointed(results.select("qid", "file_path", "title", "preview")), checkpointed(decisions)
+    rows = checkpointed(drafts.withColumn("_id", F.monotonically_increasing_id()).withColumn("_q", F.sha2(T.text("query"), 256)))
+    # Results are a few a question: each draft gets its own copy of its query's.
+    own = rows.select(F.col("_id").alias("id"), "_q", F.array(T.text("file_path")).alias("expected_files"), F.col("terms").alias("expected_terms"))
+    labelled = own.select("id", "expected_files", "expected_terms", F.lit("answerable").alias("expected_status"), F.lit(None).cast("string").alias("expected_temporal_context"), F.lit(None).cast("boolean").alias("expected_multi_source"))
+    of = lambda found: own.select("id", "_q").join(found.withColumnRenamed("qid", "_q"), "_q").drop("_q").withColumnRenamed("id", "qid")
+    checked = evaluate.checks(labelled, of(results), of(decisions.select("qid", "status", "temporal_year", "multi_source")))
+    return rows.join(checked.select(F.col("id").alias("_id"), F.col("passed").alias("search_finds_it")), "_id").drop("_id", "_q")
+
+
 def changed_files(spark: SparkSession, root: str, recorded: DataFrame) -> DataFrame:
     """(file, change) against the recorded fingerprints (file, hash)."""
     now = files.discover(spark, root).select(F.col("file_path").alias("file"), incremental.file_hash(F.col("content")).alias("hash"))

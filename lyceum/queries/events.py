@@ -110,6 +110,13 @@ def feedback_report(spark: SparkSession, sf: str) -> DataFrame:
     return E.feedback_report(rows.select(F.col("source").alias("page"), F.when(F.col("quality") == 1, "up").when(F.col("quality") == 0, "down").alias("rating")))
 
 
+@query(f"WITH {ASKS} SELECT id, day, file, status, row_number() OVER (ORDER BY id DESC) - 1 AS place FROM asks WHERE status IN ('answerable', 'weak_evidence') AND day >= DATE '{TODAY}' - 6")
+def feedback_newest(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratings of the last seven days, the newest first."""
+    rows = asks(spark, sf).filter("status IN ('answerable', 'weak_evidence')").select("id", "day", F.element_at("files", 1).alias("file"), "status")
+    return E.newest(rows, F.lit(TODAY).cast("date"))
+
+
 @query(f"WITH {ASKS} SELECT id, user_id AS sender, day FROM asks WHERE status IN ('answerable', 'weak_evidence') QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY time, id) <= 2")
 def feedback_cap(spark: SparkSession, sf: str) -> DataFrame:
     """At most two ratings for a sender and day; other statuses are no rating."""
