@@ -20,7 +20,7 @@ from pyspark.sql import types as T_
 
 from .. import constants as C
 from ..functions import text as T
-from . import phrases, positions
+from . import counts, phrases, positions
 from .positions import Places
 from .sizes import LIMIT, broadcast_if_small, checkpointed, numbered, spread, stored
 
@@ -48,7 +48,7 @@ def lexical_index(chunks: DataFrame, aliases: dict[str, str] | None = None, keep
     """``keep``: the postings are written once as a table in the shared folder, for a plan that reads them several times."""
     rows = spread(chunks.select("id", "content"), "id").select("id", T.tokens("content", aliases).alias("words"))
     lengths = rows.select("id", F.size("words").alias("len"))
-    postings = rows.select("id", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    postings = counts.postings(rows)
     postings = stored(postings) if keep else postings
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -94,7 +94,7 @@ class VectorIndex:
 
 def tfidf_index(chunks: DataFrame, keep: bool = False) -> VectorIndex:
     """``keep``: the counts are written once as a table in the shared folder, for a plan that reads them several times."""
-    tf = spread(chunks.select("id", "content"), "id").select("id", F.explode(T.terms("content")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = counts.word_and_pair_counts(spread(chunks.select("id", "content"), "id").select("id", T.words_of("content").alias("words")))
     tf = stored(tf) if keep else tf
     n = chunks.agg(F.count("*").alias("n"))
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -295,7 +295,15 @@ def with_temporal_slot(ranked: DataFrame, k: int = C.TOP_K) -> DataFrame:
 
 
 def hybrid(chunks: DataFrame, questions: DataFrame, k: int = C.TOP_K, candidates: int = C.CANDIDATES, aliases: dict[str, str] | None = None, index: Index | None = None, vectors: VectorIndex | None = None, places: tuple[Places, Places] | None = None) -> DataFrame:
-    """The best k chunks of each question: (qid, rank, id, score, bm25, meaning, timed, logistics); ``index``, ``vectors`` and ``places`` as stored, else built."""
+    """The best k chunks of each question: (qid, rank, id, score, bm25, meaning, timed, logistics).
+
+    From what is stored of ``index``, ``vectors`` and ``places``, the rest of them built; with none of them from passes over the chunks (``scan.py``).
+    """
+    if index is None and vectors is None and places is None:
+        from . import scan  # it takes its rules from here
+
+        rows = with_temporal_slot(scan.hybrid_candidates(chunks, questions, candidates, aliases), k)
+        return rows.select("qid", "rank", "id", "score", F.round("bm25", 6).alias("bm25"), F.round("meaning", 6).alias("meaning"), "timed", "logistics")
     lexical = bm25(index or lexical_index(chunks, aliases, keep=True), question_terms(questions, aliases))
     meaning = tfidf(vectors or tfidf_index(chunks, keep=True), questions)
     rows = topk(fused(chunks, questions, lexical, meaning, aliases, places), candidates)
