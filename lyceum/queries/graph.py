@@ -10,7 +10,7 @@ from .. import constants as C
 from ..functions import text as T
 from ..operators import concepts as K
 from ..operators import counts, graph, publications, views
-from ..operators.sizes import spread
+from ..operators.sizes import spread, stored
 from .base import CHUNKS_SQL, chunks, query, table
 
 TAXONOMY = 24
@@ -18,8 +18,7 @@ TAXONOMY = 24
 
 def taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     """The most frequent words of four letters or more, each with its plural-like and a two-word alias."""
-    words = spread(chunks(spark, sf).select("id", "content"), "id").select(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]{4,}"), F.lit(0)).alias("words"))
-    best = counts.document_counts(words).orderBy(F.desc("df"), "term").limit(TAXONOMY)
+    best = counts.run_document_counts(spread(chunks(spark, sf).select("id", "content"), "id").select(F.lower("content")), 4).orderBy(F.desc("df"), "term").limit(TAXONOMY)
     # A taxonomy is a small table that people edit: it stands as rows of the plan.
     rows = [(r.term, r.term, r.term[0], [r.term, r.term + "s", "the " + r.term]) for r in best.collect()]
     return spark.createDataFrame(rows, "id string, label string, category string, aliases array<string>")
@@ -70,7 +69,7 @@ def alias_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """How often all texts together mention each alias."""
     c = chunks(spark, sf)
     rows = c.select("id", K.searched(c).alias("_t"))
-    return K.alias_counts(rows, K.aliases(taxonomy(spark, sf)), ["id"]).groupBy("alias").agg(F.sum("n").alias("n"))
+    return K.alias_counts(rows, K.aliases(taxonomy(spark, sf)), ["id"], c.select("id", F.lower(K.whole()).alias("_t"))).groupBy("alias").agg(F.sum("n").alias("n"))
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -174,14 +173,14 @@ def built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def plain_edges(spark: SparkSession, sf: str, m: DataFrame | None = None) -> DataFrame:
-    """``m``: the mentions, if they are at hand."""
+    """All edges but bridges, stored: what is made of them reads them many times. ``m``: the mentions, if they are at hand."""
     c, m = chunks(spark, sf), m or mentioned(spark, sf, again=True)
     kinds = [graph.contains_edges(c), graph.mentions_edges(m), graph.covers_edges(m), graph.sequence_edges(graph.chapters(c))]
     rel = graph.related_edges(graph.related_concepts(m), "evidence", T.keyword_id(F.col("l")), T.keyword_id(F.col("r")))
     out = rel
     for k in kinds:
         out = out.unionByName(k)
-    return out
+    return stored(out)
 
 
 ALL_EDGES = f"""{EDGES}, {RELATED}, edge AS (SELECT * FROM ne UNION ALL SELECT * FROM me UNION ALL SELECT * FROM ce UNION ALL SELECT * FROM se UNION ALL
@@ -228,10 +227,11 @@ def graph_validate(spark: SparkSession, sf: str) -> DataFrame:
     return graph.validate(n.select("id", "type", "chunks").unionByName(extra), e.unionByName(faults))
 
 
-def _nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c, known = chunks(spark, sf), taxonomy(spark, sf)
+def _nodes(spark: SparkSession, sf: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes, stored, the chunks and their mentions."""
+    c, known = chunks(spark, sf), known or taxonomy(spark, sf)
     m = mentioned(spark, sf, again=True, known=known)
-    return graph.nodes(c, known, m, graph.chapters(c)), c, m
+    return stored(graph.nodes(c, known, m, graph.chapters(c))), c, m
 
 
 @query()
@@ -247,15 +247,16 @@ nb AS (SELECT other AS id, round(max(coalesce(weight, 0.5) + 0.01 * sqrt(CAST(co
 nr AS (SELECT nb.id, node.type, weight, CAST(row_number() OVER (PARTITION BY node.type ORDER BY weight DESC, nb.id DESC) AS INTEGER) AS rank FROM nb JOIN node USING (id) QUALIFY rank <= CASE node.type WHEN 'keyword' THEN 8 WHEN 'topic' THEN 6 ELSE 16 END)"""
 
 
-def center(spark: SparkSession, sf: str) -> str:
+def center(known: DataFrame) -> str:
     """The node that the views are about: the taxonomy's first concept."""
-    return "keyword:" + taxonomy(spark, sf).agg(F.min("id")).head()[0]
+    return "keyword:" + known.agg(F.min("id")).head()[0]
 
 
 @query(f"WITH {BASE}, {ALL_EDGES}, {NODES}, {ADJ} SELECT id, type, weight, rank FROM nr")
 def neighborhood(spark: SparkSession, sf: str) -> DataFrame:
-    n, _, m = _nodes(spark, sf)
-    return views.neighbours(n, plain_edges(spark, sf, m), center(spark, sf)).select("id", "type", "weight", "rank")
+    known = taxonomy(spark, sf)
+    n, _, m = _nodes(spark, sf, known)
+    return views.neighbours(n, plain_edges(spark, sf, m), center(known)).select("id", "type", "weight", "rank")
 
 
 @query(f"""WITH {BASE}, {ALL_EDGES}, {NODES}, {ADJ}, sh AS (SELECT id, type FROM nr UNION ALL SELECT c, 'keyword' FROM ctr),
@@ -264,8 +265,9 @@ el AS (SELECT e.*, a.type AS ta, b.type AS tb FROM edge e JOIN sh a ON a.id = e.
 ek AS (SELECT *, source = c OR target = c AS own FROM el, ctr), er AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY (ta = 'chapter' OR tb = 'chapter') DESC, coalesce(weight, 0.5) DESC, source, target) AS k FROM ek)
 SELECT source, target, type, weight FROM er WHERE own OR k <= 30""")
 def neighborhood_links(spark: SparkSession, sf: str) -> DataFrame:
-    n, _, m = _nodes(spark, sf)
-    return views.links(n, plain_edges(spark, sf, m), center(spark, sf))
+    known = taxonomy(spark, sf)
+    n, _, m = _nodes(spark, sf, known)
+    return views.links(n, plain_edges(spark, sf, m), center(known))
 
 
 NEAR = """adj AS (SELECT source AS node, target AS other, weight, mention_count FROM edge UNION ALL SELECT target, source, weight, mention_count FROM edge),
@@ -301,8 +303,9 @@ def skeleton_edges(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {BASE}, {EDGES}, {MAIN}, sp AS (SELECT CAST(row_number() OVER (ORDER BY pos, rank) AS INTEGER) AS step, node, chapter FROM st), tp AS (SELECT DISTINCT {TID} AS topic, {CID} AS chapter FROM chunks)
 SELECT step, topic, CAST(row_number() OVER (PARTITION BY step ORDER BY weight DESC, topic) AS INTEGER) AS rank FROM sp JOIN me ON me.target = sp.node JOIN tp ON tp.topic = me.source AND tp.chapter = sp.chapter WHERE node <> sp.chapter QUALIFY rank <= 3""")
 def path_pages(spark: SparkSession, sf: str) -> DataFrame:
-    n, c, m = _nodes(spark, sf)
-    path = graph.learning_path(m, graph.chapters(c), stop(spark, sf))
+    known = taxonomy(spark, sf)
+    n, c, m = _nodes(spark, sf, known)
+    path = graph.learning_path(m, graph.chapters(c), stop(spark, sf, known))
     return views.path_pages(path, graph.mentions_edges(m), n)
 
 
