@@ -1,8 +1,9 @@
 """Lengths of TF-IDF vectors of words and pairs of neighbouring words, without a row for each chunk and term.
 
 A term's weight needs in how many chunks it stands, so something of every term must move. What moves here is, of each slice of a task's
-chunks, a number of 64 bits for each distinct term and two bytes for each chunk that has it, packed by ranges of these numbers.
-A range is summed in one piece, which gives back one partial sum for each chunk that it touches.
+chunks, a number of 64 bits for each distinct term and the step to each chunk that has it, packed by ranges of these numbers.
+A range is summed in one piece, which gives back one partial sum for each chunk that it touches. A task adds up the sums of its ranges before
+they move, and there are a few tasks a core, so what comes back grows with the chunks and not with chunks times ranges.
 
 Terms are told apart by their numbers. Among m distinct terms m * m / 2 ** 65 pairs share one (0.03 of a pair among a thousand million), which
 would count their chunks together in the document frequency and change nothing else.
@@ -19,11 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import counts
 
 #: Words of a slice, rows of a slice (they are numbered in two bytes), and bytes of text for each range of terms.
-SLICE, ROWS, RANGE = 2_000_000, 65_536, 16_000_000
+SLICE, ROWS, RANGE = 4_000_000, 65_536, 16_000_000
+#: Tasks a core that sum ranges, and chunks whose sums such a task holds before it gives them on.
+TASKS, HELD = 2, 4_000_000
 PACKED = "part int, slice long, terms binary, sizes binary, rows binary, tfs binary"
 
 
@@ -52,6 +56,32 @@ def unstepped(x: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def gaps(row: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The steps between rows that ascend from each of ``heads`` on; at a head the row itself."""
+    out = np.diff(row, prepend=row.dtype.type(0))
+    out[heads] = row[heads]
+    return out
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Small unsigned numbers, first bytes first, behind their count and with an entropy code: few of their bytes repeat in a row."""
+    planes = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(x: bytes, of: type) -> np.ndarray:
+    n, width = int.from_bytes(x[:8], "little"), np.dtype(of).itemsize
+    planes = np.frombuffer(pa.decompress(x[8:], decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(of).ravel()
+
+
+def ungapped(gap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rows of terms that have ``sizes`` rows each."""
+    total = np.cumsum(gap, dtype=np.int64)
+    heads = np.cumsum(sizes, dtype=np.int64) - sizes
+    return total - np.repeat(total[heads] - gap[heads], sizes)
+
+
 def packed(rows: DataFrame, n_parts: int) -> DataFrame:
     """(PACKED, ids) of rows (id, words): for each slice and range its terms, in how many rows of the slice each stands, which these are and how often; ids: the slice's, with one of its ranges."""
     schema = T.StructType([*T.StructType.fromDDL(PACKED), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType))])
@@ -65,12 +95,12 @@ def packed(rows: DataFrame, n_parts: int) -> DataFrame:
                     row, code, words = counts.encoded(b.column(1))
                     if not len(words):
                         continue
-                    row, term = numbers(row, code, words)
+                    row, term = numbers(row.astype(np.uint16), code, words)
                     order = np.argsort(term, kind="stable")
                     row, term = row[order], term[order]
                     first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])]))
                     tf = np.diff(np.append(first, len(term))).astype(np.uint32)
-                    row, term = row[first].astype(np.uint16), term[first]
+                    row, term = row[first], term[first]
                     head = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
                     term, ends = term[head], np.append(head, len(row))
                     sizes = np.diff(ends).astype(np.uint32)
@@ -78,7 +108,8 @@ def packed(rows: DataFrame, n_parts: int) -> DataFrame:
                     edge = np.searchsorted(part, np.arange(n_parts + 1))
                     there = np.flatnonzero(edge[1:] > edge[:-1])
                     spans = [(edge[p], edge[p + 1]) for p in there]
-                    lists = [[steps(term[a:z]) for a, z in spans], [sizes[a:z].tobytes() for a, z in spans]] + [[x[ends[a] : ends[z]].tobytes() for a, z in spans] for x in (row, tf)]
+                    row = gaps(row, head)
+                    lists = [[steps(term[a:z]) for a, z in spans], [squeezed(sizes[a:z]) for a, z in spans]] + [[squeezed(x[ends[a] : ends[z]]) for a, z in spans] for x in (row, tf)]
                     ids = pa.ListArray.from_arrays(pa.array([0] + [b.num_rows] * len(there), pa.int32()), pa.concat_arrays([b.column(0)]))
                     columns = [pa.array(there, pa.int32()), pa.array([key] * len(there), pa.int64()), *[pa.array(x, pa.binary()) for x in lists], ids]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -87,37 +118,67 @@ def packed(rows: DataFrame, n_parts: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def arrays(column: pa.ChunkedArray, of: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=of) for x in column.to_pylist()]
+def sums_of(t: pa.Table, n: int) -> pa.Table:
+    """(slice, rows, sums, ids) of one range of PACKED rows: of each slice the rows that it touches and their sums of squared weights."""
+    terms = [unstepped(x) for x in t.column("terms").to_pylist()]
+    sizes, gap, tf = ([unsqueezed(x, of) for x in t.column(c).to_pylist()] for c, of in (("sizes", np.uint32), ("rows", np.uint16), ("tfs", np.uint32)))
+    at = np.unique(np.concatenate(terms), return_inverse=True)[1]
+    df = np.bincount(at, weights=np.concatenate(sizes))
+    square = ((np.log((1.0 + n) / (1.0 + df)) + 1) ** 2)[at]
+    ends, hit, sums = np.cumsum([len(x) for x in terms]), [], []
+    for i, end in enumerate(ends):
+        own = np.bincount(ungapped(gap[i], sizes[i]), weights=np.repeat(square[end - len(terms[i]) : end], sizes[i]) * np.square(tf[i], dtype=np.float64))
+        some = np.flatnonzero(own)
+        hit.append(some.astype(np.uint16).tobytes())
+        sums.append(own[some].tobytes())
+    return pa.table([t.column("slice"), pa.array(hit, pa.binary()), pa.array(sums, pa.binary()), t.column("ids")], names=["slice", "rows", "sums", "ids"])
+
+
+def added(batches: Iterator[pa.RecordBatch], ids: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The rows of ``sums_of`` of a task's ranges, those of a slice as one."""
+    held: dict[int, np.ndarray] = {}
+    names: dict[int, pa.Array] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for k, own in held.items():
+            some = np.flatnonzero(own)
+            listed = names.get(k, pa.array([], ids.value_type))
+            columns = [pa.array([k], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (some.astype(np.uint16), own[some])], pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "rows", "sums", "ids"])
+
+    for b in batches:
+        for i, (k, row, s) in enumerate(zip(b.column("slice").to_pylist(), b.column("rows").to_pylist(), b.column("sums").to_pylist(), strict=True)):
+            row, own = np.frombuffer(row, dtype=np.uint16), held.get(k, np.zeros(0))
+            if len(row) and row[-1] >= len(own):
+                own = np.concatenate([own, np.zeros(int(row[-1]) + 1 - len(own))])
+            own[row] += np.frombuffer(s, dtype=np.float64)
+            held[k] = own
+            whose = b.column("ids").slice(i, 1).flatten()
+            if len(whose):
+                names[k] = whose
+        if sum(map(len, held.values())) > HELD:
+            yield from out()
+            held.clear()
+            names.clear()
+    yield from out()
 
 
 def norms(rows: DataFrame, n: int, size: int) -> DataFrame:
     """(id, norm) of those rows (id, words) that have a word. ``n``: how many rows there are; ``size``: about how many bytes their texts have."""
-    of = packed(rows, max(1, -(-size // RANGE)))
+    n_parts = max(1, -(-size // RANGE))
+    of = packed(rows, n_parts).repartition(min(n_parts, TASKS * rows.sparkSession.sparkContext.defaultParallelism), "part")
     ids = of.schema["ids"]
-
-    def summed(t: pa.Table) -> pa.Table:
-        terms = [unstepped(x) for x in t.column("terms").to_pylist()]
-        sizes, row, tf = (arrays(t.column(c), d) for c, d in (("sizes", np.uint32), ("rows", np.uint16), ("tfs", np.uint32)))
-        at = np.unique(np.concatenate(terms), return_inverse=True)[1]
-        df = np.bincount(at, weights=np.concatenate(sizes))
-        square = ((np.log((1.0 + n) / (1.0 + df)) + 1) ** 2)[at]
-        ends, hit, sums = np.cumsum([len(x) for x in terms]), [], []
-        for i, end in enumerate(ends):
-            own = np.bincount(row[i], weights=np.repeat(square[end - len(terms[i]) : end], sizes[i]) * np.square(tf[i], dtype=np.float64))
-            some = np.flatnonzero(own)
-            hit.append(some.astype(np.uint16).tobytes())
-            sums.append(own[some].tobytes())
-        return pa.table([t.column("slice"), pa.array(hit, pa.binary()), pa.array(sums, pa.binary()), t.column("ids")], names=["slice", "rows", "sums", "ids"])
+    schema = T.StructType([*T.StructType.fromDDL("slice long, rows binary, sums binary"), ids])
+    list_of = pa.list_(to_arrow_type(ids.dataType.elementType))
 
     def whole(t: pa.Table) -> pa.Table:
         own = pa.concat_arrays([c.flatten() for c in t.column("ids").chunks])
         total = np.zeros(len(own))
-        for row, s in zip(arrays(t.column("rows"), np.uint16), arrays(t.column("sums"), np.float64), strict=True):
-            total[row] += s
+        for row, s in zip(t.column("rows").to_pylist(), t.column("sums").to_pylist(), strict=True):
+            total[np.frombuffer(row, dtype=np.uint16)] += np.frombuffer(s, dtype=np.float64)
         some = np.flatnonzero(total)
         return pa.table([own.take(pa.array(some)), pa.array(total[some])], names=["id", "s"])
 
-    parts = of.groupBy("part").applyInArrow(summed, T.StructType([*T.StructType.fromDDL("slice long, rows binary, sums binary"), ids]))
+    parts = of.groupBy("part").applyInArrow(lambda t: sums_of(t, n), schema).mapInArrow(lambda b: added(b, list_of), schema)
     squares = parts.groupBy("slice").applyInArrow(whole, T.StructType([rows.schema["id"], T.StructField("s", T.DoubleType())]))
     return squares.groupBy("id").agg(F.sqrt(F.sum("s")).alias("norm"))

@@ -119,3 +119,33 @@ def test_numbers_of_terms_come_back():
     x = np.sort(np.array([0, 1, 1 << 40, (1 << 64) - 1, 1 << 63, (1 << 63) + 5], dtype=np.uint64))
     assert (norms.unstepped(norms.steps(x)) == x).all()
     assert len(norms.unstepped(norms.steps(x[:0]))) == 0
+
+
+def test_rows_of_terms_come_back():
+    row, sizes = np.array([3, 9, 65_535, 0, 1, 65_535, 7], dtype=np.uint16), np.array([3, 3, 1], dtype=np.uint32)
+    gap = norms.unsqueezed(norms.squeezed(norms.gaps(row, np.array([0, 3, 6]))), np.uint16)
+    assert (norms.ungapped(gap, sizes) == row).all()
+
+
+def test_a_task_gives_back_one_sum_a_chunk(spark, monkeypatch):
+    """What comes back from the ranges grows with chunks and tasks, not with chunks times ranges."""
+    monkeypatch.setattr(norms, "RANGE", 40)
+    c = course(spark)
+    n, size = scan.measured(c)
+    ranges = -(-size // norms.RANGE)
+    tasks = norms.TASKS * spark.sparkContext.defaultParallelism
+    assert ranges > 10 * tasks
+    added, seen = norms.added, spark.sparkContext.accumulator(0)
+
+    def counted(batches, ids):
+        for b in added(batches, ids):
+            seen.add(sum(len(x) // 8 for x in b.column("sums").to_pylist()))
+            yield b
+
+    monkeypatch.setattr(norms, "added", counted)
+    got = norms.norms(scan.meaning_rows(c), n, size)
+    assert same(got, search.tfidf_index(c).norms, "id", "norm")
+    assert 0 < seen.value <= 2 * n * tasks  # the plan is run twice at most
+    for held in (0, 5):
+        monkeypatch.setattr(norms, "HELD", held)
+        assert same(norms.norms(scan.meaning_rows(c), n, size), search.tfidf_index(c).norms, "id", "norm")
