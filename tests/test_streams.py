@@ -49,6 +49,27 @@ def test_state_of_idle_users_is_gone_after_a_day(rocks, tmp_path):
     assert [len({u for u, _, _ in x}) for x in left][:2] == [2, 2] and {(u, n) for u, _, n in left[-1]} == {(3, 2), (1, 1)}
 
 
+def test_days_of_a_block_are_one_entry(rocks, tmp_path):
+    """A batch writes an entry of the state for a block of days, not for each day; numbers go on in later batches, whatever block they lie in."""
+    spark = rocks
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    batches = [[(i, 1, d) for i, d in enumerate(days)], [(100 + i, 1, d) for i, d in enumerate(days)], [(200, 2, dt.datetime(2024, 6, 1))], [(300, 2, dt.datetime(2024, 6, 1, 1))]]
+    source, state = tmp_path / "src", str(tmp_path / "state")
+    source.mkdir()
+    got, left = [], []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        next((tmp_path / f"in/{i}").glob("part-*")).rename(source / f"{i}.parquet")
+        stream = quota.capped(spark.readStream.schema(EVENTS).parquet(str(source)), 1, late="90 days")
+        stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda b, _: got.extend(map(tuple, b.collect()))).start().awaitTermination()
+        left.append([(r.key.user_id, r.user_map_value.n) for r in spark.read.format("statestore").option("path", state).option("stateVarName", "days").load().collect()])
+    want = [(i, 1, d.date(), 1, True) for i, d in enumerate(days)] + [(100 + i, 1, d.date(), 2, False) for i, d in enumerate(days)]
+    assert sorted(got) == want + [(200, 2, dt.date(2024, 6, 1), 1, True), (300, 2, dt.date(2024, 6, 1), 2, False)]
+    assert all(len(x) <= 3 for x in left) and [sum(n for u, n in x if u == 1) for x in left[:2]] == [60, 120]
+    # 90 days before the first of June is the third of March, after the first user's days.
+    assert left[-1] == [(2, 2)]
+
+
 def test_a_batch_is_added_once(spark, tmp_path, monkeypatch):
     book = ledger.Ledger(spark, str(tmp_path / "log"))
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
