@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import sinks, versions
-from . import chunker, graph, search
+from . import chunker, counts, graph, search
 from .concepts import mentions
 from .segments import Log
 from .sizes import checkpointed
@@ -92,7 +92,7 @@ def _summed(terms: DataFrame) -> DataFrame:
 
 #: Logs: owner of a row, what chooses its bucket, and how rows add up where they do.
 LOGS = {name: ("file_path", _topic, None) for name in ("chunks", "lengths", "postings", "mentions")} | {"topic_edges": ("topic", lambda t: t, None), "terms": ("term", lambda t: t, _summed)}
-EMPTY = {"postings": "id string, len int, term string, tf long", "lengths": "id string, len int", "terms": "term string, df long"}
+EMPTY = {"postings": "id string, len int, terms array<string>, tfs array<long>", "lengths": "id string, len int", "terms": "term string, df long"}
 
 
 @dataclass
@@ -117,19 +117,21 @@ class State:
         stats = self.store.spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total / n if n else 0.0).cast("double").alias("avgdl"))
         postings, lengths, terms = (self.table(name) if self.table(name) is not None else self.store.spark.createDataFrame([], of) for name, of in EMPTY.items())
         terms = _summed(terms).select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        return search.Index(postings.select("id", "len", "term", "tf"), lengths.select("id", "len"), stats, terms)
+        return search.Index(_exploded(postings), lengths.select("id", "len"), stats, terms)
 
 
 def opened(store: versions.Store) -> State:
     return State(store, versions.current(store))
 
 
-def _lexical(rows: DataFrame, aliases: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
-    """(lengths, postings) of chunks, each row with its file."""
-    words = rows.select("file_path", "id", T.tokens("content", aliases).alias("words"))
-    lengths = words.select("file_path", "id", F.size("words").alias("len"))
-    postings = words.select("file_path", "id", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("file_path", "id", "len", "term").agg(F.count("*").alias("tf"))
-    return lengths, postings
+def _lexical(rows: DataFrame, aliases: dict[str, str] | None) -> DataFrame:
+    """(file_path, id, len, terms, tfs) of chunks: the distinct terms of each and how often it has them, counted where the text is read."""
+    return counts.term_lists(rows.select("file_path", "id", T.tokens("content", aliases).alias("words")))
+
+
+def _exploded(kept: DataFrame) -> DataFrame:
+    """(id, len, term, tf) of a log of postings, which has a row for each chunk."""
+    return kept.select("id", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("_t")).select("id", "len", F.col("_t.terms").alias("term"), F.col("_t.tfs").alias("tf"))
 
 
 def _mentions_of(rows: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -145,20 +147,28 @@ def advance(state: State, rows: DataFrame, gone: DataFrame, concepts: DataFrame,
     store, version = state.store, state.version
     logs = {name: state.log(name) for name in LOGS}
     before = set() if version is None else {f for log in logs.values() for f in log.folders()}
-    rows, gone = checkpointed(rows), checkpointed(gone.select("file_path").distinct())
+    gone = checkpointed(gone.select("file_path").distinct())
     taxonomy = digest(concepts.select(F.to_json(F.struct("id", "label", F.array_sort("aliases"))).alias("v")), "v").head()[0]
     same = version is not None and version.facts["taxonomy"] == taxonomy
+    passing: list[str] = []
+
+    def held(df: DataFrame) -> DataFrame:
+        """``df`` as a folder of the store until the end of the update: computed once and read by column."""
+        passing.append(versions.staged(store, df, "passing"))
+        return store.spark.read.schema(df.schema).parquet(f"{store.root}/{passing[-1]}")
+
     try:
+        rows = held(rows)
         old = {name: logs[name].read(owners=gone) for name in ("lengths", "postings", "mentions")}
-        lengths, postings = _lexical(rows, aliases)
-        lengths, postings = checkpointed(lengths), checkpointed(postings)
-        count = lambda df, sign: df.groupBy("term").agg((sign * F.count("*")).alias("df"))
+        postings = held(_lexical(rows, aliases))
+        lengths = postings.select("file_path", "id", "len")
+        count = lambda df, sign: df.select(F.explode("terms").alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df"))
         change = count(postings, 1) if old["postings"] is None else count(postings, 1).unionByName(count(old["postings"], -1))
         change = checkpointed(_summed(change))
         size = lambda df: (0, 0) if df is None else tuple(df.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).head())
         (n, total), (less, shorter) = size(lengths), size(old["lengths"])
         topic = F.concat_ws("\x1f", "module", "section")
-        found = checkpointed(_mentions_of(rows, concepts))
+        found = held(_mentions_of(rows, concepts))
         if same:
             touched = found.select(topic.alias("topic")) if old["mentions"] is None else found.select(topic.alias("topic")).unionByName(old["mentions"].select(topic.alias("topic")))
             touched = checkpointed(touched.distinct())
@@ -185,6 +195,8 @@ def advance(state: State, rows: DataFrame, gone: DataFrame, concepts: DataFrame,
     except BaseException:
         versions.discard(store, [f for log in logs.values() for f in log.folders() if f not in before] + [f for of in (tables or {}).values() for f in of])
         raise
+    finally:
+        versions.discard(store, passing)
     return State(store, published)
 
 

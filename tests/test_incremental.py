@@ -167,3 +167,14 @@ def test_an_empty_folder(spark, tmp_path):
     (tmp_path / "notes/x.bin").write_text("no")
     state, changed = course.refresh(spark, str(tmp_path / "notes"), str(tmp_path / "out"), taxonomy(spark))
     assert changed.count() == 0 and state.index().postings.count() == 0 and state.index().stats.head().n == 0
+
+
+def test_a_chunk_is_one_row_of_the_postings(spark, tmp_path):
+    """The log of postings moves and keeps a row for each chunk, and nothing that an update held for itself stays."""
+    rows = spark.createDataFrame([("m/a.md", "m", "s", 1, "t", "force wave force"), ("m/b.md", "m", "s", 2, "t", ""), ("m/b.md", "m", "s", 3, "t", None)], "file_path string, module string, section string, id long, title string, content string")
+    store = versions.Store(spark, str(tmp_path / "out"))
+    state = incremental.advance(incremental.opened(store), rows, rows.select("file_path").limit(0), taxonomy(spark))
+    log = state.table("postings")
+    assert rows_of(log, "id", "len") == [(1, 3), (2, 0), (3, 0)]
+    assert rows_of(state.index().postings) == [(1, 3, "force", 2), (1, 3, "wave", 1)] and rows_of(state.index().lengths) == [(1, 3), (2, 0), (3, 0)]
+    assert not [x for x in store.names("data") if x.startswith("passing")]
