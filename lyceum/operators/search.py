@@ -44,11 +44,15 @@ class Index:
         return Index(**out)
 
 
-def lexical_index(chunks: DataFrame, aliases: dict[str, str] | None = None, keep: bool = False) -> Index:
-    """``keep``: the postings are written once as a table in the shared folder, for a plan that reads them several times."""
+def lexical_index(chunks: DataFrame, aliases: dict[str, str] | None = None, keep: bool = False, asked: DataFrame | None = None) -> Index:
+    """``keep``: the postings are written once as a table in the shared folder, for a plan that reads them several times.
+    ``asked``: the index serves these terms (term) alone, for a single batch of questions; lengths and statistics are those of all chunks."""
     rows = spread(chunks.select("id", "content"), "id").select("id", T.tokens("content", aliases).alias("words"))
     lengths = rows.select("id", F.size("words").alias("len"))
     postings = counts.postings(rows)
+    if asked is not None:
+        # Where the texts are read, so no posting of another term moves.
+        postings = postings.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi").select(*postings.columns)
     postings = stored(postings) if keep else postings
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

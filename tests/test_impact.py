@@ -57,3 +57,14 @@ def test_nothing(spark):
     assert impact.best(impact.blocked(index), q).count() == 0
     full = search.lexical_index(corpus(spark, 5), keep=True)
     assert impact.best(impact.blocked(full), q.limit(0)).count() == 0
+
+
+def test_an_index_of_asked_terms(spark):
+    """It has no posting of another term, and the weights of the index of all terms."""
+    c = spark.createDataFrame([(1, "force wave force"), (2, "wave mass"), (3, ""), (4, None)], "id long, content string")
+    q = spark.createDataFrame([(1, "wave", 1), (2, "wave", 2), (2, "absent", 1)], "qid long, term string, qtf long")
+    full, own = search.lexical_index(c), search.lexical_index(c, asked=q)
+    every = lambda df: sorted(tuple(r) for r in df.collect())
+    assert every(own.postings) == every(full.postings.filter("term = 'wave'")) != []
+    assert every(own.terms) == every(full.terms.filter("term = 'wave'")) and every(own.stats) == every(full.stats)
+    assert rows_of(impact.best(impact.blocked(own), q, 5)) == rows_of(impact.best(impact.blocked(full), q, 5)) != []
