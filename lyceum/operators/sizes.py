@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast.
 LIMIT = 20_000
+#: Whether Spark drops the files of a plan's shuffles when the plan has run, and not only when a collection finds them unused.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def broadcast_if_small(df: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -35,9 +37,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, where a checkpoint computes twice, and read by column."""
+    """``df`` as a table in the shared folder: computed once, where a checkpoint computes twice, and read by column. What it shuffled goes with the end of its writing."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANED, "false")
+    conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANED, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

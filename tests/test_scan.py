@@ -149,3 +149,51 @@ def test_a_task_gives_back_one_sum_a_chunk(spark, monkeypatch):
     for held in (0, 5):
         monkeypatch.setattr(norms, "HELD", held)
         assert same(norms.norms(scan.meaning_rows(c), n, size), search.tfidf_index(c).norms, "id", "norm")
+
+
+def test_pairs_of_frequent_words_move_few_bytes(spark):
+    r = random.Random(3)
+    texts = [[f"w{min(int(r.expovariate(0.02)), 2000)}" for _ in range(400)] + [f"x{i}"] for i in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, words array<string>").coalesce(1)
+    book = norms.book_of(rows, 1)
+    assert "w0" in book and "x7" not in book
+    moved = lambda df: sum(len(r[c]) for r in df.collect() for c in (*norms.NUMBERED, "sizes", "rows", "tfs"))
+    assert moved(norms.packed(rows, 3, book)) < moved(norms.packed(rows, 3)) / 2
+
+
+def test_any_book_gives_the_same_norms(spark, monkeypatch):
+    c = course(spark)
+    n, size = scan.measured(c)
+    rows = scan.meaning_rows(c)
+    plain = search.tfidf_index(c).norms
+    for book in ([], ["mass", "w3"], [f"w{i}" for i in range(40)] + ["the", "of", "é1", "nowhere"]):
+        monkeypatch.setattr(norms, "book_of", lambda *_, book=book: book)
+        assert same(norms.norms(rows, n, size), plain, "id", "norm")
+    first, second = np.array([0, 0, 1, norms.BOOK - 1, norms.BOOK - 1]), np.array([0, 300, 0, 0, norms.BOOK - 1])
+    every = norms.places(first, second)
+    assert len(np.unique(every)) == len(every) and every.max() < 1 << 32
+    assert len(np.unique(norms.places(np.full(norms.BOOK, 5), np.arange(norms.BOOK)))) == norms.BOOK
+
+
+def test_kept_rows_are_packed(spark):
+    row, code, tf = np.array([1, 1, 1, 3, 3]), np.array([0, 127, 70_000, 5, 6]), np.array([1, 128, 20_000, 1, 1 << 31])
+    codes, tfs = scan.packed(row, scan.steps(row, code), 5), scan.packed(row, tf, 5)
+    for low, n in ((0, 5), (1, 3), (3, 2), (4, 1), (5, 0)):
+        own = (row >= low) & (row < low + n)
+        for got, want in ((scan.numbers(codes.slice(low, n)), code), (scan.unpacked(tfs.slice(low, n)), tf)):
+            assert got[0].tolist() == (row[own] - low).tolist() and got[1].tolist() == want[own].tolist()
+    c, q = course(spark), asked(spark)
+    terms = scan.Terms.of(search.question_terms(q).withColumnRenamed("qid", "_n"))
+    kept = scan.kept_terms(scan.lexical_rows(c, None), terms, pairs=False)
+    assert sum(len(r.codes) + len(r.tfs) for r in kept.collect()) <= 2 * counts.postings(scan.lexical_rows(c, None)).count()
+
+
+def test_a_stored_table_leaves_no_shuffle(spark):
+    from lyceum.operators import sizes
+
+    jvm = spark.sparkContext._jvm
+    shuffled = lambda: {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffled()
+    df = sizes.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffled() - before
+    assert df.count() == 7 and spark.conf.get(sizes.CLEANED) == "false"
