@@ -78,7 +78,7 @@ def _edges(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {BASE}, {EDGES} SELECT * FROM me")
 def mentions_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _edges(graph.mentions_edges(mentioned(spark, sf)))
+    return _edges(graph.mentions_edges(mentioned(spark, sf, again=True)))
 
 
 @query(f"WITH {BASE}, {EDGES} SELECT * FROM ce")
